@@ -14,7 +14,6 @@ its name.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 
