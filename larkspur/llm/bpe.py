@@ -237,17 +237,18 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     return _map(docs, path, pattern, doc_id, text, carry, "ids array<int>, decoded binary", lambda ids, raw: (pa.array(ids, pa.list_(pa.int32())), pa.array(raw, pa.binary())))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """As encode(), with digests of the ids and of the decoded bytes in place of both."""
+def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
+    """As encode(), with digests of the ids and of the decoded bytes in place of both, or beside the ids."""
 
     def made(ids: list[np.ndarray], raw: list[bytes]):
         return (
+            *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []),
             pa.array([len(x) for x in ids], pa.int64()),
             pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
             pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
         )
 
-    return _map(docs, path, pattern, doc_id, text, carry, "n_tokens long, ids_sha256 string, decoded_sha256 string", made)
+    return _map(docs, path, pattern, doc_id, text, carry, "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string", made)
 
 
 def _map(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, carry: tuple[str, ...], result: str, made) -> DataFrame:

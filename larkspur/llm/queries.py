@@ -5,16 +5,20 @@ from __future__ import annotations
 from larkspur.llm.bpe import op7_bpe
 from larkspur.llm.chat import OP9_SQL, op9_chat
 from larkspur.llm.decontaminate import op2_decontaminate
+from larkspur.llm.hmm import op3_hmm
 from larkspur.llm.linedup import op6_lines
 from larkspur.llm.mincut import op1_extract
 from larkspur.llm.ngramjoin import op4_ngram_jaccard
 from larkspur.llm.quality import op10_quality
+from larkspur.llm.substring import op5_substrings
 from larkspur.llm.topk import OP8_SQL, op8_topk
 
 QUERIES = {
     "op1_extract": op1_extract,
     "op2_decontaminate": op2_decontaminate,
+    "op3_hmm": op3_hmm,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_substrings": op5_substrings,
     "op6_lines": op6_lines,
     "op7_bpe": op7_bpe,
     "op8_topk": op8_topk,
