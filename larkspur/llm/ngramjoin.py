@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import bloom
-from larkspur.llm.arrowmap import BATCH_ROWS, column, map_arrow, small_batches
+from larkspur.llm.arrowmap import column, map_arrow, small_batches
 from larkspur.llm.components import components
 from larkspur.llm.exchange import blob, deal, keys, partitions, run_id, to_buckets, unblob, whole_partitions
 from larkspur.llm.shared import keep
@@ -38,8 +38,8 @@ from larkspur.llm.textvec import SPACED, buffers, grams, grams_within, mix, piec
 WORDS, PERCENT = 5, 80
 #: Fragments of the order of shingles in which overlaps are counted, as bits.
 FRAGMENT_BITS = 2
-#: Remaining pairs that are compared in full, for each row of the index; above it another pivot goes first.
-FULL_PAIRS = 4
+#: Pairs for each row of the index that are looked at in full; while more remain another pivot goes first, PIVOT_TURNS times at most.
+FULL_PAIRS, PIVOT_TURNS = 64, 4
 _U = np.uint64
 
 
@@ -181,7 +181,7 @@ def _sets_of(docs: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs.select("i", "n", "t"), run, "rep long, n long, g array<long>")
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: overlaps are counted in each fragment and summed per pair."""
     left = segments.select(F.col("rep").alias("a"), "f", F.col("seg").alias("sa"), F.col("n").alias("na"))
     right = segments.select(F.col("rep").alias("b"), "f", F.col("seg").alias("sb"), F.col("n").alias("nb"))
@@ -200,32 +200,40 @@ def class_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, words:
     common = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = each.join(common, "g").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
     shared = keep(shared.where(100 * F.size("gs") >= percent * F.col("n")), "shared")
-    first = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("gs"))
-    index = keep(shared.select("rep", "n", F.explode(F.slice("gs", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select(F.col("x.g").alias("g"), "rep", "n"), "index")
+    # positions count the shingles that no other class has, which come first in the order
+    alone = F.col("n") - F.size("gs")
+    first = F.floor(F.col("n") * (100 - percent) / 100) + 1 - alone
+    prefix = shared.select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("gs", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("k", "x"))
+    index = keep(prefix.select(F.col("x.g").alias("g"), "rep", "n", (F.col("alone") + F.col("k")).alias("at")), "index")
     piece = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2**FRAGMENT_BITS - 1)), lambda f: F.struct(f.alias("f"), F.filter(F.transform("gs", lambda x: x.g), lambda g: F.shiftrightunsigned(g, 64 - FRAGMENT_BITS) == f).alias("seg"))))
     segments = keep(shared.select("rep", "n", piece.alias("p")).select("rep", "n", F.col("p.f").alias("f"), F.col("p.seg").alias("seg")).where("size(seg) > 0"), "segments")
-    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    # what follows a pair's first common shingle bounds its overlap
+    near = (100 + percent) * F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= percent * (F.col("na") + F.col("nb"))
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("g", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("label").alias(f"l{x}"))
 
     labels, links = None, None
     rows = index.withColumn("label", F.col("rep"))
     turn = 0
     while True:
-        open_ = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("g", "k")
-        rows = keep(rows.join(open_, "g"), "open")
+        # of the shingles that the same classes have, the first in the order stands for all
+        groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("l0"), F.max("label").alias("l1"), *(F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2))).where("l0 < l1")
+        rows = keep(rows.join(groups.groupBy("k", "x0", "x1").agg(F.min("g").alias("g")).select("g", "k"), "g"), "open")
         size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")).first()
         if not size.n:
             break
-        full = size.k <= 2 * FULL_PAIRS * size.n and turn > 0
+        rows = rows.drop("k")
+        full = turn == PIVOT_TURNS or turn > 0 and size.k <= 2 * FULL_PAIRS * size.n
         if full:
-            a, b = (rows.select("g", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-            pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
+            met = side(rows, "a").join(side(rows, "b"), "g").where(F.col("a") < F.col("b"))
+            pairs = met.where((F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
         else:
-            order = F.xxhash64("rep", F.pmod("g", F.lit(3)), F.lit(turn))
-            pivots = rows.groupBy("g").agg(F.min_by(F.struct(F.col("rep").alias("p"), F.col("n").alias("na"), F.col("label").alias("la")), F.struct(order, "rep")).alias("x")).select("g", "x.*")
-            met = rows.join(pivots, "g")
-            pairs = met.withColumn("nb", F.col("n")).where((F.col("rep") != F.col("p")) & (F.col("label") != F.col("la")) & near).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-            rows = met.where("rep <> p").select("g", "rep", "n", "label")
-        new = keep(_linked(pairs, segments, shared, percent), "links")
+            pivots = side(rows, "a").groupBy("g").agg(F.min_by(F.struct("a", "na", "ata", "la"), F.struct(F.xxhash64("a", F.lit(turn)), "a")).alias("x")).select("g", "x.*")
+            met = side(rows, "b").join(pivots, "g").where("a <> b")
+            pairs = met.where((F.col("la") != F.col("lb")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            rows = met.select("g", F.col("b").alias("rep"), F.col("nb").alias("n"), F.col("atb").alias("at"), F.col("lb").alias("label"))
+        new = keep(_linked(pairs, segments, percent), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links)
         if full:
