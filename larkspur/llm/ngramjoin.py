@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import bloom
@@ -39,7 +39,9 @@ WORDS, PERCENT = 5, 80
 #: Fragments of the order of shingles in which overlaps are counted, as bits.
 FRAGMENT_BITS = 2
 #: Pairs for each row of the index that are looked at in full; while more remain another pivot goes first, PIVOT_TURNS times at most.
-FULL_PAIRS, PIVOT_TURNS = 64, 4
+FULL_PAIRS, PIVOT_TURNS = 16, 2
+#: Pivots of a shingle in one turn.
+PIVOTS = 4
 _U = np.uint64
 
 
@@ -196,9 +198,9 @@ def class_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, words:
     there = bloom.only(docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null"), let, "i")
     # of rows that repeat an id the class has the one set of its hash
     sets = keep(_sets_of(there.join(reps.select(F.col("rep").alias("i"), "n"), "i"), words).dropDuplicates(["rep"]), "sets")
-    each = sets.select("rep", "n", F.explode("g").alias("g"))
+    each = sets.select("rep", F.explode("g").alias("g"))
     common = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = each.join(common, "g").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    shared = each.join(common, "g").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs")).join(reps, "rep")
     shared = keep(shared.where(100 * F.size("gs") >= percent * F.col("n")), "shared")
     # positions count the shingles that no other class has, which come first in the order
     alone = F.col("n") - F.size("gs")
@@ -211,7 +213,7 @@ def class_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, words:
     near = (100 + percent) * F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= percent * (F.col("na") + F.col("nb"))
 
     def side(rows: DataFrame, x: str) -> DataFrame:
-        return rows.select("g", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("label").alias(f"l{x}"))
+        return rows.select(F.col("g").alias("g2" if x == "a" else "g"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("label").alias(f"l{x}"))
 
     labels, links = None, None
     rows = index.withColumn("label", F.col("rep"))
@@ -226,13 +228,15 @@ def class_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, words:
         rows = rows.drop("k")
         full = turn == PIVOT_TURNS or turn > 0 and size.k <= 2 * FULL_PAIRS * size.n
         if full:
-            met = side(rows, "a").join(side(rows, "b"), "g").where(F.col("a") < F.col("b"))
-            pairs = met.where((F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
+            met = side(rows, "b").join(side(rows, "a"), (F.col("g") == F.col("g2")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near)
+            pairs = met.select("a", "b").distinct()
         else:
-            pivots = side(rows, "a").groupBy("g").agg(F.min_by(F.struct("a", "na", "ata", "la"), F.struct(F.xxhash64("a", F.lit(turn)), "a")).alias("x")).select("g", "x.*")
-            met = side(rows, "b").join(pivots, "g").where("a <> b")
-            pairs = met.where((F.col("la") != F.col("lb")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            rows = met.select("g", F.col("b").alias("rep"), F.col("nb").alias("n"), F.col("atb").alias("at"), F.col("lb").alias("label"))
+            # those with the fewest rarer shingles before it are the nearest to what the group shares
+            central = F.row_number().over(Window.partitionBy("g").orderBy("at", "n", "rep"))
+            pivots = rows.withColumn("place", central).where(F.col("place") <= PIVOTS).drop("place")
+            met = side(rows, "b").join(side(pivots, "a"), (F.col("g") == F.col("g2")) & (F.col("a") != F.col("b")) & (F.col("la") != F.col("lb")) & near)
+            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            rows = rows.join(pivots.select("g", "rep"), ["g", "rep"], "left_anti")
         new = keep(_linked(pairs, segments, percent), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links)
