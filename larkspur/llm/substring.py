@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.arrowmap import column, map_arrow, small_batches
+from larkspur.llm.arrowmap import BATCH_ROWS, column, map_arrow, small_batches
 from larkspur.llm.exchange import blob, deal, keys, partitions, to_buckets, whole_partitions
 from larkspur.llm.textvec import SPACED, Pieces, buffers, grams_within, mix, pieces, spans
 
@@ -172,7 +172,7 @@ def repeats(source: DataFrame, found: Seeds, window: int, gram: int) -> DataFram
         return w, ids[owner], (start - p.lo[owner]).astype(np.int32)
 
     def ask(batches):
-        for turn, run in enumerate(_runs(batches, make, most)):
+        for run in _runs(batches, make, most):
             h, doc, at = (np.concatenate(x) for x in zip(*run))
             order = np.lexsort((at, doc, h))
             h, doc, at = h[order], doc[order], at[order]
@@ -185,47 +185,52 @@ def repeats(source: DataFrame, found: Seeds, window: int, gram: int) -> DataFram
             h, doc, at = h[~settled], doc[~settled], at[~settled]
             order, cut = deal(h, n)
             h, doc, at = h[order], doc[order], at[order]
-            rows = [(key[k], blob(h[s]), blob(doc[s]), blob(at[s]), None, None) for k in range(n) for s in [slice(cut[k], cut[k + 1])] if cut[k] < cut[k + 1]]
-            if len(sdoc):
-                rows.append((key[turn % n], None, None, None, blob(sdoc), blob(sat)))
+            order, cut2 = deal(mix(sdoc.view(_U)), n)
+            sdoc, sat = sdoc[order], sat[order]
+            rows = [
+                (key[k], blob(h[s]), blob(doc[s]), blob(at[s]), blob(sdoc[z]), blob(sat[z]))
+                for k in range(n)
+                for s, z in [(slice(cut[k], cut[k + 1]), slice(cut2[k], cut2[k + 1]))]
+                if cut[k] < cut[k + 1] or cut2[k] < cut2[k + 1]
+            ]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], names=names)
 
-    def grouped(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    def answer(got: list[pa.RecordBatch]):
+        h, doc, at, doc2, at2 = (np.frombuffer(b"".join(x for b in got for x in column(b, c).to_pylist()), t) for c, t in zip(names[1:], (_U, np.int64, np.int32, np.int64, np.int32)))
+        order = np.lexsort((doc, h))
+        h, doc, at = h[order], doc[order], at[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        later = doc > (doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(h) else doc)
+        doc, at = np.concatenate([doc[later], doc2]), np.concatenate([at[later], at2])
+        order, cut = deal(mix(doc.view(_U)), n)
+        doc, at = doc[order], at[order]
+        rows = [(key[k], blob(doc[s]), blob(at[s])) for k in range(n) for s in [slice(cut[k], cut[k + 1])] if cut[k] < cut[k + 1]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), pa.binary(), pa.binary()])], names=["bucket", "doc", "at"])
+
+    def collect(got: list[pa.RecordBatch]):
+        doc, at = (np.frombuffer(b"".join(x for b in got for x in column(b, c).to_pylist()), t) for c, t in (("doc", np.int64), ("at", np.int32)))
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order]
         ids, first = np.unique(doc, return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(at))], names=["doc", "starts"])
-
-    def answer(got: list[pa.RecordBatch]):
-        parts = {c: [] for c in names[1:]}
-        for b in got:
-            for c in names[1:]:
-                parts[c] += [x for x in column(b, c).to_pylist() if x is not None]
-        kinds = dict(h=_U, doc=np.int64, at=np.int32, doc2=np.int64, at2=np.int32)
-        for d, a in zip(parts["doc2"], parts["at2"]):
-            yield grouped(np.frombuffer(d, np.int64), np.frombuffer(a, np.int32))
-        h, doc, at = (np.frombuffer(b"".join(parts[c]), kinds[c]) for c in ("h", "doc", "at"))
-        if len(h):
-            order = np.lexsort((doc, h))
-            h, doc, at = h[order], doc[order], at[order]
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            least = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
-            later = doc > least
-            if later.any():
-                yield grouped(doc[later], at[later])
+        cut = np.append(first, len(doc))
+        for lo in range(0, len(ids), BATCH_ROWS):
+            hi = min(lo + BATCH_ROWS, len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.ListArray.from_arrays(pa.array((cut[lo : hi + 1] - cut[lo]).astype(np.int32)), pa.array(at[cut[lo] : cut[hi]]))], names=["doc", "starts"])
 
     small_batches(spark)
     asks = source.mapInArrow(ask, "bucket int, h binary, doc binary, at binary, doc2 binary, at2 binary")
-    return whole_partitions(to_buckets(asks, n), answer, "doc long, starts array<int>")
+    answers = whole_partitions(to_buckets(asks, n), answer, "bucket int, doc binary, at binary")
+    return whole_partitions(to_buckets(answers, n), collect, "doc long, starts array<int>")
 
 
 def removed_ranges(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """For each document with repeats: doc, starts (the first words of its repeated windows, as lists)."""
+    """For each document with repeats: doc, starts (the first words of its repeated windows)."""
     source = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
     found = seeds(source, partitions(docs.sparkSession), window, gram)
-    return repeats(source, found, window, gram).groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return repeats(source, found, window, gram)
 
 
 def maximal_repeats(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
