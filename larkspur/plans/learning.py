@@ -166,7 +166,7 @@ def d09_forest(spark, sf_dir):
     """Accuracy of a forest of bagged trees over random inputs on rows that it has not seen."""
     e = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("row_id"), c("label").cast("string").alias("label"), *(c("embedding")[i].cast("double").alias(f"e{i}") for i in range(9)))
     labels = tuple(r.label for r in e.select("label").distinct().orderBy("label").collect())
-    model = trees.forest(e.where("row_id % 3 <> 0"), [f"e{i}" for i in range(9)], split.InformationGain("label", labels), trees=5, max_depth=3, seed=2, max_bins=32)
+    model = trees.forest(e.where("row_id % 3 <> 0"), [f"e{i}" for i in range(9)], split.InformationGain("label", labels), trees=3, max_depth=2, seed=2, max_bins=16)
     votes = model.children
     total = F.array(*(sum((v.column()[i] for v in votes[1:]), votes[0].column()[i]) for i in range(len(labels))))
     scored = e.where("row_id % 3 = 0").withColumn("p", total)

@@ -248,6 +248,16 @@ class _Split:
     right: object
 
 
+def _side_model(model, leaf: _Leaf, rows: list[int]):
+    """A leaf's model for one side of its split: of that side's sums if it is made of sums, else a copy that learns on."""
+    if not isinstance(model, (OnlineLeastSquares, SimpleRegressions)):
+        return model.clone()
+    new = type(model)(model.d)
+    for i in rows:
+        new.push(leaf.x[i], leaf.y[i])
+    return new
+
+
 class HoeffdingTree:
     """A regression tree that splits a leaf once a bound makes its best split certain.
 
@@ -311,7 +321,7 @@ class HoeffdingTree:
         sides = []
         for test in (lambda v: v <= t, lambda v: v > t):
             rows = [i for i, v in enumerate(leaf.x) if test(v[j])]
-            sides.append(_Leaf(leaf.model.clone(), [leaf.x[i] for i in rows], [leaf.y[i] for i in rows]))
+            sides.append(_Leaf(_side_model(leaf.model, leaf, rows), [leaf.x[i] for i in rows], [leaf.y[i] for i in rows], len(rows)))
         node = _Split(j, t, *sides)
         if parent is None:
             self.root = node
