@@ -125,7 +125,7 @@ class Forest:
 def fit(x: np.ndarray, y: np.ndarray) -> Forest:
     """Boosts trees of log loss over histograms of at most BINS bins a statistic."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         share = min(max(share, 0.01), 0.99)
         return Forest(np.empty((0, 0), int), np.empty((0, 0)), np.empty((0, 0)), float(np.log(share / (1 - share))))
     n, m = x.shape
