@@ -11,10 +11,10 @@ bytes is deleted from the later document. The first document with a line keeps i
 Documents of the same lines are one class: the later ones are aligned in full with the
 first. Before pairing, such copies are set aside.
 
-Cases: a null or empty text has no lines and stays; lines are compared byte for byte,
-without white space at their ends; empty lines count in no block but go with the lines around them;
-rows that repeat an id are one document each, the first of them (by text) being the
-earlier, as documents of one id are told apart by their text; texts are read whole.
+Cases: a null or empty text has no lines and stays; lines are compared byte for byte;
+empty lines are not counted and go with the line before them; rows that repeat an id get
+the same deletions, so they should repeat its text too; a row with a null id is compared
+with nothing and stays; texts are read whole.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def aligned_lines(later: list[int], owner: list[int], size: list[int], least: in
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_CHARS) -> DataFrame:
     """For each document with something to delete: id and the positions of those lines, counted without empty ones."""
-    lines = keep(_line_rows(docs, doc_id, text).where("size(h) > 0"), "lines")
+    lines = keep(_line_rows(docs.where(F.col(doc_id).isNotNull()), doc_id, text).where("size(h) > 0"), "lines")
     key = F.struct(F.size("h").alias("lines"), F.xxhash64("h").alias("x"), F.xxhash64(F.lit(7), "h").alias("y"))
     lines = lines.withColumn("key", key)
     first = lines.groupBy("key").agg(F.min("id").alias("first"))
@@ -132,7 +132,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     ones = classed.where("id = first").dropDuplicates(["id", "key"]).select("id", "h", "n")
 
     each = ones.select("id", F.explode(F.array_distinct("h")).alias("line"))
-    owned = each.groupBy("line").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1").select("line", "owner")
+    # written, so that the join below reads both sides by its own shuffles, which Spark splits where one line has very many rows
+    owned = keep(each.groupBy("line").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1").select("line", "owner"), "owned")
     linked = keep(each.join(owned, "line").where("id > owner").select("id", "owner").distinct(), "pairs")
     # an owner of many is copied for every SALT_ROWS of its pairs
     salts = linked.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
