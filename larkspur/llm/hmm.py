@@ -163,7 +163,7 @@ def learn_lexicon(source: DataFrame) -> Lexicon:
     small_batches(spark)
     asks = source.mapInArrow(ask, "bucket int, h binary, c binary, m binary, ends long")
     counts = keep(whole_partitions(to_buckets(asks, n), answer, "what tinyint, h long, c int, m long, kinds long"), "counts")
-    top = counts.where("what = 0").orderBy(F.desc("m"), "h").limit(TOP).toPandas()  # TOP rows
+    top = _most_frequent(counts.where("what = 0"))
     sums = counts.where("what > 0").groupBy("what", "c").agg(F.sum("m").alias("m"), F.sum("kinds").alias("kinds")).toPandas()  # CLASSES + 1 rows
     ends = int(sums.loc[sums["what"] == 2, "m"].sum())
     by = sums[sums["what"] == 1]
@@ -177,6 +177,15 @@ def learn_lexicon(source: DataFrame) -> Lexicon:
     return Lexicon(*_table(hashes), count, np.log10(total + ADD * (kinds + 1)), mass / mass.sum(), tokens, distinct, ends)
 
 
+def _most_frequent(words: DataFrame):
+    """The words of the greatest counts, at most TOP: those above a count on a grid of 16 steps an octave, so that no task sorts them all."""
+    step = F.floor(F.log2("m") * 16).cast("int")
+    sizes = words.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("k", ascending=False)  # 16 rows an octave
+    fit = sizes.loc[sizes["n"].cumsum() <= TOP, "k"]
+    least = int(fit.min()) if len(fit) else 1 << 30
+    return words.where(step >= least).toPandas().sort_values(["m", "h"], ascending=[False, True])  # at most TOP rows
+
+
 @dataclass
 class Model:
     """Start of a text, start of a later segment, transitions, and emissions by symbol."""
