@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Rows of text in a batch that goes to Python.
-BATCH_ROWS = 400
+BATCH_ROWS = 200
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

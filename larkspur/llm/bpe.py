@@ -27,7 +27,7 @@ from larkspur.llm.textvec import mix
 
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 #: Pieces whose tokens a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NONE = np.int32(2**31 - 1)
 _U = np.uint64
 
