@@ -133,3 +133,25 @@ def random_threshold(df: DataFrame, x: str, seed: int) -> DataFrame:
     """threshold: uniform between the least and the greatest value."""
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(x)), 11).cast("double") / float(2**53)
     return df.agg((F.min(x) + u * (F.max(x) - F.min(x))).alias("threshold"))
+
+
+def _sd(n: Column, s: Column, q: Column) -> Column:
+    return F.sqrt(F.greatest(F.coalesce(F.try_divide(q, n) - F.pow(F.try_divide(s, n), F.lit(2.0)), F.lit(0.0)), F.lit(0.0)))
+
+
+def deviation_reduction(condition: Column, y: Column) -> Column:
+    """An aggregate: the deviation of y less that of both sides by their shares."""
+    known = condition.isNotNull() & y.isNotNull()
+    on = lambda test, v: F.coalesce(F.sum(F.when(known & test, v)), F.lit(0.0))
+    sides = [tuple(on(t, v) for v in (F.lit(1.0), y, y * y)) for t in (condition, ~condition)]
+    whole = tuple(a + b for a, b in zip(*sides))
+    return _sd(*whole) - sum((F.coalesce(F.try_divide(s[0], whole[0]), F.lit(0.0)) * _sd(*s) for s in sides), F.lit(0.0))
+
+
+def residual_reduction(condition: Column, x: Column, y: Column) -> Column:
+    """An aggregate: the same of the residuals about lines of y on x."""
+    from larkspur.functions.stats import pair_sums, residual_sd
+
+    sides = [pair_sums(F.when(t, x), y) for t in (condition, ~condition)]
+    whole = {k: sides[0][k] + sides[1][k] for k in sides[0]}
+    return residual_sd(whole) - sum((F.coalesce(F.try_divide(s["n"], whole["n"]) * residual_sd(s), F.lit(0.0)) for s in sides), F.lit(0.0))
