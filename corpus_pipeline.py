@@ -15,31 +15,46 @@ from larkspur.llm import bpe, decontaminate, linedup, ngramjoin, quality
 from larkspur.llm.shared import keep
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with its columns beside id and text under names that no operator uses."""
+    return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
+
+
+def _again(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, in their order."""
+    return kept.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.5 or more."""
-    forest = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, forest, carry=tuple(docs.columns)).where("score >= 0.5").select(*docs.columns)
+    apart = _apart(docs)
+    forest = quality.learn(apart, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _again(quality.score(apart, forest, carry=tuple(apart.columns)).where("score >= 0.5"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the aligned blocks that an earlier one holds; one that had nothing else goes."""
-    done = linedup.dedup_lines(docs, carry=tuple(docs.columns))
+    apart = _apart(docs)
+    done = linedup.dedup_lines(apart, carry=tuple(apart.columns))
     left = done.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return left.select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return _again(left, docs)
+    chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    place = f"_own_{docs.columns.index('n_chars')}"
+    return _again(left.withColumn(place, F.when(F.col("n_removed") == 0, F.col(place)).otherwise(chars)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group of near duplicates."""
-    groups = keep(ngramjoin.near_duplicates(docs), "groups")
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    groups = keep(ngramjoin.near_duplicates(docs.select("doc_id", "text")), "groups")
+    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of the benchmark occurs."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=tuple(docs.columns))
-    return found.where("n_hit = 0").select(*docs.columns)
+    apart = _apart(docs)
+    found = decontaminate.decontaminate(apart, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=tuple(apart.columns))
+    return _again(found.where("n_hit = 0"), docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

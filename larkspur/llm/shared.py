@@ -1,29 +1,6 @@
 """The shared folder for intermediate tables."""
 
-from __future__ import annotations
+from larkspur.plans.store import kept as keep
+from larkspur.plans.store import shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is set, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        at = tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext.setCheckpointDir(at)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return at
-
-
-def keep(df: DataFrame, label: str = "step") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["keep", "shared_folder"]
