@@ -199,7 +199,8 @@ def class_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, words:
     # of rows that repeat an id the class has the one set of its hash
     sets = keep(_sets_of(there.join(reps.select(F.col("rep").alias("i"), "n"), "i"), words).dropDuplicates(["rep"]), "sets")
     each = sets.select("rep", F.explode("g").alias("g"))
-    common = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # what is joined on shingles below is written first, so that both sides are shuffled for the join and Spark splits a shingle that very many have
+    common = keep(each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
     shared = each.join(common, "g").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs")).join(reps, "rep")
     shared = keep(shared.where(100 * F.size("gs") >= percent * F.col("n")), "shared")
     # positions count the shingles that no other class has, which come first in the order
@@ -233,7 +234,7 @@ def class_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, words:
         else:
             # those with the fewest rarer shingles before it are the nearest to what the group shares
             central = F.row_number().over(Window.partitionBy("g").orderBy("at", "n", "rep"))
-            pivots = rows.withColumn("place", central).where(F.col("place") <= PIVOTS).drop("place")
+            pivots = keep(rows.withColumn("place", central).where(F.col("place") <= PIVOTS).drop("place"), "pivots")
             met = side(rows, "b").join(side(pivots, "a"), (F.col("g") == F.col("g2")) & (F.col("a") != F.col("b")) & (F.col("la") != F.col("lb")) & near)
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             rows = rows.join(pivots.select("g", "rep"), ["g", "rep"], "left_anti")
