@@ -8,6 +8,7 @@ only the chosen splits come to the driver. A tree is an expression.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.frame import ROW, draw
 from larkspur.operators.split import Criterion, InformationGain
-from larkspur.plans.expr import Aggregate, Constant, Expr, Stump, Test, Variable, importance
+from larkspur.plans.expr import Aggregate, Apply, Constant, Expr, Stump, Test, Variable, importance
 
 MAX_BINS = 256
 
@@ -114,9 +115,9 @@ def grow(df: DataFrame, inputs: Sequence[str], criterion: Criterion, trees: int
     while open_:
         numbered = list(enumerate(open_))
         per_tree = [F.struct(F.lit(t).alias("tree"), w.alias("node"), (_poisson(draw(seed + 1, F.col(ROW), F.lit(t))) if bags else F.lit(1.0)).alias("m")) for t, w in enumerate(_at(numbered, roots))]
-        rowed = binned.withColumn("_t", F.explode(F.array(*per_tree))).where(F.col("_t.node").isNotNull() & (F.col("_t.m") > 0)).withColumn("_w", F.col("_w") * F.col("_t.m"))
+        rowed = binned.withColumn("_tree", F.explode(F.array(*per_tree))).where(F.col("_tree.node").isNotNull() & (F.col("_tree.m") > 0)).withColumn("_w", F.col("_w") * F.col("_tree.m"))
         long = rowed.withColumn("_f", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"_b{i}").alias("b")) for i in range(len(inputs))))))
-        table = long.groupBy(F.col("_t.node").alias("node"), F.col("_f.f").alias("f"), F.col("_f.b").alias("b")).agg(F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in sums.items()))
+        table = long.groupBy(F.col("_tree.node").alias("node"), F.col("_f.f").alias("f"), F.col("_f.b").alias("b")).agg(F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in sums.items()))
         best = _best_splits(table, names, criterion_w, random_inputs, seed).collect()  # one row for each open node
         done = {r.node: r for r in best}
         following = []
@@ -192,3 +193,52 @@ def forest(df: DataFrame, inputs: Sequence[str], criterion: Criterion, trees: in
     """An ensemble of bagged trees over random inputs, the square root of their number at each node."""
     members = grow(df, inputs, criterion, trees, bags=True, random_inputs=int(len(inputs) ** 0.5 + 0.5), **options)
     return Aggregate(tuple(m.tree for m in members))
+
+
+def l2_boosting(df: DataFrame, inputs: Sequence[str], target: str, rounds: int, rate: float = 0.5, **options) -> Expr:
+    """Trees that each fit what those before leave of the target; the sum of their votes, with the mean first."""
+    from larkspur.operators.split import VarianceReduction
+    from larkspur.plans.store import kept
+
+    mean = df.agg(F.avg(target)).first()[0] or 0.0
+    model: Expr = Constant(float(mean))
+    left = df.select(*inputs, (F.col(target) - mean).alias("_left"))
+    for _ in range(rounds):
+        tree = _scaled(grow(left, inputs, VarianceReduction(("_left",)), **options)[0].tree, rate)
+        model = Apply("+", (model, tree))
+        left = kept(left.withColumn("_left", F.col("_left") - F.coalesce(tree.column(), F.lit(0.0))), "residuals")
+    return model
+
+
+def _scaled(tree: Expr, by: float) -> Expr:
+    """A tree with its votes multiplied."""
+    if isinstance(tree, Constant):
+        return Constant((tree.value or 0.0) * by)
+    return Test(tree.condition, *(_scaled(x, by) for x in (tree.failure, tree.success, tree.missing)))
+
+
+def adaboost(df: DataFrame, inputs: Sequence[str], target: str, rounds: int, depth: int = 1) -> tuple[list[tuple[float, Expr]], Column]:
+    """Small trees of a boolean target on weights that follow the errors; their votes, and the sign of their sum as a Column."""
+    from larkspur.plans.store import kept
+
+    left = df.where(F.col(target).isNotNull()).select(*inputs, F.col(target).cast("string").alias("_t"), F.lit(1.0).alias("_weight"))
+    criterion = InformationGain("_t", ("false", "true"), "_weight")
+    members: list[tuple[float, Expr]] = []
+    for _ in range(rounds):
+        tree = grow(left, inputs, criterion, max_depth=depth)[0].tree
+        says = tree.column()[1] > tree.column()[0]
+        wrong = says != (F.col("_t") == "true")
+        r = left.agg(F.sum(F.when(wrong, F.col("_weight")).otherwise(0.0)).alias("e"), F.sum("_weight").alias("w")).first()
+        error = min(max((r.e or 0.0) / r.w, 1e-9), 1 - 1e-9)
+        if error >= 0.5:
+            break
+        vote = 0.5 * math.log((1 - error) / error)
+        members.append((vote, tree))
+        scale = F.when(wrong, F.lit(math.exp(vote))).otherwise(F.lit(math.exp(-vote))) / r.w
+        left = kept(left.withColumn("_weight", F.col("_weight") * scale), "weights")
+        if error <= 1e-9:
+            break
+    total = F.lit(0.0)
+    for vote, tree in members:
+        total = total + F.when(tree.column()[1] > tree.column()[0], F.lit(vote)).otherwise(F.lit(-vote))
+    return members, total > 0

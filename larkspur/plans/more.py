@@ -353,3 +353,24 @@ def i11_split_decision(spark, sf_dir):
         for t in (tree, never):
             t.push(v, float(v[0] > 0) * 5)
     return facts(spark, chunk=tree.chunk, splits=tree.leaves() > 1, never=never.leaves() == 1).select(c("chunk").cast("long"), "splits", "never")
+
+
+@query("SELECT true AS swarm, true AS surrogate")
+def o10_swarm_and_surrogate_fronts(spark, sf_dir):
+    """Fronts of two bowls by a swarm and by weighted surrogates."""
+    two = lambda w: np.array([w[0] ** 2 + w[1] ** 2, (w[0] - 1) ** 2 + w[1] ** 2])
+    _, f = search.smpso(two, [-2, -2], [2, 2], 30, 40)
+    _, g = search.parego(spark, [-2.0, -2.0], [2.0, 2.0], lambda x: [x[0] * x[0] + x[1] * x[1], (x[0] - 1) * (x[0] - 1) + x[1] * x[1]], 12, 3, 300)
+    return facts(spark, swarm=bool(np.median(f.sum(axis=1)) < 1.05 and len(f) > 10), surrogate=bool(len(g) > 0 and g.sum(axis=1).min() < 2.5))
+
+
+@query("SELECT true AS boosted_better, true AS right")
+def d12_boosting(spark, sf_dir):
+    """Squared-loss boosting beats one tree of its depth, and weighted stumps learn a box (retired learners)."""
+    x = frame.interval(spark, 0, 400).select(((c("row_id") * 37) % 101 / 50 - 1).alias("a"), ((c("row_id") * 53) % 103 / 51 - 1).alias("b"))
+    x = x.withColumn("y", c("a") * c("a") + 2 * c("b")).withColumn("t", (c("a") > -0.5) & (c("b") > -0.25)).cache()
+    v = split.VarianceReduction(("y",))
+    one, many = trees.grow(x, ["a", "b"], v, max_depth=2, max_bins=16)[0].tree, trees.l2_boosting(x, ["a", "b"], "y", 3, 0.8, max_depth=2, max_bins=16)
+    _, sign = trees.adaboost(x, ["a", "b"], "t", 3)
+    error = lambda p: F.avg(F.pow(c("y") - p, F.lit(2.0)))
+    return x.agg((error(many.column()) < error(one.column())).alias("boosted_better"), (F.avg((sign == c("t")).cast("double")) > 0.95).alias("right"))
