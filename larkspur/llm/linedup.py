@@ -126,7 +126,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     lines = keep(_line_rows(docs.where(F.col(doc_id).isNotNull()), doc_id, text).where("size(h) > 0"), "lines")
     key = F.struct(F.size("h").alias("lines"), F.xxhash64("h").alias("x"), F.xxhash64(F.lit(7), "h").alias("y"))
     lines = lines.withColumn("key", key)
-    first = lines.groupBy("key").agg(F.min("id").alias("first"))
+    first = keep(lines.groupBy("key").agg(F.min("id").alias("first")), "first")
     classed = keep(lines.join(first, "key"), "classed")
     same = classed.where("id > first and aggregate(n, 0L, (s, x) -> s + x) >= " + str(least)).select("id", F.sequence(F.lit(0), F.size("h") - 1).alias("gone"))
     ones = classed.where("id = first").dropDuplicates(["id", "key"]).select("id", "h", "n")
