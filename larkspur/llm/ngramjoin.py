@@ -207,7 +207,7 @@ def class_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, words:
     alone = F.col("n") - F.size("gs")
     first = F.floor(F.col("n") * (100 - percent) / 100) + 1 - alone
     prefix = shared.select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("gs", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("k", "x"))
-    index = keep(prefix.select(F.col("x.g").alias("g"), "rep", "n", (F.col("alone") + F.col("k")).alias("at")), "index")
+    index = keep(prefix.select(F.col("x.g").alias("g"), F.col("x.df").alias("df"), "rep", "n", (F.col("alone") + F.col("k")).alias("at")), "index")
     piece = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2**FRAGMENT_BITS - 1)), lambda f: F.struct(f.alias("f"), F.filter(F.transform("gs", lambda x: x.g), lambda g: F.shiftrightunsigned(g, 64 - FRAGMENT_BITS) == f).alias("seg"))))
     segments = keep(shared.select("rep", "n", piece.alias("p")).select("rep", "n", F.col("p.f").alias("f"), F.col("p.seg").alias("seg")).where("size(seg) > 0"), "segments")
     # what follows a pair's first common shingle bounds its overlap
@@ -221,8 +221,9 @@ def class_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, words:
     turn = 0
     while True:
         # of the shingles that the same classes have, the first in the order stands for all
-        groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("l0"), F.max("label").alias("l1"), *(F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2))).where("l0 < l1")
-        rows = keep(rows.join(groups.groupBy("k", "x0", "x1").agg(F.min("g").alias("g")).select("g", "k"), "g"), "open")
+        groups = rows.groupBy("df", "g").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("l0"), F.max("label").alias("l1"), *(F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2))).where("l0 < l1")
+        first = groups.groupBy("k", "x0", "x1").agg(F.min(F.struct("df", "g")).alias("y")).select("k", F.col("y.g").alias("g"))
+        rows = keep(rows.join(first, "g"), "open")
         size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")).first()
         if not size.n:
             break

@@ -72,9 +72,27 @@ def test_pieces_are_those_of_a_regex():
     assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
 
 
-def test_near_duplicates(docs):
+def clusters():
+    """Copies of a few texts with edits near the threshold, which share passages too."""
+    rng = random.Random(17)
+    passage = sentence(rng, 14)
+    out = []
+    for b in range(8):
+        base = sentence(rng, rng.randint(16, 60)).split()
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randint(0, 1 + len(w) // 18)):
+                w[rng.randrange(len(w))] = rng.choice(VOCABULARY + ["own" + str(rng.randrange(99))])
+            out.append((len(out), " ".join(w) + (" " + passage) * rng.randint(0, 1)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["mixed", "clusters"])
+def test_near_duplicates(spark, docs, kind):
+    rows = DOCS if kind == "mixed" else clusters()
+    docs = docs if kind == "mixed" else spark.createDataFrame(rows, "doc_id long, text string")
     sets = {}
-    for i, t in DOCS:
+    for i, t in rows:
         w = words(lower((t or "").encode()).decode())
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
     parent = {i: i for i in sets}
