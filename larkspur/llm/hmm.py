@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.arrowmap import column, small_batches
 from larkspur.llm.exchange import blob, deal, keys, partitions, run_id, to_buckets, whole_partitions
-from larkspur.llm.shared import keep
 from larkspur.llm.textvec import SPACED, Pieces, buffers, mix, pieces, spans
 
 TOP, CLASSES, STATES = 20_000, 1024, 8
@@ -162,9 +161,10 @@ def learn_lexicon(source: DataFrame) -> Lexicon:
 
     small_batches(spark)
     asks = source.mapInArrow(ask, "bucket int, h binary, c binary, m binary, ends long")
-    counts = keep(whole_partitions(to_buckets(asks, n), answer, "what tinyint, h long, c int, m long, kinds long"), "counts")
+    counts = whole_partitions(to_buckets(asks, n), answer, "what tinyint, h long, c int, m long, kinds long").persist()  # read three times below
     top = _most_frequent(counts.where("what = 0"))
     sums = counts.where("what > 0").groupBy("what", "c").agg(F.sum("m").alias("m"), F.sum("kinds").alias("kinds")).toPandas()  # CLASSES + 1 rows
+    counts.unpersist()
     ends = int(sums.loc[sums["what"] == 2, "m"].sum())
     by = sums[sums["what"] == 1]
     total, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
