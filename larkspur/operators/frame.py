@@ -12,18 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.plans.store import kept
+
 ROW = "row_id"
 
 
 def with_row_id(df: DataFrame, *order: str | Column, name: str = ROW) -> DataFrame:
     """Consecutive ids in an order that has no ties.
 
-    Rows are range-partitioned and sorted; ids are the position in a partition plus the
-    rows of those before it, so no task holds more than a partition.
+    Rows are dealt by ranges of the order and written once, so that all readers see the
+    same ranges; an id is the position in its range plus the rows of those before it, so
+    no task holds more than a range.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     key = F.struct(*cols)
-    dealt = df.withColumn("_key", key).repartitionByRange(*[F.col(f"_key.{c}") for c in df.select(key.alias("_key")).schema["_key"].dataType.names]).withColumn("_part", F.spark_partition_id())
+    names = df.select(key.alias("_key")).schema["_key"].dataType.names
+    ranged = df.withColumn("_key", key).repartitionByRange(*(F.col(f"_key.{c}") for c in names))
+    dealt = kept(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
     at = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
