@@ -374,3 +374,51 @@ def d12_boosting(spark, sf_dir):
     _, sign = trees.adaboost(x, ["a", "b"], "t", 3)
     error = lambda p: F.avg(F.pow(c("y") - p, F.lit(2.0)))
     return x.agg((error(many.column()) < error(one.column())).alias("boosted_better"), (F.avg((sign == c("t")).cast("double")) > 0.95).alias("right"))
+
+
+def _grid(names: str, low: float, span: float) -> str:
+    """SQL of inputs by rule: the i-th cycles through a prime number of values."""
+    primes = [101, 103, 107, 109, 113, 127, 131]
+    return "(SELECT i AS row_id, " + ", ".join(f"{low} + {span} * ((i * {37 + 16 * k}) % {primes[k]}) / {primes[k] - 1} AS x{k + 1}" for k in range(len(names.split()))) + " FROM range(2000) t(i))"
+
+
+def _grid_rows(spark: SparkSession, n: int, low: float, span: float) -> tuple[DataFrame, list]:
+    primes = [101, 103, 107, 109, 113, 127, 131]
+    df = frame.interval(spark, 0, 2000).select("row_id", *((low + span * ((c("row_id") * (37 + 16 * k)) % primes[k]) / (primes[k] - 1)).alias(f"x{k + 1}") for k in range(n)))
+    return df, [c(f"x{k + 1}") for k in range(n)]
+
+
+_FIVE, _SEVEN = "x x x x x", "x x x x x x x"
+
+
+@query(f"""SELECT row_id, round(CASE WHEN x1 >= 0.5 THEN 1 + 2 * x2 + 3 * x3 - exp(-2 * (x4 + x5)) ELSE 1 - 1.2 * x2 - 3.1 * x3 + exp(-3 * (x4 - x5)) END, 6) AS lexp,
+round(CASE WHEN x1 >= 0.5 THEN 1 + 1.5 * x2 + x3 + sin(2 * (x4 + x5)) * exp(-2 * (x2 + x4)) ELSE -1 - 2 * x2 - x3 + sin(3 * (x4 + x5)) * exp(-3 * (x3 - x4)) END, 6) AS losc,
+round(10 * sin(pi() * x1 * x2) + 20 * (x3 - 0.5) * (x3 - 0.5) + 10 * x4 + 5 * x5, 6) AS friedman FROM {_grid(_FIVE, 0.0, 1.0)}""")
+def t13_regression_problems(spark, sf_dir):
+    """Three closed-form problems over a grid of five inputs."""
+    from larkspur.functions import problems
+
+    df, x = _grid_rows(spark, 5, 0.0, 1.0)
+    return df.select("row_id", *(F.round(problems.PROBLEMS[n].target(x), 6).alias(n) for n in ("lexp", "losc", "friedman")))
+
+
+@query(f"SELECT row_id, round(CASE WHEN x1 < 0 THEN 3 + 3 * x2 + 2 * x3 + 3 * x4 ELSE -3 + 3 * x5 + 2 * x6 + x7 END, 6) AS y FROM {_grid(_SEVEN, -1.0, 2.0)}")
+def t13_cart_problem(spark, sf_dir):
+    from larkspur.functions import problems
+
+    df, x = _grid_rows(spark, 7, -1.0, 2.0)
+    return df.select("row_id", F.round(problems.cart(x), 6).alias("y"))
+
+
+@query("SELECT i AS row_id, bit_count(i) % 2 = 1 AS parity FROM range(256) t(i)")
+def t13_parity_problem(spark, sf_dir):
+    from larkspur.functions import problems
+
+    return problems.parity(spark, 8).select("row_id", c("y").alias("parity"))
+
+
+@query("SELECT i AS row_id, ((i >> (3 + ((i & 1) * 4 + ((i >> 1) & 1) * 2 + ((i >> 2) & 1)))) & 1) = 1 AS y FROM range(2048) t(i)")
+def t13_multiplexer_problem(spark, sf_dir):
+    from larkspur.functions import problems
+
+    return problems.multiplexer(spark, 3).select("row_id", "y")
