@@ -28,8 +28,7 @@ from larkspur.llm.arrowmap import column, map_arrow
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
 _MARKS = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
-_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
-_BLANK = re.compile(r"\S+")
+_PART = re.compile(r"[A-Z]{2,}(?![a-z])|[A-Za-z][a-z]*")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul option".split())
@@ -45,10 +44,12 @@ _WHOLE = frozenset("html body main article".split())
 TAG = {"nav": -12, "footer": -12, "aside": -12, "header": -8, "form": -7, "button": -7, "label": -4, "menu": -8, "dialog": -8, "head": -40, "title": -40, "fieldset": -5, "legend": -4, "option": -8, "address": -2, "article": 4, "main": 3, "blockquote": 1, "figcaption": -1}
 MARK = {
     **dict.fromkeys("nav navbar navigation menu breadcrumb breadcrumbs pager pagination footer sidebar aside widget ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion popup modal overlay cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login share sharing social related recommend recommended recommendations comment comments respond reply replies disqus copyright legal disclaimer toolbar masthead topbar breaking outbrain taboola tags complementary contentinfo search".split(), -12),
-    **dict.fromkeys("header meta byline rating toc skip hidden links".split(), -3),
+    **dict.fromkeys("header meta byline rating toc skip hidden links warning".split(), -3),
     **dict.fromkeys("article articlebody content post entry story main body text prose".split(), 3),
 }
-INNER = {"p": 2, "h1": 1, "h2": 1, "h3": 1, "h4": 1, "pre": 2, "blockquote": 2, "li": 0}
+#: Beginnings of longer words that speak against content.
+STEMS = ("advert", "banner", "breadcrumb", "comment", "cookie", "copyright", "disclaim", "footer", "menu", "navbar", "navig", "newsletter", "popup", "promo", "recommend", "related", "replies", "respond", "share", "sidebar", "social", "sponsor", "subscri", "widget")
+INNER = {"": 2, "p": 2, "h1": 3, "h2": 2, "h3": 2, "h4": 1, "pre": 2, "blockquote": 2, "li": 0}
 NEXT, SIBLING, FAR = 2, 1, 1
 
 
@@ -69,7 +70,10 @@ def _evidence(tag: str, attributes: str) -> tuple[float, float]:
     if attributes:
         for m in _MARKS.finditer(attributes):
             for part in _PART.findall(m[1] or m[2] or m[3] or ""):
-                w = MARK.get(part.lower(), 0)
+                part = part.lower()
+                w = MARK.get(part)
+                if w is None:
+                    w = -12 if part.startswith(STEMS) else 0
                 best, worst = max(best, w), min(worst, w if tag not in _WHOLE else 0)
         if _HIDDEN.search(attributes):
             worst = min(worst, -20)
