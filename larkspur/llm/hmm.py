@@ -307,7 +307,11 @@ def _train_symbols(lexicon: Lexicon):
 
 def first_model(source: DataFrame, lexicon: Lexicon) -> Model:
     """First values, from passes over at most INIT_DOCS training texts of at most INIT_TOKENS tokens, those of least hash."""
-    few = source.where(F.col("i").isNotNull() & (F.length("t") < 6 * INIT_TOKENS) & (F.crc32(F.col("i").cast("string").cast("binary")) % 10 != 0)).orderBy(F.xxhash64("i"), "i").limit(INIT_DOCS)
+    can = F.col("i").isNotNull() & (F.length("t") < 6 * INIT_TOKENS) & (F.crc32(F.col("i").cast("string").cast("binary")) % 10 != 0)
+    # a share of all texts of about twice as many, so that few rows meet in the task that takes the first
+    share = min(1.0, 2 * INIT_DOCS / max(1, source.count()))
+    least = F.shiftrightunsigned(F.xxhash64("i"), 11) <= int(share * 2**53)
+    few = source.where(can & least).orderBy(F.xxhash64("i"), "i").limit(INIT_DOCS)
     rows = few.select("i", "t").toArrow()  # bounded rows of bounded length
     model = Model.first(lexicon.share)
     if not rows.num_rows:
