@@ -80,12 +80,11 @@ def blob(x: np.ndarray) -> bytes:
     return x.tobytes()
 
 
-def unblob(column: list[bytes], dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype) if column else np.empty(0, dtype)
-
-
 def run_id(first: int) -> int:
-    """A number of this run of documents: the same if the task is run again, and another for every other run."""
+    """A number of this run of documents: the same if the task is run again, and another for every other run.
+
+    A task that is run again must read the same rows in the same order, as a scan of files does.
+    """
     from pyspark import TaskContext
 
     task = TaskContext.get()
