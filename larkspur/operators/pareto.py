@@ -13,7 +13,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.split import running_sums
 from larkspur.plans.store import kept
 
 Objectives = Sequence[tuple[str, int]]
@@ -205,6 +204,3 @@ def spea2(points: DataFrame, objectives: Objectives, row: str) -> DataFrame:
 def limits(points: DataFrame, objectives: Objectives) -> DataFrame:
     """The least and greatest value of each objective."""
     return points.agg(*(f(n).alias(f"{p}_{n}") for n, _ in objectives for p, f in (("min", F.min), ("max", F.max))))
-
-
-__all__ = ["archive", "by_rank_and_crowding", "crowding", "distinct_front", "dominates", "epsilon", "front", "front_2d", "hypervolume", "lexicographic", "limits", "non_dominated", "ranks", "running_sums", "spea2", "spread"]
