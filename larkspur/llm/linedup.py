@@ -1,12 +1,17 @@
 """Line dedup by pairwise patience alignment.
 
-Lines are hashed. Each line that several documents hold is owned by the one of least
-id; a later document is paired with the owners of its shared lines. Rare lines make
-most pairs; a common line makes one pair for each later document, with its owner, so
-pairs number at most the lines. A pair is aligned by patience diff (lines unique in
+Lines are hashed. An aligned block, a run of lines consecutive in both, of at least
+LEAST_CHARS bytes is deleted from the later document. So only documents that share a run
+that reaches LEAST_CHARS can lose lines to each other: the shortest such runs from each line
+on and up to each line are hashed, and a pair is aligned by patience diff (lines unique in
 both, in their longest increasing order, then matches grown outward and recursively
-between). An aligned block, a run of lines consecutive in both, of at least LEAST_CHARS
-bytes is deleted from the later document. The first document with a line keeps it.
+between). The result is that of the alignments with all earlier documents; those that cannot
+change it are left out:
+
+1. A later document is aligned with the owner (of least id) of each run that it shares.
+2. While a shared run of it has a line left, it is aligned with the run's other earlier
+   holders, in rounds of GROWTH times as many, until the line goes or all were tried. Here
+   holders that differ only in lines that no document left has are one, of least id.
 
 Documents of the same lines are one class: the later ones are aligned in full with the
 first. Before pairing, such copies are set aside.
@@ -34,6 +39,8 @@ from larkspur.llm.textvec import LINE, buffers, pieces, spans
 LEAST_CHARS = 40
 #: Later documents aligned with one owner in one row group.
 SALT_ROWS = 1000
+#: Holders of a run in the first round after its owner, and the factor from round to round.
+GROWTH = 16
 
 
 def _line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -121,6 +128,71 @@ def aligned_lines(later: list[int], owner: list[int], size: list[int], least: in
     return out
 
 
+def runs(h: list[int], n: list[int], least: int = LEAST_CHARS) -> set[tuple[int, int, int]]:
+    """The shortest runs of at least `least` bytes from each line on and up to each line: hash and bounds. Any line of a longer run is in one of these within it."""
+    bounds = set()
+    stop = size = 0
+    for start in range(len(h)):
+        while stop < len(h) and (size < least or stop == start):
+            size, stop = size + n[stop], stop + 1
+        if size < least:
+            break
+        bounds.add((start, stop))
+        size -= n[start]
+    start = size = 0
+    for stop in range(1, len(h) + 1):
+        size += n[stop - 1]
+        while start < stop - 1 and size - n[start] >= least:
+            size, start = size - n[start], start + 1
+        if size >= least:
+            bounds.add((start, stop))
+    return {(hash(tuple(h[a:b])), a, b) for a, b in bounds}
+
+
+def squeezed(at: list[int], h: list[int], lines: int) -> list[int]:
+    """Lines h at the positions `at` of a text of so many, with one 0 for each stretch of others."""
+    out, last = [], -1
+    for k, x in zip(at, h):
+        out += [x] if k == last + 1 else [0, x]
+        last = k
+    return out if last + 1 == lines else [*out, 0]
+
+
+def _aligned(linked: DataFrame, later: DataFrame, owners: DataFrame, least: int) -> DataFrame:
+    """id and gone of the pairs (id, owner); later has id, h, n, owners have owner, oh."""
+    kind = dict(later.dtypes)["id"]
+    # an owner of many is copied for every SALT_ROWS of its pairs
+    salts = linked.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    copies = salts.join(owners, "owner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = linked.join(later, "id").join(salts, "owner").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int")).drop("salts")
+    pairs = dealt.join(copies.select("owner", "salt", "oh"), ["owner", "salt"]).select("id", "h", "n", "oh")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        gone = [aligned_lines(h, oh, n, least) for h, oh, n in zip(*(column(batch, c).to_pylist() for c in ("h", "oh", "n")))]
+        return pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(gone, pa.list_(pa.int32()))], names=["id", "gone"])
+
+    return map_arrow(pairs, run, f"id {kind}, gone array<int>").where("size(gone) > 0")
+
+
+def _united(cut: DataFrame) -> DataFrame:
+    return cut.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+
+
+def _runs_left(docs: DataFrame, least: int) -> DataFrame:
+    """id and hash of the runs of documents (id, h, n, gone) that have a line left."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, out = [], []
+        for i, h, n, gone in zip(*(column(batch, c).to_pylist() for c in ("id", "h", "n", "gone"))):
+            gone = set(gone or ())
+            some = {x for x, start, stop in runs(h, n, least) if not gone.issuperset(range(start, stop))}
+            ids += [i] * len(some)
+            out += some
+        return pa.RecordBatch.from_arrays([pa.array(ids, column(batch, "id").type), pa.array(out, pa.int64())], names=["id", "run"])
+
+    return map_arrow(docs, run, f"id {dict(docs.dtypes)['id']}, run long").distinct()
+
+
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_CHARS) -> DataFrame:
     """For each document with something to delete: id and the positions of those lines, counted without empty ones."""
     lines = keep(_line_rows(docs.where(F.col(doc_id).isNotNull()), doc_id, text).where("size(h) > 0"), "lines")
@@ -131,23 +203,52 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     same = classed.where("id > first and aggregate(n, 0L, (s, x) -> s + x) >= " + str(least)).select("id", F.sequence(F.lit(0), F.size("h") - 1).alias("gone"))
     ones = classed.where("id = first").dropDuplicates(["id", "key"]).select("id", "h", "n")
 
-    each = ones.select("id", F.explode(F.array_distinct("h")).alias("line"))
-    # written, so that the join below reads both sides by its own shuffles, which Spark splits where one line has very many rows
-    owned = keep(each.groupBy("line").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1").select("line", "owner"), "owned")
-    linked = keep(each.join(owned, "line").where("id > owner").select("id", "owner").distinct(), "pairs")
-    # an owner of many is copied for every SALT_ROWS of its pairs
-    salts = linked.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
-    owners = salts.join(ones.select(F.col("id").alias("owner"), F.col("h").alias("oh")), "owner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = linked.join(ones, "id").join(salts, "owner").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int")).drop("salts")
-    pairs = dealt.join(owners.select("owner", "salt", "oh"), ["owner", "salt"]).select("id", "h", "n", "oh")
-    kind = dict(docs.dtypes)[doc_id]
+    each = keep(_runs_left(ones.withColumn("gone", F.lit(None).cast("array<int>")), least), "runs")
+    # written, so that the join below reads both sides by its own shuffles, which Spark splits where one run has very many rows
+    owned = keep(each.groupBy("run").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1"), "owned")
+    shared = keep(each.join(owned, "run").where("id > owner"), "shared")
+    linked = keep(shared.select("id", "owner").distinct(), "pairs")
+    cut = keep(_aligned(linked, ones, ones.select(F.col("id").alias("owner"), F.col("h").alias("oh")), least), "cut")
+
+    # runs that others than the owner hold before the document, and of which a line is left
+    some = shared.where("df > 2").select("id", "run")
+    left = _runs_left(ones.join(some.select("id").distinct(), "id", "left_semi").join(_united(cut), "id", "left"), least)
+    left = keep(left.join(some, ["id", "run"], "left_semi"), "left")
+    if not left.isEmpty():
+        cut = _other_holders(ones, each, left, cut, least)
+    return _united(cut.unionByName(same.select("id", "gone")))
+
+
+def _other_holders(ones: DataFrame, each: DataFrame, left: DataFrame, cut: DataFrame, least: int) -> DataFrame:
+    """cut, and what alignments with the other earlier holders of the runs that are left delete."""
+    texts = keep(ones.join(left.select("id").distinct(), "id", "left_semi"), "texts")
+    held = keep(each.join(left.select("run").distinct(), "run", "left_semi").withColumnRenamed("id", "owner"), "held")
+    known = keep(texts.select(F.explode("h").alias("line")).distinct(), "known")
+    holders = ones.withColumnRenamed("id", "owner").join(held.select("owner").distinct(), "owner", "left_semi")
+    places = keep(holders.select("owner", F.xxhash64("h").alias("x"), F.size("h").alias("lines"), F.posexplode("h").alias("at", "line")), "places").join(known, "line")
+    places = places.groupBy("owner", "x", "lines").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("some"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        gone = [aligned_lines(h, oh, n, least) for h, oh, n in zip(*(column(batch, c).to_pylist() for c in ("h", "oh", "n")))]
-        return pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(gone, pa.list_(pa.int32()))], names=["id", "gone"])
+        some = zip(*(column(batch, c).to_pylist() for c in ("at", "line", "lines")))
+        return pa.RecordBatch.from_arrays([column(batch, "owner"), pa.array([squeezed(*x) for x in some], pa.list_(pa.int64()))], names=["owner", "oh"])
 
-    cut = map_arrow(pairs, run, f"id {kind}, gone array<int>").where("size(gone) > 0").unionByName(same.select("id", "gone"))
-    return cut.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    short = map_arrow(places.select("owner", F.col("some.at").alias("at"), F.col("some.line").alias("line"), "lines"), run, f"owner {dict(ones.dtypes)['id']}, oh array<long>")
+    owners = keep(short.groupBy("oh").agg(F.min("owner").alias("owner")), "owners")
+    # holders of a run in an order of their hashes, by about how many are before each
+    held = keep(held.join(owners.select("owner").distinct(), "owner", "left_semi"), "holders")
+    count = held.groupBy("run").agg(F.count(F.lit(1)).alias("count"))
+    order = F.shiftrightunsigned(F.xxhash64("owner", "run"), 11) / F.lit(2.0**53) * F.col("count")
+    held = keep(held.join(count, "run").select("run", "owner", order.alias("order"), "count"), "holders")
+    most = held.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    begin, end = 0, GROWTH
+    while begin < most and not left.isEmpty():
+        now = held.where((F.col("order") >= begin) & (F.col("order") < end))
+        linked = keep(left.join(now, "run").where("owner < id").select("id", "owner").distinct(), "pairs")
+        cut = cut.unionByName(keep(_aligned(linked, texts, owners, least), "cut"))
+        gone = _united(cut.join(left.select("id").distinct(), "id", "left_semi"))
+        left = keep(_runs_left(texts.join(gone, "id"), least).join(left, ["id", "run"], "left_semi").unionByName(left.join(gone, "id", "left_anti").select("id", "run")), "left")
+        begin, end = end, end * GROWTH
+    return cut
 
 
 def strip(raw: str, gone: set[int]) -> tuple[str, int]:

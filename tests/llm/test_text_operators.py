@@ -196,6 +196,24 @@ def test_line_dedup(spark):
     assert linedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_is_that_of_all_pairs(spark):
+    rows = [(1, "Share this article"), (2, "Leave a comment"), (3, "Posted by admin")]
+    rows += [(k, f"own {k}\nShare this article\nLeave a comment\nPosted by admin\nend {k}") for k in (10, 11)]
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(rows), 11: "own 11\nend 11"}
+
+    rng = random.Random(23)
+    pool = ["x" * rng.choice([3, 15, 25, 50]) + str(k) for k in range(14)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {i} {k}" for k in range(rng.randint(1, 9)))) for i in range(160)]
+    lines = {i: t.split("\n") for i, t in rows}
+    want = {}
+    for j, b in lines.items():
+        gone = {x for i, a in lines.items() if i < j for x in linedup.aligned_lines(b, a, [len(x) for x in b])}
+        want[j] = (len(gone), "\n".join(x for k, x in enumerate(b) if k not in gone))
+    got = {r.doc_id: (r.n_removed, r.text) for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_patience_aligns_like_a_subsequence():
     rng = random.Random(2)
     for _ in range(200):
