@@ -9,9 +9,10 @@ distributed.
 
 1. Words of the training texts are counted (a shuffle of distinct words per run).
 2. Baum-Welch: each pass computes expected counts of transitions and emissions in every
-   partition and adds them up over all training texts. Within a pass texts are cut
-   into segments of SEGMENT tokens that share a start distribution; first values come
-   from the same passes over at most INIT_DOCS training texts.
+   partition and adds them up over all training texts, whose symbols are written once.
+   Passes go on until one raises the log10-likelihood a training token by less than
+   CONVERGED, at any size. Within a pass texts are cut into segments of SEGMENT tokens
+   that share a start distribution; first values are the shares of symbols with noise.
 3. Every text is scored by the scaled forward recursion over all its tokens, exactly;
    rare words look up their counts by a second shuffle, which returns sums to their texts.
 
@@ -34,11 +35,13 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.arrowmap import column, small_batches
 from larkspur.llm.exchange import blob, deal, keys, partitions, run_id, to_buckets, whole_partitions
+from larkspur.llm.shared import keep
 from larkspur.llm.textvec import SPACED, Pieces, buffers, mix, pieces, spans
 
 TOP, CLASSES, STATES = 20_000, 1024, 8
-SEGMENT, PASSES = 64, 2
-INIT_DOCS, INIT_TOKENS, INIT_PASSES = 400, 4000, 25
+SEGMENT = 64
+#: Gain in log10-likelihood a training token below which passes end.
+CONVERGED = 1e-3
 ADD = 0.1
 _U = np.uint64
 
@@ -212,6 +215,12 @@ class Model:
 
 def expected(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.ndarray, ...]:
     """Expected counts of starts, inner starts, transitions and emissions over texts (the expectation step)."""
+    return expected_and_likelihood(symbols, bounds, model)[0]
+
+
+def expected_and_likelihood(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[tuple[np.ndarray, ...], float]:
+    """Expected counts, and the log10-likelihood of the segments."""
+    likelihood = 0.0
     size = np.diff(bounds)
     parts = -(-size // SEGMENT)
     text = np.repeat(np.arange(len(size)), parts)
@@ -229,6 +238,7 @@ def expected(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.
             e = model.emit[s]
             a = (np.where(first[:, None], model.start, model.inner) if t == 0 else alpha[-1][:m] @ model.move) * e
             c = a.sum(axis=1, keepdims=True)
+            likelihood += float(np.log10(c).sum())
             alpha.append(a / c)
             seen.append(s)
             scale.append(e / c)
@@ -249,7 +259,7 @@ def expected(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.
         s, g = np.concatenate(seen), np.concatenate(gammas[::-1])
         for k in range(STATES):
             emit[:, k] += np.bincount(s, g[:, k], len(emit))
-    return start, inner, move * model.move, emit
+    return (start, inner, move * model.move, emit), likelihood
 
 
 def log_likelihood(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> np.ndarray:
@@ -305,47 +315,57 @@ def _train_symbols(lexicon: Lexicon):
     return make
 
 
-def first_model(source: DataFrame, lexicon: Lexicon) -> Model:
-    """First values, from passes over at most INIT_DOCS training texts of at most INIT_TOKENS tokens, those of least hash."""
-    can = F.col("i").isNotNull() & (F.length("t") < 6 * INIT_TOKENS) & (F.crc32(F.col("i").cast("string").cast("binary")) % 10 != 0)
-    # a share of all texts of about twice as many, so that few rows meet in the task that takes the first
-    share = min(1.0, 2 * INIT_DOCS / max(1, source.count()))
-    least = F.shiftrightunsigned(F.xxhash64("i"), 11) <= int(share * 2**53)
-    few = source.where(can & least).orderBy(F.xxhash64("i"), "i").limit(INIT_DOCS)
-    rows = few.select("i", "t").toArrow()  # bounded rows of bounded length
-    model = Model.first(lexicon.share)
-    if not rows.num_rows:
-        return model
-    parts = [x for run, _ in _runs(iter(rows.to_batches()), 1 << 40, _train_symbols(lexicon)) for x in run]
-    symbols, bounds = _joined(parts)
-    for _ in range(INIT_PASSES):
-        model = Model.of(expected(symbols, bounds, model), lexicon.share)
-    return model
-
-
-def baum_welch(source: DataFrame, lexicon: Lexicon, model: Model) -> Model:
-    """One pass over all training texts: expected counts of each partition are added up."""
-    sent = source.sparkSession.sparkContext.broadcast((lexicon, model))
+def training_symbols(source: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The symbols of all training texts, written once for all passes: a row for each run of texts."""
+    sent = source.sparkSession.sparkContext.broadcast(lexicon)
 
-    def count(batches):
-        total = None
-        lexicon, model = sent.value
-        for run, _ in _runs(batches, 300_000, _train_symbols(lexicon)):
+    def code(batches):
+        for run, _ in _runs(batches, 300_000, _train_symbols(sent.value)):
             symbols, bounds = _joined(run)
             if len(bounds) > 1:
-                new = expected(symbols, bounds, model)
+                yield pa.RecordBatch.from_arrays([pa.array([blob(symbols.astype(np.uint16))], pa.binary()), pa.array([blob(np.diff(bounds).astype(np.int64))], pa.binary())], names=["symbols", "sizes"])
+
+    small_batches(source.sparkSession)
+    return keep(source.mapInArrow(code, "symbols binary, sizes binary"), "symbols")
+
+
+def baum_welch(training: DataFrame, lexicon: Lexicon, model: Model) -> tuple[Model, float]:
+    """One pass over all training texts: expected counts of each partition are added up. The next model, and the log10-likelihood a token under this one."""
+    sent = training.sparkSession.sparkContext.broadcast(model)
+    last = 2 + STATES + lexicon.symbols  # row of the likelihood and the number of tokens
+
+    def count(batches):
+        total, seen = None, np.zeros(STATES)
+        for b in batches:
+            for s, n in zip(column(b, "symbols"), column(b, "sizes")):
+                symbols = np.frombuffer(s.as_py(), np.uint16).astype(np.int32)
+                new, likelihood = expected_and_likelihood(symbols, np.concatenate([[0], np.cumsum(np.frombuffer(n.as_py(), np.int64))]), sent.value)
                 total = new if total is None else tuple(a + b for a, b in zip(total, new))
+                seen[:2] += likelihood, len(symbols)
         if total is not None:
-            flat = np.concatenate([total[0][None], total[1][None], total[2], total[3]])
+            flat = np.concatenate([total[0][None], total[1][None], total[2], total[3], seen[None]])
             some = np.flatnonzero(flat.any(axis=1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(np.ascontiguousarray(flat[some, k])) for k in range(STATES))], names=["row", *(f"s{k}" for k in range(STATES))])
 
-    small_batches(source.sparkSession)
-    parts = source.mapInArrow(count, "row int, " + ", ".join(f"s{k} double" for k in range(STATES)))
-    rows = parts.groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).toPandas()  # TOP + CLASSES + STATES + 3 rows at most
-    flat = np.zeros((2 + STATES + lexicon.symbols, STATES))
+    small_batches(training.sparkSession, 1)
+    parts = training.mapInArrow(count, "row int, " + ", ".join(f"s{k} double" for k in range(STATES)))
+    rows = parts.groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).toPandas()  # TOP + CLASSES + STATES + 4 rows at most
+    sent.destroy()
+    flat = np.zeros((last + 1, STATES))
     flat[rows["row"].to_numpy(np.int64)] = rows[[f"s{k}" for k in range(STATES)]].to_numpy()
-    return Model.of((flat[0], flat[1], flat[2 : 2 + STATES], flat[2 + STATES :]), lexicon.share)
+    return Model.of((flat[0], flat[1], flat[2 : 2 + STATES], flat[2 + STATES : last]), lexicon.share), flat[last, 0] / max(1.0, flat[last, 1])
+
+
+def train(source: DataFrame, lexicon: Lexicon, passes: int | None = None) -> tuple[Model, list[float]]:
+    """Passes over all training texts, as many as said or until they converge: the model, and the log10-likelihood a token before each pass."""
+    model, found = Model.first(lexicon.share), []
+    training = training_symbols(source, lexicon)
+    while passes is None or len(found) < passes:
+        model, likelihood = baum_welch(training, lexicon, model)
+        found.append(float(likelihood))
+        if passes is None and len(found) > 1 and found[-1] - found[-2] < CONVERGED:
+            break
+    return model, found
 
 
 def score(source: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
@@ -451,13 +471,11 @@ def score(source: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
     return whole_partitions(answers.repartition(n, "run"), collect, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def language_model_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes: int = PASSES) -> DataFrame:
+def language_model_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes: int | None = None) -> DataFrame:
     """Learns the model from the texts that are not held out and scores all of them."""
     source = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
     lexicon = learn_lexicon(source)
-    model = first_model(source, lexicon)
-    for _ in range(passes):
-        model = baum_welch(source, lexicon, model)
+    model, _ = train(source, lexicon, passes)
     return score(source, lexicon, model)
 
 

@@ -326,6 +326,15 @@ def test_passes_raise_the_likelihood():
     assert last > len(symbols) * np.log10(1 / 20) * 0.9
 
 
+def test_training_converges_over_all_texts(spark):
+    rng = random.Random(31)
+    rows = [(i, sentence(rng, 12)) for i in range(500)]
+    rare = [" ".join(f"{'pqrs'[k // 5 % 4]}{rng.randrange(40)}" for k in range(9000)) for _ in range(6)]  # kinds of words in turn, in long texts only
+    docs = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(rare)], "doc_id long, text string").repartition(3).cache()
+    a_token = lambda **k: hmm.language_model_scores(docs, **k).where("not held_out").agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    assert a_token() == pytest.approx(a_token(passes=40), abs=0.03)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body class="has-sidebar"><header><h1>My Site</h1><a href=/>Home</a></header><nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav>
 <div id="cookie-notice"><p>We use cookies to make this site better for you and for all of your friends.</p></div>
 <article><h1>The title &amp; more</h1><p>A first  paragraph\nwith <b>bold</b>er words and &eacute;t&#233;, which is long enough to be taken for content.<p>Second one<br>broken.<div class="ad">Buy this now, it is really cheap and good for you, as all of our customers say.</div><p>A last paragraph of the article that ends here.</article>
