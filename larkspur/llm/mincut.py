@@ -7,7 +7,8 @@ blocks that are neighbours under one parent. The minimum cut, found by maximum f
 separates content from boilerplate.
 
 Cases: null or empty html, or html without text, gives the empty text; tags may be
-unclosed, misnested or cut off at the page's end; character references are decoded;
+unclosed, misnested or cut off at the page's end, where an unclosed select, svg, object,
+canvas or math ends at its tag; character references are decoded;
 white space inside a block is one space; repeated rows each get a result; pages of any
 length are read whole. Only the id, the url and the html are read unless `carry` names
 more columns; a result column replaces a carried one of its name.
@@ -25,7 +26,9 @@ from pyspark.sql import DataFrame
 
 from larkspur.llm.arrowmap import column, map_arrow
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
+#: Elements that go with what they hold; without an end tag only their tag goes.
+_DROPPED = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("select", "svg", "object", "canvas", "math")}
 _MARKS = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _PART = re.compile(r"[A-Z]{2,}(?![a-z])|[A-Za-z][a-z]*")
@@ -121,7 +124,8 @@ def blocks(html: str) -> list[Block]:
 
     glue = [False]  # whether the next text belongs to the last word
     at = 0
-    for m in _TOKEN.finditer(html):
+    unclosed: set[str] = set()  # dropped elements without an end tag from here on
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
@@ -129,6 +133,14 @@ def blocks(html: str) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag in _DROPPED:
+            if not m[2] and tag not in unclosed and not (tag in ("svg", "math") and m[4].endswith("/")):
+                end = _DROPPED[tag].search(html, at)
+                if end:
+                    at = end.end()
+                else:
+                    unclosed.add(tag)
+            continue
         if tag in BLOCK:
             close()
             glue[0] = False

@@ -348,6 +348,16 @@ def test_main_text():
     assert mincut.main_text(None) == mincut.main_text("") == mincut.main_text("<script>x") == ""
 
 
+def test_dropped_elements_end_where_they_should():
+    texts = lambda html: [b.text for b in mincut.blocks(html)]
+    for odd in ('<svg class="i"/>', "<svg/>", "<math />", "<svg-icon></svg-icon>", "<svg-icon a=b></svg-icon>", "<object-view>x</object-view>", "<select-menu></select-menu>", "<script-x></script-x>", "<select><!-- -->", "<svg>", "<object data=a>", "<canvas>", "<math>", "</svg>", "<SVG CLASS='a/b' />"):
+        assert texts(f"<p>one</p>{odd}<p>two</p>") == (["one", "x", "two"] if ">x<" in odd else ["one", "two"]), odd
+    for odd in ("<svg><title>t</title><path d='/'/></svg>", "<select><option>a<option>b</select >", "<object>o</object>", "<canvas>c</canvas>", "<math><mi>x</mi></math>", "<script>s</script>", "<style/>p</style>", "<svg a='/'>z</svg>"):
+        assert texts(f"<p>one</p>{odd}<p>two</p>") == ["one", "two"], odd
+    assert texts("<p>one</p><script>two") == ["one"]
+    assert texts("<select>" * 20000 + "<p>one</p>") == ["one"]
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (3, "v", "<p>" * 5000)], "page_id long, url string, html string")
     got = sorted((r.page_id, r.n_chars, len(r.text)) for r in mincut.extract(df).collect())
