@@ -7,9 +7,11 @@ within partitions, and only local fronts meet. Fronts are small beside their tab
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from larkspur.plans.store import kept
 
 Objectives = Sequence[tuple[str, int]]
 FAR = 1.7976931348623157e308
+#: Points that one task ranks, in two dimensions.
+RANGE_POINTS = 1_000_000
 
 
 def _better(objectives: Objectives, left: str = "", right: str = "") -> tuple[Column, Column]:
@@ -100,21 +104,73 @@ def distinct_front(points: DataFrame, objectives: Objectives) -> DataFrame:
     return front(points, objectives).dropDuplicates(names).orderBy(*(F.col(n) for n in names))
 
 
-def ranks(points: DataFrame, objectives: Objectives, most: int = 1000) -> DataFrame:
-    """Column `rank`: 0 for the front, 1 for the front without that, and so on; one pass a rank, `most` at most.
+def ranks(points: DataFrame, objectives: Objectives) -> DataFrame:
+    """Column `rank`: 0 for the front, 1 for the front without that, and so on, until no point is left.
 
-    What is left after them has a null rank.
+    A point with a null or NaN objective has a null rank. With two objectives ranks are found in one
+    sorted pass; with more there is one pass a rank.
     """
-    left, out, rank = kept(points, "points"), None, 0
-    while rank < most and not left.isEmpty():
-        now = front(left, objectives)
-        mark = kept(now.select(*(n for n, _ in objectives)).distinct(), "front")
-        ranked = left.join(mark, [n for n, _ in objectives], "left_semi").withColumn("rank", F.lit(rank))
-        out = ranked if out is None else out.unionByName(ranked)
-        left = kept(left.join(mark, [n for n, _ in objectives], "left_anti"), "points")
+    names = [n for n, _ in objectives]
+    points = points.drop("rank")
+    full = F.lit(True)
+    for n in names:
+        full = full & F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double"))
+    distinct = points.where(full).select(*names).distinct()
+    ranked = _ranks_2d(distinct, objectives) if len(objectives) == 2 else _ranks_peeled(distinct, objectives)
+    return points.join(ranked, names, "left").select(*points.columns, "rank")
+
+
+def _ranks_2d(distinct: DataFrame, objectives: Objectives) -> DataFrame:
+    """Ranks of distinct points: from the best first objective on, a point is in the first front whose best second objective so far is worse.
+
+    Ranges of the first objective of about RANGE_POINTS take their turns, one sorted task each; one number a front goes from one to the next.
+    """
+    (a, sa), (b, sb) = objectives
+    points = kept(distinct.select(a, b, (F.col(a) * sa).cast("double").alias("_x"), (F.col(b) * sb).cast("double").alias("_y")), "points")
+    n = -(-points.count() // RANGE_POINTS)
+    cuts = sorted(set(points.approxQuantile("_x", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    schema = points.select(a, b, "_y").withColumn("rank", F.lit(0)).schema
+    tails: list[float] = []  # the best second objective of each front so far, negated, so in ascending order
+    out = None
+    for k in range(len(cuts), -1, -1):
+        part = points
+        if k:
+            part = part.where(F.col("_x") > cuts[k - 1])
+        if k < len(cuts):
+            part = part.where(F.col("_x") <= cuts[k])
+        sent = points.sparkSession.sparkContext.broadcast(tails)
+
+        def run(batches):
+            ends = list(sent.value)
+            for batch in batches:
+                found = []
+                for y in batch.column(2).to_pylist():
+                    r = bisect_right(ends, -y)
+                    ends[r : r + 1] = [-y]
+                    found.append(r)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[a, b, "_y", "rank"])
+
+        now = kept(part.repartition(1).sortWithinPartitions(F.col("_x").desc(), F.col("_y").desc()).select(a, b, "_y").mapInArrow(run, schema), "ranks")
+        sent.destroy()
+        if k:
+            for row in now.groupBy("rank").agg(F.max("_y").alias("y")).orderBy("rank").toLocalIterator():
+                tails[row["rank"] : row["rank"] + 1] = [-row["y"]]
+        out = now if out is None else out.unionByName(now)
+    return out.select(a, b, "rank")
+
+
+def _ranks_peeled(distinct: DataFrame, objectives: Objectives) -> DataFrame:
+    """Ranks of distinct points, front by front."""
+    names = [n for n, _ in objectives]
+    left, out, rank = kept(distinct, "points"), None, 0
+    while not left.isEmpty():
+        now = kept(front(left, objectives).withColumn("rank", F.lit(rank)), "front")
+        out = now if out is None else out.unionByName(now)
+        left = kept(left.join(now, names, "left_anti"), "points")
         rank += 1
-    rest = left.withColumn("rank", F.lit(None).cast("int"))
-    return rest if out is None else out.unionByName(rest)
+        if rank % 64 == 0:  # else the plan grows with the ranks
+            out = kept(out, "ranks")
+    return distinct.withColumn("rank", F.lit(0)) if out is None else out
 
 
 def crowding(points: DataFrame, objectives: Objectives, by: list[str] = []) -> DataFrame:

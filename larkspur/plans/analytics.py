@@ -477,6 +477,13 @@ def p03_non_dominated_sort(spark, sf_dir):
     return pareto.ranks(x, [("x", 1), ("y", 1)]).select("k", "rank")
 
 
+@query()
+def p03_non_dominated_sort_customers(spark, sf_dir):
+    """Ranks of all customers by balance and nation; in SQL, chains of so many points take too long."""
+    x = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    return pareto.ranks(x, [("c_acctbal", 1), ("c_nationkey", 1)])
+
+
 @query("""WITH x AS (SELECT p_partkey, p_size, p_retailprice, lag(p_retailprice) OVER a AS a1, lead(p_retailprice) OVER a AS a2, lag(k) OVER b AS b1, lead(k) OVER b AS b2, max(p_retailprice) OVER s - min(p_retailprice) OVER s AS ra, max(k) OVER s - min(k) OVER s AS rb
 FROM (SELECT p_partkey, p_size, p_retailprice + p_partkey * 1e-4 AS p_retailprice, p_partkey AS k FROM part) WINDOW s AS (PARTITION BY p_size), a AS (PARTITION BY p_size ORDER BY p_retailprice, p_partkey), b AS (PARTITION BY p_size ORDER BY k))
 SELECT p_partkey, CASE WHEN a1 IS NULL OR a2 IS NULL OR b1 IS NULL OR b2 IS NULL THEN -1 ELSE round((a2 - a1) / ra + (b2 - b1) / rb, 6) END AS crowding FROM x""")

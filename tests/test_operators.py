@@ -102,6 +102,26 @@ def test_fronts_against_plain_dominance(spark):
     assert len(ranked) == 150 and {r.k for r in ranked if r["rank"] == 0} == front([1, 2])
 
 
+@pytest.mark.parametrize("dims", [2, 3])
+def test_ranks_are_those_of_chains(spark, dims, monkeypatch):
+    monkeypatch.setattr(pareto, "RANGE_POINTS", 40)
+    rng = random.Random(9)
+    pts = [(i, rng.randint(0, 12), rng.choice([0.5, 1.0, 2.0, 7.0]), rng.randint(0, 3)) for i in range(150)] + [(900, None, 1.0, 1), (901, 1, float("nan"), 1)]
+    objectives = [("a", 1), ("b", -1), ("c", 1)][:dims]
+    value = {p[0]: [s * x for x, (_, s) in zip(p[1:], objectives)] for p in pts[:150]}
+    beats = {k: [j for j, w in value.items() if w != v and all(x >= y for x, y in zip(w, v))] for k, v in value.items()}
+    want = {}
+    for k in sorted(value, key=lambda k: len(beats[k])):  # who beats k is beaten by fewer
+        want[k] = 1 + max((want[j] for j in beats[k]), default=-1)
+    got = {r.k: r["rank"] for r in pareto.ranks(spark.createDataFrame(pts, "k int, a int, b double, c int"), objectives).collect()}
+    assert got == {**want, 900: None, 901: None}
+
+
+def test_ranks_of_a_long_chain(spark):
+    chain = spark.range(2500).select("id", (F.col("id") * 2).alias("y"))
+    assert {r.id: r["rank"] for r in pareto.ranks(chain, [("id", 1), ("y", 1)]).collect()} == {i: 2499 - i for i in range(2500)}
+
+
 def test_hypervolume_of_two_boxes(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, 1.0), (0.5, 0.5)], "a double, b double")
     assert pareto.hypervolume(df, [("a", 1), ("b", 1)], (0.0, 0.0)).first()[0] == pytest.approx(4.0)
