@@ -1,4 +1,4 @@
-"""Running a function of Arrow batches over a DataFrame, with batches of bounded bytes."""
+"""Running a function of Arrow batches over a DataFrame, with batches of bounded rows and bytes."""
 
 from __future__ import annotations
 
@@ -8,18 +8,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Rows of text in a batch that goes to Python.
-BATCH_ROWS = 200
+#: Rows and bytes of a batch that goes to Python, the same for all operators: plans are lazy, and the session has one setting.
+BATCH_ROWS, BATCH_BYTES = 200, 4 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of the batches of this session's later Arrow operators."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of this session's Arrow operators; one row of more bytes is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """f of every batch of df; f returns a batch or yields some."""
-    small_batches(df.sparkSession, rows)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

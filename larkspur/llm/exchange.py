@@ -11,16 +11,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from larkspur.llm.arrowmap import BATCH_ROWS, small_batches
+from larkspur.llm.arrowmap import small_batches
 from larkspur.llm.textvec import mix
 
 _U = np.uint64
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of files behind one bucket at most; a bucket's numbers take about three times as much memory.
+BUCKET_BYTES = 128 << 20
+
+
+def partitions(df: DataFrame) -> int:
+    """Buckets for what is made of df: the session's shuffle partitions, or as many as its size asks for."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    named = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, named, -(-size // BUCKET_BYTES) if size < 1 << 60 else 1)  # beyond that Spark does not know it
 
 
 def _murmur(k: np.ndarray) -> np.ndarray:
@@ -64,9 +71,9 @@ def to_buckets(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "bucket")
 
 
-def whole_partitions(df: DataFrame, f: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+def whole_partitions(df: DataFrame, f: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """f of all batches of a partition."""
-    small_batches(df.sparkSession, rows)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -83,7 +90,7 @@ def blob(x: np.ndarray) -> bytes:
 def run_id(first: int) -> int:
     """A number of this run of documents: the same if the task is run again, and another for every other run.
 
-    A task that is run again must read the same rows in the same order, as a scan of files does.
+    A task that is run again must read the same rows in the same order, as a scan of files does (see shared.settled).
     """
     from pyspark import TaskContext
 

@@ -13,10 +13,11 @@ anchor.
    the words that these cover are removed.
 
 Cases: a null or empty text has no words; a text of fewer words than a window keeps
-all; a window that recurs only in its own document stays; rows that repeat an id
-are one document to each other, so neither removes from the other; a row with a null id
-neither removes nor is removed from. Windows are equal if their 64-bit hashes are; all
-are judged on the input.
+all; a window that recurs only in its own document stays; rows that repeat an id, with
+equal texts or other ones, are one document to each other, so neither removes from the
+other, and each loses what its own text repeats; a row with a null id neither removes nor
+is removed from; ids that are not whole numbers are compared in their order. Windows are
+equal if their 64-bit hashes are; all are judged on the input.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.arrowmap import BATCH_ROWS, column, map_arrow, small_batches
 from larkspur.llm.exchange import blob, deal, keys, partitions, to_buckets, whole_partitions
+from larkspur.llm.shared import is_whole, named, numbered
 from larkspur.llm.textvec import SPACED, Pieces, buffers, grams_within, mix, pieces, spans
 
 WINDOW, GRAM = 13, 7
@@ -84,14 +86,14 @@ class Seeds:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], make, most: int) -> Iterator[list]:
-    """Lists of make(pieces, ids) of consecutive documents with about `most` words together."""
+    """Lists of make(pieces, ids, hashes of texts) of consecutive documents with about `most` words together."""
     held, n = [], 0
     for b in batches:
         data, at = buffers(column(b, "t"))
-        ids = column(b, "i").to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, x = (column(b, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("i", "x"))
         for lo, hi in spans(at):
             p = pieces(data[at[lo] : at[hi]], at[lo : hi + 1], SPACED)
-            held.append(make(p, ids[lo:hi]))
+            held.append(make(p, ids[lo:hi], x[lo:hi]))
             n += len(p.hash)
             if n >= most:
                 yield held
@@ -105,7 +107,7 @@ def seeds(source: DataFrame, n: int, window: int, gram: int, bits: int = SEED_BI
     key = keys(n).tolist()
     most = min(max(n * 4096, 200_000), 2_000_000)
 
-    def make(p: Pieces, ids: np.ndarray):
+    def make(p: Pieces, ids: np.ndarray, _):
         _, start, anchor = anchored(p, window, gram)
         return anchor, ids[np.searchsorted(p.hi, start, side="right")]
 
@@ -155,81 +157,110 @@ def seeds(source: DataFrame, n: int, window: int, gram: int, bits: int = SEED_BI
     return Seeds(words, n)
 
 
+def _packed(doc: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """An order by row (its id and the hash of its text), and each row with its count, as bytes."""
+    order = np.lexsort((x, doc))
+    doc, x = doc[order], x[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (x[1:] != x[:-1])
+    first = np.flatnonzero(new)
+    return order, [blob(doc[first]), blob(x[first]), blob(np.diff(np.append(first, len(doc))).astype(np.int32))]
+
+
+def _unpacked(got: list[pa.RecordBatch], *names: str) -> tuple[np.ndarray, np.ndarray]:
+    doc, x, n = (np.frombuffer(b"".join(v for b in got for v in column(b, c).to_pylist()), t) for c, t in zip(names, (np.int64, np.int64, np.int32)))
+    return np.repeat(doc, n), np.repeat(x, n)
+
+
+def _numbers(got: list[pa.RecordBatch], name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(v for b in got for v in column(b, name).to_pylist()), kind)
+
+
 def repeats(source: DataFrame, found: Seeds, window: int, gram: int) -> DataFrame:
-    """For each document: doc, starts (first words of windows that an earlier document has)."""
+    """For each row with any: doc, x (the hash of its text), starts (first words of windows that a document of smaller id has)."""
     spark = source.sparkSession
-    n = partitions(spark)
+    n = found.n
     key = keys(n).tolist()
     most = min(max(n * 4096, 200_000), 1_000_000)
     sent = spark.sparkContext.broadcast(found)
-    names = ["bucket", "h", "doc", "at", "doc2", "at2"]
+    rows_of = lambda names: [f"{c} binary" for c in names]
+    asked, settled_, told = ["doc", "x", "n", "h", "at"], ["doc2", "x2", "n2", "at2"], ["doc", "x", "n", "at"]
 
-    def make(p: Pieces, ids: np.ndarray):
+    def make(p: Pieces, ids: np.ndarray, x: np.ndarray):
         w, start, anchor = anchored(p, window, gram)
         some = sent.value.has(anchor)
         w, start = w[some], start[some]
         owner = np.searchsorted(p.hi, start, side="right")
-        return w, ids[owner], (start - p.lo[owner]).astype(np.int32)
+        return w, ids[owner], x[owner], (start - p.lo[owner]).astype(np.int32)
+
+    def by_row(doc: np.ndarray, x: np.ndarray, *rest: np.ndarray) -> list[bytes]:
+        order, head = _packed(doc, x)
+        return [*head, *(blob(v[order]) for v in rest)]
+
+    def to_rows(doc: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of rows: those of one id are spread, too."""
+        return deal(mix(doc.view(_U) ^ mix(x.view(_U))), n)
 
     def ask(batches):
         for run in _runs(batches, make, most):
-            h, doc, at = (np.concatenate(x) for x in zip(*run))
-            order = np.lexsort((at, doc, h))
-            h, doc, at = h[order], doc[order], at[order]
+            h, doc, x, at = (np.concatenate(v) for v in zip(*run))
+            order = np.lexsort((doc, h))
+            h, doc, x, at = h[order], doc[order], x[order], at[order]
             first = np.ones(len(h), bool)
             first[1:] = h[1:] != h[:-1]
-            group = np.cumsum(first) - 1
-            least = doc[np.flatnonzero(first)][group] if len(h) else doc
-            settled = doc > least  # an earlier document of this run has it
-            sdoc, sat = doc[settled], at[settled]
-            h, doc, at = h[~settled], doc[~settled], at[~settled]
-            order, cut = deal(h, n)
-            h, doc, at = h[order], doc[order], at[order]
-            order, cut2 = deal(mix(sdoc.view(_U)), n)
-            sdoc, sat = sdoc[order], sat[order]
+            least = doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(h) else doc
+            done = doc > least  # an earlier document of this run has it
+            order, cut = deal(h[~done], n)
+            h, doc1, x1, at1 = h[~done][order], doc[~done][order], x[~done][order], at[~done][order]
+            order, cut2 = to_rows(doc[done], x[done])
+            doc2, x2, at2 = doc[done][order], x[done][order], at[done][order]
             rows = [
-                (key[k], blob(h[s]), blob(doc[s]), blob(at[s]), blob(sdoc[z]), blob(sat[z]))
+                (key[k], *by_row(doc1[s], x1[s], h[s], at1[s]), *by_row(doc2[z], x2[z], at2[z]))
                 for k in range(n)
                 for s, z in [(slice(cut[k], cut[k + 1]), slice(cut2[k], cut2[k + 1]))]
                 if cut[k] < cut[k + 1] or cut2[k] < cut2[k + 1]
             ]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 9])], names=["bucket", *asked, *settled_])
 
     def answer(got: list[pa.RecordBatch]):
-        h, doc, at, doc2, at2 = (np.frombuffer(b"".join(x for b in got for x in column(b, c).to_pylist()), t) for c, t in zip(names[1:], (_U, np.int64, np.int32, np.int64, np.int32)))
+        (doc, x), h, at = _unpacked(got, "doc", "x", "n"), _numbers(got, "h", _U), _numbers(got, "at", np.int32)
         order = np.lexsort((doc, h))
-        h, doc, at = h[order], doc[order], at[order]
+        h, doc, x, at = h[order], doc[order], x[order], at[order]
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         later = doc > (doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(h) else doc)
-        doc, at = np.concatenate([doc[later], doc2]), np.concatenate([at[later], at2])
-        order, cut = deal(mix(doc.view(_U)), n)
-        doc, at = doc[order], at[order]
-        rows = [(key[k], blob(doc[s]), blob(at[s])) for k in range(n) for s in [slice(cut[k], cut[k + 1])] if cut[k] < cut[k + 1]]
+        doc2, x2 = _unpacked(got, "doc2", "x2", "n2")
+        doc, x, at = np.concatenate([doc[later], doc2]), np.concatenate([x[later], x2]), np.concatenate([at[later], _numbers(got, "at2", np.int32)])
+        order, cut = to_rows(doc, x)
+        doc, x, at = doc[order], x[order], at[order]
+        rows = [(key[k], *by_row(doc[s], x[s], at[s])) for k in range(n) for s in [slice(cut[k], cut[k + 1])] if cut[k] < cut[k + 1]]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), pa.binary(), pa.binary()])], names=["bucket", "doc", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], names=["bucket", *told])
 
     def collect(got: list[pa.RecordBatch]):
-        doc, at = (np.frombuffer(b"".join(x for b in got for x in column(b, c).to_pylist()), t) for c, t in (("doc", np.int64), ("at", np.int32)))
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        ids, first = np.unique(doc, return_index=True)
+        (doc, x), at = _unpacked(got, "doc", "x", "n"), _numbers(got, "at", np.int32)
+        order = np.lexsort((at, x, doc))
+        doc, x, at = doc[order], x[order], at[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (x[1:] != x[:-1])
+        first = np.flatnonzero(new)
         cut = np.append(first, len(doc))
-        for lo in range(0, len(ids), BATCH_ROWS):
-            hi = min(lo + BATCH_ROWS, len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.ListArray.from_arrays(pa.array((cut[lo : hi + 1] - cut[lo]).astype(np.int32)), pa.array(at[cut[lo] : cut[hi]]))], names=["doc", "starts"])
+        for lo in range(0, len(first), BATCH_ROWS):
+            hi = min(lo + BATCH_ROWS, len(first))
+            starts = pa.ListArray.from_arrays(pa.array((cut[lo : hi + 1] - cut[lo]).astype(np.int32)), pa.array(at[cut[lo] : cut[hi]]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first[lo:hi]]), pa.array(x[first[lo:hi]]), starts], names=["doc", "x", "starts"])
 
     small_batches(spark)
-    asks = source.mapInArrow(ask, "bucket int, h binary, doc binary, at binary, doc2 binary, at2 binary")
-    answers = whole_partitions(to_buckets(asks, n), answer, "bucket int, doc binary, at binary")
-    return whole_partitions(to_buckets(answers, n), collect, "doc long, starts array<int>")
+    asks = source.mapInArrow(ask, ", ".join(["bucket int", *rows_of([*asked, *settled_])]))
+    answers = whole_partitions(to_buckets(asks, n), answer, ", ".join(["bucket int", *rows_of(told)]))
+    return whole_partitions(to_buckets(answers, n), collect, "doc long, x long, starts array<int>")
 
 
 def removed_ranges(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """For each document with repeats: doc, starts (the first words of its repeated windows)."""
-    source = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    found = seeds(source, partitions(docs.sparkSession), window, gram)
+    """For each row with repeats: doc, x (the hash of its text), starts (the first words of its repeated windows)."""
+    source = docs.select(F.col(doc_id).cast("long").alias("i"), F.xxhash64(text).alias("x"), F.col(text).alias("t")).where("i is not null and t is not null")
+    found = seeds(source, partitions(docs), window, gram)
     return repeats(source, found, window, gram)
 
 
@@ -244,13 +275,17 @@ def maximal_repeats(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """For each document: the id, n_words, repeats (maximal ranges of words, removed), and the kept words joined by a space."""
+    if not is_whole(docs, doc_id):
+        rows, ranks = numbered(docs, doc_id, text)
+        return named(dedup_substrings(rows, "_id", "_text", window, gram), ranks, _id=doc_id)
     gone = removed_ranges(docs, doc_id, text, window, gram)
-    joined = docs.select(doc_id, text).withColumn("_i", F.col(doc_id).cast("long")).join(gone, F.col("_i") == F.col("doc"), "left").select(doc_id, text, F.col("starts").alias("_starts"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(doc_id).cast("long").alias("_i"), F.xxhash64(text).alias("_x"))
+    joined = rows.join(gone, (F.col("_i") == F.col("doc")) & (F.col("_x") == F.col("x")), "left").select("_id", "_text", "starts")
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batch: pa.RecordBatch):
-        data, at = buffers(column(batch, text))
-        ids, starts = column(batch, doc_id), column(batch, "_starts")
+        data, at = buffers(column(batch, "_text"))
+        ids, starts = column(batch, "_id"), column(batch, "starts")
         for lo, hi in spans(at):
             p = pieces(data[at[lo] : at[hi]], at[lo : hi + 1], SPACED)
             words, cut, kept = [], [], []
