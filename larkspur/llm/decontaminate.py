@@ -2,32 +2,38 @@
 
 Every window of ten consecutive words of the normalised benchmark texts is a pattern
 of one automaton, which scans each normalised document once. The positions of what
-it finds are mapped back to words, and to characters of the original text.
+it finds are mapped back to words, and to characters of the original text. Where the
+patterns pass MAX_PATTERN_CHARS, they are cut into shards, and each worker holds one
+shard's automaton at a time over a chunk of the documents that it reads; what the shards
+find in a row is united in that row, so the result is that of one automaton.
 
 Cases: a null or empty text has no words and no hits; an item without words, or whose
 id is null, has no windows; an item of fewer than ten words is one window; items of
-equal text or id are reported by their distinct ids; repeated document rows each get
-a result; an empty benchmark gives zero hits everywhere. Only the id and the text
-column are read unless `carry` names more; a result column replaces a carried one of
-its name.
+equal text or id are reported by their distinct ids; a document row gets the result of
+its own text, whether its id is null, repeated or neither; an empty benchmark gives zero
+hits everywhere. Only the id and the text column are read unless `carry` names more; a
+result column replaces a carried one of its name.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.arrowmap import column, map_arrow
+from larkspur.llm.arrowmap import column, small_batches
 from larkspur.llm.textvec import ALNUM, buffers
 
 WINDOW = 10
-#: Characters of patterns in one automaton (about 40 bytes of memory each); a larger benchmark takes several scans.
+#: Characters of patterns in one automaton (about 40 bytes of memory each).
 MAX_PATTERN_CHARS = 4_000_000
+#: Bytes of documents that a worker holds while it goes through the automata of several shards.
+CHUNK_BYTES = 64 << 20
 
 _NORMAL = bytes((b + 32 if 65 <= b <= 90 else b) if ALNUM[b] else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -47,37 +53,34 @@ def windows(text: str | None, size: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def automaton(key: str, patterns: list[tuple[bytes, list[str]]]):
-    """The automaton of these patterns, built once in each Python worker. Bytes are its letters, so offsets are byte offsets."""
+def automaton(key: str, sent):
+    """The automaton of the broadcast patterns (window, ids); a Python worker holds the last one. Bytes are its letters, so offsets are byte offsets."""
     if key not in _automata:
         import ahocorasick
 
         _automata.clear()
         made = ahocorasick.Automaton()
-        for window, ids in patterns:
+        for window, ids in sent.value:
             made.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, ids))
-        if patterns:
+        vars(sent).pop("_value", None)  # a worker need not keep the patterns beside their automaton
+        if len(made):
             made.make_automaton()
         _automata[key] = made
     return _automata[key]
 
 
-def scan(text: bytes, made, any_pattern: bool) -> tuple[int, list[str], list[tuple[int, int]]]:
-    """The number of words, the items found, and the merged word ranges that lie in an occurrence."""
-    words = normal_words(text)
-    if not words or not any_pattern:
-        return len(words), [], []
+def scan(words: list[bytes], made) -> tuple[set[str], list[tuple[int, int]]]:
+    """The items found, and the word ranges of occurrences."""
+    if not words or not len(made):
+        return set(), []
     line = b" " + b" ".join(words) + b" "
     found = list(made.iter(line.decode("latin-1")))
     if not found:
-        return len(words), [], []
+        return set(), []
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     last = np.searchsorted(gaps, [end for end, _ in found])  # the word before this gap
-    ranges, items = [], set()
-    for stop, (_, (size, ids)) in zip(last.tolist(), found):
-        items.update(ids)
-        ranges.append((stop - size, stop))
-    return len(words), sorted(items), merged(ranges)
+    items = {i for _, (_, ids) in found for i in ids}
+    return items, [(stop - size, stop) for stop, (_, (size, _)) in zip(last.tolist(), found)]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,7 +108,7 @@ def shards(items: DataFrame, item_id: str, text: str, most: int):
     chars = one.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] * WINDOW
     parts = max(1, -(-chars // most))
     for part in range(parts):
-        rows = one.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toLocalIterator()  # a part is bounded by `most`
+        rows = one.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == part).toLocalIterator()  # a part is bounded by `most`
         by: dict[bytes, set[str]] = {}
         for row in rows:
             for w in windows(row.t):
@@ -116,65 +119,55 @@ def shards(items: DataFrame, item_id: str, text: str, most: int):
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = (), most: int = MAX_PATTERN_CHARS) -> DataFrame:
     """For each document: n_words, n_hit (words inside occurrences), the items found, and the character spans hit."""
     spark = docs.sparkSession
-    own = [f"`{c}` {t}" for c, t in docs.dtypes if c in {doc_id, *carry}]
-    names = [c for c in docs.columns if c in {doc_id, *carry}]
+    new = ("n_words", "n_hit", "items", "spans")
+    names = [c for c in docs.columns if c in {doc_id, *carry} and c not in new]
+    own = [f"`{c}` {t}" for c, t in docs.dtypes if c in names]
     source = docs.select(*dict.fromkeys([*names, text]))
-    parts = []
-    for patterns in shards(items, item_id, item_text, most):
-        sent, key, any_pattern = spark.sparkContext.broadcast(patterns), uuid.uuid4().hex, bool(patterns)
+    sent = [(uuid.uuid4().hex, spark.sparkContext.broadcast(patterns)) for patterns in shards(items, item_id, item_text, most)]
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
-        def run(batch: pa.RecordBatch, sent=sent, key=key, any_pattern=any_pattern) -> pa.RecordBatch:
-            made = automaton(key, sent.value) if any_pattern else None
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = []
+        for batch in held:
             data, at = buffers(column(batch, text))
-            rows: list[tuple] = []
-            for i in range(batch.num_rows):
-                raw = data[at[i] : at[i + 1]].tobytes()
-                n, ids, ranges = scan(raw, made, any_pattern)
-                rows.append((n, sum(hi - lo for lo, hi in ranges), ids, char_spans(raw, ranges)))
-            n, hit, ids, where = zip(*rows)
-            return pa.RecordBatch.from_arrays(
-                [*(column(batch, c) for c in names), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
-                names=[*names, "n_words", "n_hit", "items", "spans"],
+            raw.append([data[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)])
+        hits = [[(set(), []) for _ in texts] for texts in raw]
+        words = [list(map(normal_words, texts)) for texts in raw] if len(sent) == 1 else None
+        for key, patterns in sent:
+            made = automaton(key, patterns)
+            for b, texts in enumerate(raw):
+                for i, t in enumerate(texts):
+                    ids, ranges = scan(words[b][i] if words else normal_words(t), made)
+                    hits[b][i][0].update(ids)
+                    hits[b][i][1].extend(ranges)
+        for b, batch in enumerate(held):
+            n = [len(words[b][i] if words else normal_words(t)) for i, t in enumerate(raw[b])]
+            ranges = [merged(r) for _, r in hits[b]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(column(batch, c) for c in names),
+                    pa.array(n, pa.int64()),
+                    pa.array([sum(hi - lo for lo, hi in r) for r in ranges], pa.int64()),
+                    pa.array([sorted(ids) for ids, _ in hits[b]], pa.list_(pa.string())),
+                    pa.array([char_spans(t, r) for t, r in zip(raw[b], ranges)], span),
+                ],
+                names=[*names, *new],
             )
 
-        parts.append(map_arrow(source, run, ", ".join([*own, RESULT])))
-    if len(parts) == 1:
-        return parts[0]
-    return _together(parts, docs, doc_id, text, names)
-
-
-def _together(parts: list[DataFrame], docs: DataFrame, doc_id: str, text: str, names: list[str]) -> DataFrame:
-    """Results of several automata as one: spans are merged and their words are counted again."""
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    found = every.where("n_hit > 0").groupBy(doc_id).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("_spans")
-    )
-    names_types = [f"`{c}` {t}" for c, t in docs.dtypes if c in names]
-    joined = docs.select(*dict.fromkeys([*names, text])).join(found, doc_id, "left")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, at = buffers(column(batch, text))
-        items, spans = column(batch, "_items").to_pylist(), column(batch, "_spans").to_pylist()
-        out = []
-        for i in range(batch.num_rows):
-            raw = data[at[i] : at[i + 1]].tobytes()
-            words = [m.span() for m in _WORD.finditer(raw)]
-            where = merged([(s["start"], s["stop"]) for s in spans[i] or []])
-            hit = 0
-            if where:
-                chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-                begin = chars[[w[0] for w in words]]
-                hit = sum(int(np.searchsorted(begin, hi) - np.searchsorted(begin, lo)) for lo, hi in where)
-            out.append((len(words), hit, items[i] or [], [{"start": a, "stop": b} for a, b in where]))
-        n, hit, ids, where = zip(*out)
-        return pa.RecordBatch.from_arrays(
-            [*(column(batch, c) for c in names), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
-            names=[*names, "n_words", "n_hit", "items", "spans"],
-        )
-
-    return map_arrow(joined, run, ", ".join([*names_types, RESULT]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if held and (len(sent) == 1 or size >= CHUNK_BYTES):
+                yield from found(held)
+                held, size = [], 0
+        if held:
+            yield from found(held)
+
+    small_batches(spark)
+    return source.mapInArrow(run, ", ".join([*own, RESULT]))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

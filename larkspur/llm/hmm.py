@@ -121,7 +121,7 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int, make) -> Iterator[tuple[
 def learn_lexicon(source: DataFrame) -> Lexicon:
     """Counts the words of the training texts."""
     spark = source.sparkSession
-    n = partitions(spark)
+    n = partitions(source)
     key = keys(n).tolist()
     most = min(max(n * 4096, 200_000), 1_000_000)
 
@@ -347,7 +347,7 @@ def baum_welch(training: DataFrame, lexicon: Lexicon, model: Model) -> tuple[Mod
             some = np.flatnonzero(flat.any(axis=1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(np.ascontiguousarray(flat[some, k])) for k in range(STATES))], names=["row", *(f"s{k}" for k in range(STATES))])
 
-    small_batches(training.sparkSession, 1)
+    small_batches(training.sparkSession)
     parts = training.mapInArrow(count, "row int, " + ", ".join(f"s{k} double" for k in range(STATES)))
     rows = parts.groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).toPandas()  # TOP + CLASSES + STATES + 4 rows at most
     sent.destroy()
@@ -371,7 +371,7 @@ def train(source: DataFrame, lexicon: Lexicon, passes: int | None = None) -> tup
 def score(source: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
     """Scores every text; counts of rare words come from their buckets, which hold those of the whole corpus."""
     spark = source.sparkSession
-    n = partitions(spark)
+    n = partitions(source)
     key = keys(n).tolist()
     most = min(max(n * 8192, 400_000), 1_000_000)
     sent = spark.sparkContext.broadcast((lexicon, model))

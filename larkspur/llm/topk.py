@@ -30,8 +30,6 @@ from larkspur.llm.shared import keep
 
 K, FRAGMENTS = 5, 4
 BLOCK, QUERY_BLOCK = 4096, 1024
-#: Pairs of blocks in one batch that goes to Python.
-PAIRS = 16
 LARGEST = float(2**28)
 
 
@@ -115,7 +113,7 @@ def search(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
         qid, vec, scores = zip(*out) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(vec, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.int64()))], names=["id", "v", "scores"])
 
-    local = map_arrow(pairs(q_rows), gather, "id long, v array<int>, scores array<long>", rows=PAIRS)
+    local = map_arrow(pairs(q_rows), gather, "id long, v array<int>, scores array<long>")
     scores = Window.partitionBy("id", "v").orderBy(F.col("s").desc())
     cutoff = local.select("id", "v", F.explode("scores").alias("s")).withColumn("n", F.row_number().over(scores)).where(F.col("n") == k).select("id", "v", F.col("s").alias("cutoff"))
     with_cutoff = keep(q_rows.join(cutoff, ["id", "v"], "left"), "cutoffs")
@@ -142,7 +140,7 @@ def search(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
         qid, r, i, s = zip(*out) if out else ((), (), (), ())
         return pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    found = map_arrow(pairs(with_cutoff, "cutoff"), resolve, "query_id long, vec_id long, score long", rows=PAIRS)
+    found = map_arrow(pairs(with_cutoff, "cutoff"), resolve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -118,12 +118,25 @@ def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngramjoin.near_duplicates(empty).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e F")], "doc_id long, text string")
-    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngramjoin.near_duplicates(odd).collect()) == [(-1, 2, 3), (3, 2, 3), (3, 2, 3), (4, 2, 3)]
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngramjoin.near_duplicates(odd).collect()) == [(-1, 2, None), (3, 2, 3), (3, 2, 3), (4, 2, 3)]
+
+
+def test_near_duplicates_of_rows_that_repeat_an_id(spark):
+    a, b, c = ("one two three four five six seven eight nine ten", "k l m n o p q r s t u", "lone row of other words entirely here")
+    rows = [(3, a), (3, b), (4, a + " x"), (5, b + " y"), (6, c), (3, c + " z"), (3, None), (None, a), (7, "")]
+    want = [(None, 6, None), (3, 0, 3), (3, 4, 3), (3, 6, 3), (3, 7, 3), (4, 7, 3), (5, 8, 3), (6, 3, 6), (7, 0, 7)]
+    plain = lambda df: sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=lambda r: (r[0] is not None, *r))
+    assert plain(ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    strings = spark.createDataFrame([(None if i is None else f"d{i}", t) for i, t in rows], "doc_id string, text string")
+    assert plain(ngramjoin.near_duplicates(strings)) == [(None if i is None else f"d{i}", n, None if c is None else f"d{c}") for i, n, c in want]
 
 
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 30), (30, 31), (31, 32), (7, 7)], "a long, b long")
-    assert {r.node: r.label for r in components.components(links).collect()} == {1: 1, 2: 1, 3: 1, 30: 1, 31: 1, 32: 1, 8: 8, 9: 8}
+    want = {1: 1, 2: 1, 3: 1, 30: 1, 31: 1, 32: 1, 7: 7, 8: 8, 9: 8}
+    assert {r.node: r.label for r in components.components(links).collect()} == want
+    hub = spark.range(1, 400).selectExpr("1000 as a", "1000 + id as b").union(spark.range(1, 400).selectExpr("5000 + id as a", "5001 + id as b"))
+    assert {r.node: r.label for r in components.components(links.union(hub)).collect()} == {**want, **{1000 + k: 1000 for k in range(400)}, **{5000 + k: 5001 for k in range(1, 401)}}
 
 
 def plain_substrings(rows):
@@ -150,6 +163,17 @@ def test_substrings(docs):
     assert got == plain_substrings(DOCS)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_substrings_of_rows_that_repeat_an_id(spark, kind):
+    p = sentence(random.Random(1), 20)
+    own = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, f"a b {p}"), (5, f"{own('w', 80)} {p}"), (5, own("v", 8)), (6, own("u", 50)), (6, f"x {p} z"), (6, f"x {p} z"), (None, p), (7, None)]
+    typed = [(i if i is None or kind == "long" else f"k{i}", t) for i, t in rows]
+    done = substring.dedup_substrings(spark.createDataFrame(typed, f"doc_id {kind}, text string").repartition(3))
+    got = sorted((str(r.doc_id).lstrip("k"), r.n_words, sum(x.stop - x.start for x in r.repeats)) for r in done.collect())
+    assert got == [("1", 22, 0), ("5", 8, 0), ("5", 100, 20), ("6", 22, 20), ("6", 22, 20), ("6", 50, 0), ("7", 0, 0), ("None", 20, 0)]
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(3)
     items = [(k, rng.choice(DOCS[:100])[1]) for k in range(6)] + [(90, "One"), (91, ""), (92, None), (None, "a b"), (5, "zz zz")]
@@ -184,6 +208,20 @@ def test_decontamination(spark, docs):
     assert decontaminate.decontaminate(docs, table.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_of_repeated_and_null_ids_and_clashing_names(spark):
+    item, other = (" ".join(f"{c}{k}" for k in range(15)) for c in "uv")
+    table = spark.createDataFrame([(1, item), (2, other), (2, other + " w")], "item_id long, text string")
+    rows = [(None, f"a {item} b"), (7, f"{item} {other}"), (7, "nothing in here"), (7, None), ("x", other)]
+    for kind in ("long", "string"):
+        typed = [(i if i is None else str(i) if kind == "string" else 9 if i == "x" else i, t, 5, 6, 7, 8) for i, t in rows]
+        docs = spark.createDataFrame(typed, f"doc_id {kind}, text string, n_words int, _id int, _items int, spans int")
+        got = [decontaminate.decontaminate(docs, table, most=most, carry=tuple(docs.columns)) for most in (4_000_000, 100)]
+        assert got[0].columns == got[1].columns == ["doc_id", "text", "_id", "_items", "n_words", "n_hit", "items", "spans"]
+        one, several = (sorted(df.select("doc_id", "_items", "n_words", "n_hit", "items", "spans").collect(), key=str) for df in got)
+        assert one == several
+        assert sorted((r.n_words, r.n_hit, r["items"]) for r in one) == [(0, 0, []), (3, 0, []), (15, 15, ["2"]), (17, 15, ["1"]), (30, 30, ["1", "2"])]
+
+
 def test_line_dedup(spark):
     long = "x" * 50
     rows = [(1, f"{long}1\n{long}2\nshort\n{long}3"), (2, f"own line\n{long}1\n{long}2\nshort\nmore of its own"), (3, f"{long}1\n{long}2\nshort\n{long}3"), (4, "short"), (5, "a\nshort"), (6, None), (7, ""), (8, f"{long}3\n{long}1"), (8, f"{long}3\n{long}1")]
