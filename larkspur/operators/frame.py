@@ -75,9 +75,19 @@ def sort(df: DataFrame, column: str, increasing: bool = True) -> DataFrame:
     return df.orderBy(*order_of(column, increasing))
 
 
+def drawn_key(seed: int, *of: str | Column) -> Column:
+    """A digest of a seed and columns, which any engine makes alike: the order of random choices."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *((F.col(c) if isinstance(c, str) else c).cast("string") for c in of)).cast("binary"))
+
+
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
     """A random order that depends on the row id and the seed alone."""
-    return df.orderBy(F.xxhash64(F.lit(seed), ROW), ROW)
+    return df.orderBy(drawn_key(seed, ROW), ROW)
+
+
+def shuffled_places(df: DataFrame, seed: int, name: str = "place") -> DataFrame:
+    """df with each row's place in that order, which outlasts the next shuffle."""
+    return with_row_id(df, drawn_key(seed, ROW).alias("h"), F.col(ROW).alias("i"), name=name)
 
 
 def between(df: DataFrame, begin: int, end: int) -> DataFrame:
@@ -91,7 +101,7 @@ def outside(df: DataFrame, begin: int, end: int) -> DataFrame:
 
 def train_test(df: DataFrame, test_share: float, rows: int, seed: int) -> DataFrame:
     """Column `test`: a random floor(rows * (1 - test_share)) rows train. The cut is exact."""
-    ranked = with_row_id(df.select(ROW), F.xxhash64(F.lit(seed), F.col(ROW)).alias("h"), F.col(ROW).alias("i"), name="_rank")
+    ranked = shuffled_places(df.select(ROW), seed, "_rank")
     return df.join(ranked, ROW).withColumn("test", F.col("_rank") >= int(rows * (1 - test_share))).drop("_rank")
 
 
@@ -122,12 +132,12 @@ def interval(spark: SparkSession, begin: int, end: int) -> DataFrame:
 
 def subset(df: DataFrame, k: int, seed: int) -> DataFrame:
     """Exactly k rows (or all), in order of their ids."""
-    return df.orderBy(F.xxhash64(F.lit(seed), ROW), ROW).limit(k).orderBy(ROW)
+    return df.orderBy(drawn_key(seed, ROW), ROW).limit(k).orderBy(ROW)
 
 
 def draw(seed: int, of: Column, *more: Column) -> Column:
-    """A number of 0..1 made from a seed and columns: the same on every run and partitioning."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), of, *more), 11)).cast("double") / float(2**53)
+    """A number of 0..1 made from a seed and columns: the first 52 bits of their digest, so the same on every run, partitioning and engine."""
+    return F.conv(F.substring(drawn_key(seed, of, *more), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
 def bootstrap(df: DataFrame, rows: int, seed: int, bags: int = 1) -> DataFrame:
@@ -137,7 +147,7 @@ def bootstrap(df: DataFrame, rows: int, seed: int, bags: int = 1) -> DataFrame:
 
 
 def random_row(df: DataFrame, seed: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), ROW), ROW).limit(1)
+    return df.orderBy(drawn_key(seed, ROW), ROW).limit(1)
 
 
 def branch(condition: Column) -> Column:

@@ -1,7 +1,7 @@
 """Samplers and random variates (inventory R1-R14).
 
-Numbers are hashes of a seed and a row's columns, so a sample is the same on every run
-and partitioning; they follow the named distributions, not any particular generator.
+Numbers are digests of a seed and a row's columns, so a sample is the same on every run,
+partitioning and engine; they follow the named distributions, not any particular generator.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.frame import ROW, draw
+from larkspur.operators.frame import ROW, draw, drawn_key
 
 
 def uniform(seed: int, of: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -130,7 +130,7 @@ def latin_hypercube(spark: SparkSession, n: int, low: Sequence[float], high: Seq
     df = spark.range(n).withColumnRenamed("id", ROW)
     for i, (lo, hi) in enumerate(zip(low, high)):
         # a permutation of a design of n points, which is small; the key of one group
-        place = F.row_number().over(Window.partitionBy(F.lit(i)).orderBy(F.xxhash64(F.lit(seed + i), ROW), ROW)) - 1
+        place = F.row_number().over(Window.partitionBy(F.lit(i)).orderBy(drawn_key(seed + i, ROW), ROW)) - 1
         df = df.withColumn(f"x{i}", F.lit(lo) + (place + draw(seed + 31 * i + 1, F.col(ROW))) / n * (hi - lo))
     if edges:
         df = edge_points(spark, low, high).unionByName(df.withColumn(ROW, F.col(ROW) + 2 * len(low)))
@@ -152,11 +152,17 @@ def vector_of(seed: int, of: Column, size: int, sampler=uniform) -> Column:
 
 def subset_of(seed: int, of: Column, v: Column, k: int) -> Column:
     """k elements of an array, in their order."""
-    keyed = F.transform(v, lambda x, i: F.struct(F.xxhash64(F.lit(seed), of, i).alias("h"), i.alias("i"), x.alias("x")))
+    keyed = F.transform(v, lambda x, i: F.struct(drawn_key(seed, of, i).alias("h"), i.alias("i"), x.alias("x")))
     chosen = F.slice(F.array_sort(keyed), 1, k)
     return F.transform(F.array_sort(F.transform(chosen, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
+def random_action(seed: int, of: Column, actions: Column) -> Column:
+    """One of an array of actions, each with the same chance; null if there is none."""
+    n = F.array_size(actions)
+    return F.when(n > 0, F.get(actions, F.floor(draw(seed, of) * n).cast("int")))
+
+
 class LogLinear:
     """A policy over actions with features: softmax of weights, fitted by likelihood or reinforced by a gradient."""
 

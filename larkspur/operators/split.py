@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.frame import draw
+
 Sums = dict[str, Column]
 PARTS = 64
 
@@ -131,7 +133,7 @@ def best_threshold(df: DataFrame, x: str, criterion: Criterion, tolerance: float
 
 def random_threshold(df: DataFrame, x: str, seed: int) -> DataFrame:
     """threshold: uniform between the least and the greatest value."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(x)), 11).cast("double") / float(2**53)
+    u = draw(seed, F.lit(x))
     return df.agg((F.min(x) + u * (F.max(x) - F.min(x))).alias("threshold"))
 
 

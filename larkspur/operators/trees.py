@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.frame import ROW, draw
+from larkspur.operators.frame import ROW, draw, drawn_key
 from larkspur.operators.split import Criterion, InformationGain
 from larkspur.plans.expr import Aggregate, Apply, Constant, Expr, Stump, Test, Variable, importance
 
@@ -156,7 +156,7 @@ def _best_splits(table: DataFrame, names: list[str], criterion: Criterion, rando
     high = {n: F.col(f"a_{n}") - low[n] - miss[n] for n in names}
     scored = run.withColumn("score", F.when((F.col("b") > 0) & (F.coalesce(F.col("lower"), F.lit(-1)) >= 0), criterion.score([low, high, miss])))
     if random_inputs:
-        chosen = table.select("node", "f").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64(F.lit(seed), "node", "f")))).where(F.col("_r") <= random_inputs).select("node", "f")
+        chosen = table.select("node", "f").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(drawn_key(seed, "node", "f")))).where(F.col("_r") <= random_inputs).select("node", "f")
         scored = scored.join(F.broadcast(chosen.withColumn("tried", F.lit(True))), ["node", "f"], "left").withColumn("score", F.when(F.col("tried"), F.col("score")))
     pick = F.max(F.struct(F.coalesce("score", F.lit(-1.0)).alias("s"), (-F.col("f")).alias("f"), (-F.col("b")).alias("b"), "missing"))
     whole_sums = {n: F.col(f"a_{n}") for n in names}

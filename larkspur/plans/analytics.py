@@ -226,16 +226,6 @@ def t05_column_by_key(spark, sf_dir):
     return o.select("row_id", o.columns[frame.find_column(o, "price")])
 
 
-@query(f"SELECT row_id, o_orderkey, price FROM {_ORDERS} ORDER BY price DESC NULLS LAST, row_id LIMIT 500")
-def t06_order_desc_nulls(spark, sf_dir):
-    """The 500 first rows of the order that the flag `increasing` gives."""
-    return frame.top(orders(spark, sf_dir), 500, *frame.order_of("price", True)[:1]).select("row_id", "o_orderkey", "price")
-
-
-@query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders")
-def t07_shuffle(spark, sf_dir):
-    """A random order keeps every row."""
-    return frame.shuffled(orders(spark, sf_dir), 3).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
 
 
 @query(f"SELECT row_id, o_orderkey FROM {_ORDERS} WHERE row_id >= 100 AND row_id < 250")
@@ -248,12 +238,6 @@ def t09_antislice(spark, sf_dir):
     return frame.outside(orders(spark, sf_dir), 100, 250).select("row_id", "o_orderkey")
 
 
-@query("SELECT n - CAST(floor(n * (1 - 0.3)) AS BIGINT) AS tests, CAST(floor(n * (1 - 0.3)) AS BIGINT) AS trains FROM (SELECT count(*) AS n FROM orders)")
-def t11_train_test(spark, sf_dir):
-    o = orders(spark, sf_dir).select("row_id", "o_orderkey")
-    s = frame.train_test(o, 0.3, o.count(), 5)
-    return s.agg(F.count_if("test").alias("tests"), F.count_if(~c("test")).alias("trains"))
-
 
 @query(f"SELECT CAST(f AS INTEGER) AS fold, row_id, (row_id % 5) = f AS test FROM {_ORDERS}, range(5) t(f)")
 def t12_kfold(spark, sf_dir):
@@ -272,17 +256,6 @@ def t15_interval(spark, sf_dir):
     return frame.interval(spark, 20, 90)
 
 
-@query("SELECT CAST(300 AS BIGINT) AS n, CAST(300 AS BIGINT) AS kinds")
-def t16_subset(spark, sf_dir):
-    """Exactly k rows, none twice."""
-    return frame.subset(orders(spark, sf_dir), 300, 4).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("kinds"))
-
-
-@query("SELECT CAST(b AS INTEGER) AS bag, count(*) AS draws FROM orders, range(3) t(b) GROUP BY 1")
-def t17_bootstrap(spark, sf_dir):
-    """Each bag draws as many rows as there are."""
-    o = orders(spark, sf_dir).select("row_id")
-    return frame.bootstrap(o, o.count(), 6, 3).groupBy("bag").agg(F.sum("multiplicity").alias("draws"))
 
 
 @query(f"SELECT CAST(CASE WHEN price IS NULL THEN 2 WHEN price > 150000 THEN 1 ELSE 0 END AS INTEGER) AS branch, count(*) AS n FROM {_ORDERS} GROUP BY 1")
@@ -399,12 +372,6 @@ def d03_best_threshold(spark, sf_dir):
     return split.best_threshold(x, "l_quantity", split.VarianceReduction(("y",))).select("threshold", F.round("score", 6).alias("score"))
 
 
-@query("SELECT true AS inside")
-def d05_random_threshold(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").select("l_quantity")
-    t = split.random_threshold(x, "l_quantity", 9)
-    return x.agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi")).join(t).select(((c("threshold") >= c("lo")) & (c("threshold") <= c("hi"))).alias("inside"))
-
 
 # metrics
 
@@ -563,9 +530,3 @@ def b06_choose(spark, sf_dir):
 def b07_schedules_and_keys(spark, sf_dir):
     """B7 and B8."""
     return table(spark, sf_dir, "events").select("event_id", F.round(bandit.hyperbolic(2.0, 50, c("event_id")), 6).alias("rate"), bandit.pack((c("user_id") % 16, 4), (c("event_id") % 32, 5)).alias("key"))
-
-
-@query()
-def b05_kl_ucb(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(c("event_type").alias("arm"), (c("value") > 50).cast("double").alias("r"))
-    return bandit.with_total(bandit.arms(e, "arm", "r")).select("arm", F.round(bandit.kl_ucb(), 5).alias("index"))

@@ -79,16 +79,6 @@ def s14_front_file(spark, sf_dir):
     return files.read_front(spark, path, 2)
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS index, round(CAST(embedding[i] AS DOUBLE), 5) AS value FROM embeddings, range(1, 9) t(i) WHERE embedding[i] > 0")
-def k02_sparse_rows(spark, sf_dir):
-    x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: F.when(v > 0, v.cast("double"))).alias("v"))
-    return files.sparse_rows(x, "vec_id", "v").select("vec_id", "index", F.round("value", 5).alias("value"))
-
-
-@query("SELECT user_id, " + ", ".join(f"max(CASE WHEN event_type = '{t}' THEN value END) AS {t}" for t in ("click", "purchase", "view")) + " FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY 1")
-def k03_trace_pivot(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where(c("event_type").isin("click", "purchase", "view"))
-    return files.trace_table(e, "user_id", "event_type", "value", ["click", "purchase", "view"])
 
 
 @query("SELECT i AS value, i * 2 AS twice FROM range(200) t(i)")
@@ -100,30 +90,12 @@ def k06_random_source(spark, sf_dir):
 # samplers
 
 
-@query("SELECT CAST(i AS INTEGER) AS coordinate, CAST(500 AS BIGINT) AS intervals, CAST(500 AS BIGINT) AS points FROM range(3) t(i)")
-def r10_latin_hypercube(spark, sf_dir):
-    """Of 500 intervals each coordinate uses each once."""
-    x = sampling.latin_hypercube(spark, 500, [0.0, -1.0, 5.0], [1.0, 1.0, 9.0], 3)
-    long = x.select(F.explode(F.array(*(F.struct(F.lit(i).alias("coordinate"), F.floor((c(f"x{i}") - lo) / (hi - lo) * 500).alias("at")) for i, (lo, hi) in enumerate([(0.0, 1.0), (-1.0, 1.0), (5.0, 9.0)])))).alias("e"))
-    return long.groupBy("e.coordinate").agg(F.count_distinct("e.at").alias("intervals"), F.count(F.lit(1)).alias("points"))
-
 
 @query("SELECT i AS row_id, CAST(CASE WHEN i = 0 THEN 0 WHEN i = 1 THEN 1 ELSE 0.5 END AS DOUBLE) AS x0, CAST(CASE WHEN i = 2 THEN -1 WHEN i = 3 THEN 3 ELSE 1 END AS DOUBLE) AS x1 FROM range(4) t(i)")
 def r11_edge_points(spark, sf_dir):
     return sampling.edge_points(spark, [0.0, -1.0], [1.0, 3.0])
 
 
-@query("SELECT true AS mean_ok, true AS sd_ok, true AS laplace_ok, true AS gamma_ok, true AS beta_ok, true AS categorical_ok, true AS inside")
-def r02_variates(spark, sf_dir):
-    """Means and deviations of variates lie within four standard errors."""
-    k, n = c("row_id"), 20_000
-    x = frame.interval(spark, 0, n).select(sampling.gaussian(1, k, 2.0, 3.0).alias("g"), sampling.laplace(2, k, 1.0, 2.0).alias("l"), sampling.gamma(3, k, 2.5, 2.0).alias("a"), sampling.beta(4, k, 2.0, 3.0).alias("b"), sampling.categorical(5, k, [1, 2, 5]).alias("c"), sampling.uniform(6, k, -1, 4).alias("u"))
-    near = lambda v, mean, sd: F.abs(F.avg(v) - mean) < 4 * sd / n**0.5
-    return x.agg(
-        near("g", 2.0, 3.0).alias("mean_ok"), (F.abs(F.stddev_pop("g") - 3.0) < 0.1).alias("sd_ok"), near("l", 1.0, 8**0.5).alias("laplace_ok"), near("a", 5.0, (2.5 * 4) ** 0.5).alias("gamma_ok"), near("b", 0.4, 0.2).alias("beta_ok"),
-        near((c("c") == 2).cast("double"), 0.625, 0.4841).alias("categorical_ok"), ((F.min("u") >= -1) & (F.max("u") <= 4)).alias("inside"),
-    )
-
 
 @query("SELECT l_linenumber AS k, round(exp(-power((l_linenumber - 3) / 2.0, 2) / 2) / (2 * sqrt(2 * pi())), 6) AS pdf FROM lineitem GROUP BY 1")
 def r06_gaussian_pdf(spark, sf_dir):
@@ -144,34 +116,7 @@ def _items(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("k"), c("l_quantity").alias("q"), (c("l_discount") * 100).alias("d"), F.when(c("l_linenumber") % 5 != 0, c("l_tax") * 100).alias("t"), (c("l_extendedprice") / 1000).alias("y"))
 
 
-@query()
-def d06_tree(spark, sf_dir):
-    """A regression tree of the price: depth, tests, rows, and its error beside that of the mean."""
-    x = _items(spark, sf_dir)
-    g = trees.grow(x, ["q", "d", "t"], split.VarianceReduction(("y",)), max_depth=4, min_examples=50)[0]
-    scored = x.withColumn("p", g.tree.column()).join(F.broadcast(x.agg(F.avg("y").alias("mean"))))
-    return scored.agg(F.count(F.lit(1)).alias("n"), F.round(m.rmse(c("y"), c("p")), 6).alias("rmse"), F.round(m.rrse(c("y"), c("p"), c("mean")), 6).alias("rrse")).withColumn("tests", F.lit(g.tests())).withColumn("depth", F.lit(g.tree.depth()))
-
-
-@query()
-def e08_importance(spark, sf_dir):
-    """The inputs' importance in a classification tree of the return flag."""
-    x = table(spark, sf_dir, "lineitem").select("l_quantity", "l_tax", F.datediff("l_shipdate", F.lit("1992-01-01")).cast("double").alias("day"), "l_returnflag")
-    g = trees.grow(x, ["l_quantity", "l_tax", "day"], split.InformationGain("l_returnflag", ("A", "N", "R")), max_depth=3)[0]
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in sorted(g.importance().items())], "input string, importance double")
-
 
-@query()
-def d09_forest(spark, sf_dir):
-    """Accuracy of a forest of bagged trees over random inputs on rows that it has not seen."""
-    e = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("row_id"), c("label").cast("string").alias("label"), *(c("embedding")[i].cast("double").alias(f"e{i}") for i in range(9)))
-    labels = tuple(r.label for r in e.select("label").distinct().orderBy("label").collect())
-    model = trees.forest(e.where("row_id % 3 <> 0"), [f"e{i}" for i in range(9)], split.InformationGain("label", labels), trees=3, max_depth=2, seed=2, max_bins=16)
-    votes = model.children
-    total = F.array(*(sum((v.column()[i] for v in votes[1:]), votes[0].column()[i]) for i in range(len(labels))))
-    scored = e.where("row_id % 3 = 0").withColumn("p", total)
-    code = F.array_position(F.array(*(F.lit(x) for x in labels)), c("label")) - 1
-    return scored.agg(F.count(F.lit(1)).alias("n"), F.round(m.class_accuracy(code, c("p"), True), 6).alias("accuracy"))
 
 
 # incremental learners
@@ -234,28 +179,4 @@ def _bowl(x):
     return sum(((v - 0.3 * (i + 1)) * (v - 0.3 * (i + 1)) for i, v in enumerate(x[1:], 1)), (x[0] - 0.3) * (x[0] - 0.3))
 
 
-@query("SELECT true AS near")
-def o01_random_search(spark, sf_dir):
-    p = search.Problem([-1.0, -1.0], [1.0, 1.0], _bowl)
-    return spark.range(1).select(F.lit(search.random_search(spark, p, 20_000).fitness < 0.01).alias("near"))
-
-
-@query("SELECT true AS near, true AS within")
-def o03_cross_entropy(spark, sf_dir):
-    p, said = search.Problem([-1.0, -1.0], [1.0, 1.0], _bowl), search.Callbacks(every=200)
-    best = search.cross_entropy(spark, p, 200, 20, 6, callbacks=said)
-    return spark.range(1).select(F.lit(best.fitness < 0.01).alias("near"), F.lit(said.evaluations <= 1200).alias("within"))
 
-
-@query("SELECT true AS near")
-def o06_surrogate_search(spark, sf_dir):
-    p = search.Problem([-1.0, -1.0], [1.0, 1.0], _bowl)
-    return spark.range(1).select(F.lit(bool(search.surrogate_search(spark, p, 10, 4, 300).fitness < 0.3)).alias("near"))
-
-
-@query()
-def o07_selection_criteria(spark, sf_dir):
-    """Greedy, optimistic, probability of improvement and expected improvement of parts, whose price is taken for a mean and size for a deviation."""
-    x = table(spark, sf_dir, "part").select("p_partkey", (c("p_retailprice") / 1000).alias("mean"), (c("p_size") / 50).alias("sd"))
-    parts = {"greedy": search.greedy(c("mean")), "optimistic": search.optimistic(c("mean"), c("sd")), "pi": search.probability_of_improvement(c("mean"), c("sd"), 1.2), "ei": search.expected_improvement(c("mean"), c("sd"), 1.2)}
-    return x.select("p_partkey", *(F.round(v, 5).alias(k) for k, v in parts.items()))

@@ -52,12 +52,6 @@ def t14_schema_from_domain(spark, sf_dir):
     return e.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(",".join(f"{n} {t}" for n, t in e.dtypes)))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS n, true AS there")
-def t18_random_row(spark, sf_dir):
-    o = orders(spark, sf_dir).select("row_id", "o_orderkey")
-    one = frame.random_row(o, 11)
-    return one.agg(F.count(F.lit(1)).alias("n"), F.min(c("o_orderkey") >= 0).alias("there"))
-
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 7")
 def t21_top_n(spark, sf_dir):
@@ -150,19 +144,6 @@ def f07_multiplexer(spark, sf_dir):
     return rows.select("row_id", e.column().alias("y"))
 
 
-@query("SELECT true AS bounded, true AS round_trip, true AS runs")
-def g01_random_programs(spark, sf_dir):
-    """Sampled and varied programs stay within their depth, survive both linear forms, and run."""
-    rng, names, functions = random.Random(1), ["x", "y"], ["+", "-", "*", "p/", "sin", "max"]
-    made = [programs.ramped(names, functions, 2, 5, rng) for _ in range(12)]
-    for e in list(made):
-        made += [programs.shrink(e, rng), programs.swap(e, names, functions, rng), programs.insert(e, names, functions, rng), programs.koza(e, names, functions, rng), *programs.crossover(e, made[0], rng)]
-    back = all(programs.from_postfix(programs.to_postfix(e)) == e and programs.from_prefix(programs.to_prefix(e)) == e for e in made)
-    rows = frame.interval(spark, 0, 50).select((c("row_id") / 10).alias("x"), (c("row_id") % 7).cast("double").alias("y"))
-    runs = rows.select(*(e.column().cast("double").alias(f"e{i}") for i, e in enumerate(made[:12])))
-    done = runs.agg((F.count(F.lit(1)) == 50).alias("runs"))
-    return done.select(F.lit(all(e.depth() <= programs.MAX_DEPTH for e in made)).alias("bounded"), F.lit(back).alias("round_trip"), "runs")
-
 
 # splits and trees
 
@@ -201,14 +182,6 @@ def d06_tree_of_depth_one(spark, sf_dir):
     return out.select("upper", "prediction", F.lit(g.tests()).alias("tests"), F.lit(g.tree.depth()).alias("depth"))
 
 
-@query("SELECT CAST(3 AS INTEGER) AS members, true AS averaged")
-def d08_ensemble(spark, sf_dir):
-    """An ensemble predicts the mean of its members."""
-    x = table(spark, sf_dir, "part").select(c("p_size").cast("double").alias("s"), c("p_retailprice").alias("y"), c("p_partkey").alias("row_id"))
-    members = [g.tree for g in trees.grow(x, ["s"], split.VarianceReduction(("y",)), 3, max_depth=2, bags=True)]
-    mean = sum((t.column() for t in members[1:]), members[0].column()) / 3
-    return x.agg((F.max(F.abs(expr.Aggregate(tuple(members)).column() - mean)) < 1e-9).alias("averaged")).select(F.lit(len(members)).alias("members"), "averaged")
-
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS k, CAST(i AS INTEGER) AS input, CASE i WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END AS value FROM lineitem, range(3) t(i)")
 def d11_candidate_inputs(spark, sf_dir):
@@ -221,14 +194,6 @@ def d11_candidate_inputs(spark, sf_dir):
 # metrics
 
 
-@query("SELECT round(0.25, 6) AS scaled, true AS minimised, round(avg(l_tax), 6) AS expected, true AS gradient_ok FROM lineitem")
-def m08_objectives(spark, sf_dir):
-    """A metric's range, the mean over instances, and the gradient check."""
-    r = m.Range(8.0, 0.0)
-    loss = lambda w: (float((w**4).sum()), 4 * w**3)
-    ok = search.gradient_error(loss, np.array([0.5, -1.0])) < 1e-4
-    return table(spark, sf_dir, "lineitem").agg(F.round(F.avg("l_tax"), 6).alias("expected")).select(F.lit(r.scaled(6.0)).alias("scaled"), F.lit(r.minimised).alias("minimised"), "expected", F.lit(ok).alias("gradient_ok"))
-
 
 # Pareto sets
 
@@ -255,125 +220,18 @@ def r05_projection(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(c("l_linenumber").alias("k")).distinct().select("k", sampling.projected(c("k") * 1.5, 2.0, 8.0).alias("projected"))
 
 
-@query("SELECT true AS mixed, true AS kept, true AS summed")
-def r07_mixtures_and_subsets(spark, sf_dir):
-    """A mixture takes its share, a subset keeps its size and order, a normalised vector its norm."""
-    x = frame.interval(spark, 0, 10_000)
-    k = c("row_id")
-    mixed = sampling.mixture(3, k, 0.25, F.lit(0.0), F.lit(1.0))
-    some = sampling.subset_of(4, k, F.sequence(F.lit(1), F.lit(9)), 4)
-    unit = sampling.normalised_by_l1([sampling.gaussian(5, k), sampling.gaussian(6, k)])
-    y = x.select(mixed.alias("m"), some.alias("s"), (F.abs(unit[0]) + F.abs(unit[1])).alias("u"))
-    return y.agg((F.abs(F.avg("m") - 0.25) < 0.02).alias("mixed"), F.min((F.size("s") == 4) & (F.array_sort("s") == c("s"))).alias("kept"), F.min(F.abs(c("u") - 1) < 1e-9).alias("summed"))
-
-
-@query("SELECT true AS fitted, true AS reinforced")
-def r13_log_linear_policy(spark, sf_dir):
-    rng = np.random.default_rng(2)
-    steps = [(rng.normal(size=(4, 3)), 0) for _ in range(30)]
-    steps = [(a, int(np.argmax(a @ [1.0, -2.0, 0.5]))) for a, _ in steps]
-    p = sampling.LogLinear(3, 0.05, 0.01)
-    before = p.log_likelihood(steps)[0]
-    after = p.reinforce(steps).log_likelihood(steps)[0]
-    fitted = p.fit(steps).log_likelihood(steps)[0]
-    return facts(spark, fitted=bool(fitted >= after), reinforced=bool(after > before))
-
-
-@query("SELECT true AS lbfgs_near, true AS cma_near, true AS front, true AS inside, true AS rollouts, true AS counted")
-def o08_optimisers(spark, sf_dir):
-    """L-BFGS, covariance adaptation, a sorted-front search, genetic operators in their box, nested rollouts and a bandit of solvers."""
-    rosen = lambda w: (float((1 - w[0]) ** 2 + 100 * (w[1] - w[0] ** 2) ** 2), np.array([-2 * (1 - w[0]) - 400 * w[0] * (w[1] - w[0] ** 2), 200 * (w[1] - w[0] ** 2)]))
-    x, _ = search.lbfgs(rosen, np.array([-1.2, 1.0]), 200)
-    y, v = search.cma_es(lambda w: float(((w - 0.3) ** 2).sum()), [1.0, 1.0, 1.0], 0.5)
-    _, f = search.nsga2(lambda w: np.array([w[0] ** 2, (w[0] - 1) ** 2 + w[1] ** 2]), [-2, -2], [2, 2], 30, 30)
-    rng, low, high = np.random.default_rng(1), np.zeros(3), np.ones(3)
-    kids = [search.uniform_mutation(np.full(3, 0.5), low, high, 1.0, rng), search.non_uniform_mutation(np.full(3, 0.5), low, high, 1.0, 0.5, 2.0, rng), search.polynomial_mutation(np.full(3, 0.9), low, high, 1.0, 5.0, rng), *search.sbx_crossover(low, high, low, high, 2.0, rng)]
-    best, _ = search.nested_rollout((), lambda s: [0, 1, 2] if len(s) < 4 else [], lambda s, a: (*s, a), sum, 2, 12, seed=3)
-    counts = search.bandit_of_solvers([lambda i: 0.1, lambda i: 0.9], 50)
-    return facts(
-        spark, lbfgs_near=bool(np.abs(x - 1).max() < 1e-2), cma_near=bool(v < 1e-6), front=bool(np.median(f.sum(axis=1)) < 1.3 and len(f) > 5), inside=bool(all(((k >= 0) & (k <= 1)).all() for k in kids)), rollouts=bool(best >= 7),
-        counted=bool(sum(counts) == 50 and counts[1] > counts[0]),
-    )
-
-
-@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 5) AS x1, round(CAST(embedding[2] AS DOUBLE), 5) AS x2 FROM embeddings")
-def o13_encoder(spark, sf_dir):
-    x = search.vector_to_columns(table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e")), "e", 2)
-    return x.select("vec_id", F.round("x1", 5).alias("x1"), F.round("x2", 5).alias("x2"))
-
-
-@query("SELECT CAST(5 AS BIGINT) AS runs, true AS solved, true AS told")
-def o02_repeat_and_callbacks(spark, sf_dir):
-    """Repeated searches with a limit and a curve of their best."""
-    p = search.Problem([-1.0], [1.0], lambda x: x[0] * x[0])
-    said = search.Callbacks(every=400, most=100_000)
-    best = search.repeated(5, lambda i: search.random_search(spark, p, 400, i, said).fitness)
-    return facts(spark, runs=len(best), solved=max(best) < 0.01, told=len(said.curve) == 5).select(c("runs").cast("long"), "solved", "told")
+
+
+
 
 
 _KL = "(SELECT event_type AS arm, count(*)::DOUBLE AS n, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS p, (SELECT count(*) FROM events)::DOUBLE AS t FROM events GROUP BY 1)"
 
 
-@query(f"SELECT arm, true AS above, true AS solves FROM {_KL}")
-def b05_kl_ucb_solves(spark, sf_dir):
-    """The index lies above the mean and its divergence meets the bound."""
-    e = table(spark, sf_dir, "events").select(c("event_type").alias("arm"), (c("value") > 50).cast("double").alias("r"))
-    x = bandit.with_total(bandit.arms(e, "arm", "r")).withColumn("q", bandit.kl_ucb())
-    p, q = c("mean"), c("q")
-    kl = p * F.ln(p / q) + (1 - p) * F.ln((1 - p) / (1 - q))
-    return x.select("arm", (q > p).alias("above"), (F.abs(kl * c("n") - F.ln("t")) < 1e-2).alias("solves"))
-
-
-@query("SELECT CAST(30 AS BIGINT) AS n, true AS near")
-def e13_gaussian_process(spark, sf_dir):
-    """A process fitted to 40 points predicts 30 others of a smooth function."""
-    t = np.linspace(-2, 2, 40)[:, None]
-    model = search.GaussianProcess(0.01).fit(t, np.sin(t[:, 0]))
-    rows = frame.interval(spark, 0, 30).select((-1.9 + c("row_id") * 0.13).alias("x0"))
-    return model.columns(rows, ["x0"]).agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(c("mean") - F.sin("x0"))) < 0.1).alias("near"))
-
-
-@query("SELECT CAST(3 AS INTEGER) AS models, true AS last_ok")
-def g06_fitted_q(spark, sf_dir):
-    """Values of two actions over three steps: the last step's tree predicts its rewards' means."""
-    x = frame.interval(spark, 0, 600).select((c("row_id") % 200).alias("k"), F.floor(c("row_id") / 200).cast("int").alias("step"), ((c("row_id") * 37) % 11).cast("double").alias("s"), ((c("row_id") * 7) % 2).cast("double").alias("a"))
-    x = x.withColumn("reward", F.when((c("s") > 5) == (c("a") > 0.5), 1.0).otherwise(0.0))
-    models = search.fitted_q(x, ["s"], "a", "reward", "step", "k", 2, max_depth=3)
-    error = x.where("step = 2").agg((F.max(F.abs(models[2].column() - c("reward"))) < 1e-9).alias("last_ok"))
-    return error.select(F.lit(len(models)).alias("models"), "last_ok")
-
-
-@query("SELECT CAST(200 AS BIGINT) AS chunk, true AS splits, true AS never")
-def i11_split_decision(spark, sf_dir):
-    """A leaf splits once its bound is met; without a criterion it never does."""
-    rng = np.random.default_rng(3)
-    x = rng.uniform(-1, 1, (1500, 2))
-    tree, never = learners.HoeffdingTree(2, learners.StandardDeviationReduction(), chunk=200), learners.HoeffdingTree(2, learners.Never())
-    for v in x:
-        for t in (tree, never):
-            t.push(v, float(v[0] > 0) * 5)
-    return facts(spark, chunk=tree.chunk, splits=tree.leaves() > 1, never=never.leaves() == 1).select(c("chunk").cast("long"), "splits", "never")
-
-
-@query("SELECT true AS swarm, true AS surrogate")
-def o10_swarm_and_surrogate_fronts(spark, sf_dir):
-    """Fronts of two bowls by a swarm and by weighted surrogates."""
-    two = lambda w: np.array([w[0] ** 2 + w[1] ** 2, (w[0] - 1) ** 2 + w[1] ** 2])
-    _, f = search.smpso(two, [-2, -2], [2, 2], 30, 40)
-    _, g = search.parego(spark, [-2.0, -2.0], [2.0, 2.0], lambda x: [x[0] * x[0] + x[1] * x[1], (x[0] - 1) * (x[0] - 1) + x[1] * x[1]], 12, 3, 300)
-    return facts(spark, swarm=bool(np.median(f.sum(axis=1)) < 1.05 and len(f) > 10), surrogate=bool(len(g) > 0 and g.sum(axis=1).min() < 2.5))
-
-
-@query("SELECT true AS boosted_better, true AS right")
-def d12_boosting(spark, sf_dir):
-    """Squared-loss boosting beats one tree of its depth, and weighted stumps learn a box (retired learners)."""
-    x = frame.interval(spark, 0, 400).select(((c("row_id") * 37) % 101 / 50 - 1).alias("a"), ((c("row_id") * 53) % 103 / 51 - 1).alias("b"))
-    x = x.withColumn("y", c("a") * c("a") + 2 * c("b")).withColumn("t", (c("a") > -0.5) & (c("b") > -0.25)).cache()
-    v = split.VarianceReduction(("y",))
-    one, many = trees.grow(x, ["a", "b"], v, max_depth=2, max_bins=16)[0].tree, trees.l2_boosting(x, ["a", "b"], "y", 3, 0.8, max_depth=2, max_bins=16)
-    _, sign = trees.adaboost(x, ["a", "b"], "t", 3)
-    error = lambda p: F.avg(F.pow(c("y") - p, F.lit(2.0)))
-    return x.agg((error(many.column()) < error(one.column())).alias("boosted_better"), (F.avg((sign == c("t")).cast("double")) > 0.95).alias("right"))
+
+
+
+
 
 
 def _grid(names: str, low: float, span: float) -> str:
