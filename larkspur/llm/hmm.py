@@ -11,15 +11,16 @@ distributed.
 2. Baum-Welch: each pass computes expected counts of transitions and emissions in every
    partition and adds them up over all training texts, whose symbols are written once.
    Passes go on until one raises the log10-likelihood a training token by less than
-   CONVERGED, at any size. Within a pass texts are cut into segments of SEGMENT tokens
-   that share a start distribution; first values are the shares of symbols with noise.
+   CONVERGED, at any size. Texts are whole: those of like length go step by step together,
+   and a long one goes in blocks whose first states are kept, so that memory is bounded.
+   First values are the shares of symbols with noise.
 3. Every text is scored by the scaled forward recursion over all its tokens, exactly;
    rare words look up their counts by a second shuffle, which returns sums to their texts.
 
 Cases: a null or empty text is the end alone; no training texts leave the smoothed
 uniform distribution; a null id counts as the empty text in the fold; rows that repeat
-an id are scored and learned from each; texts of any length are scored whole. Words
-are equal if their 64-bit hashes are.
+an id are scored and learned from each; ids may be of any type; texts of any length are
+learned from and scored whole. Words are equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -35,11 +36,14 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.arrowmap import column, small_batches
 from larkspur.llm.exchange import blob, deal, keys, partitions, run_id, to_buckets, whole_partitions
-from larkspur.llm.shared import keep
+from larkspur.llm.shared import is_whole, keep, settled
 from larkspur.llm.textvec import SPACED, Pieces, buffers, mix, pieces, spans
 
 TOP, CLASSES, STATES = 20_000, 1024, 8
-SEGMENT = 64
+#: Tokens that go step by step together; a text with more goes in blocks of as many.
+GROUP = 1 << 18
+#: Tokens of a row of training symbols, within which texts of like length find each other.
+RUN = 3_000_000
 #: Gain in log10-likelihood a training token below which passes end.
 CONVERGED = 1e-3
 ADD = 0.1
@@ -181,20 +185,18 @@ def learn_lexicon(source: DataFrame) -> Lexicon:
 
 
 def _most_frequent(words: DataFrame):
-    """The words of the greatest counts, at most TOP: those above a count on a grid of 16 steps an octave, so that no task sorts them all."""
+    """The TOP words of the greatest counts, ties by hash: those above a count on a grid of 16 steps an octave, so that few are sorted."""
     step = F.floor(F.log2("m") * 16).cast("int")
     sizes = words.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("k", ascending=False)  # 16 rows an octave
-    fit = sizes.loc[sizes["n"].cumsum() <= TOP, "k"]
-    least = int(fit.min()) if len(fit) else 1 << 30
-    return words.where(step >= least).toPandas().sort_values(["m", "h"], ascending=[False, True])  # at most TOP rows
+    enough = sizes.loc[sizes["n"].cumsum() >= TOP, "k"]
+    return words.where(step >= (int(enough.max()) if len(enough) else 0)).orderBy(F.col("m").desc(), "h").limit(TOP).toPandas()
 
 
 @dataclass
 class Model:
-    """Start of a text, start of a later segment, transitions, and emissions by symbol."""
+    """Start of a text, transitions, and emissions by symbol."""
 
     start: np.ndarray
-    inner: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # symbol x state
 
@@ -203,90 +205,115 @@ class Model:
         noise = np.random.default_rng(7).gamma(2.0, size=(len(share), STATES))
         emit = share[:, None] * noise
         move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
-        return Model(np.full(STATES, 1 / STATES), np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
+        return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
     @staticmethod
     def of(counts: tuple[np.ndarray, ...], share: np.ndarray) -> Model:
         """The maximisation step, smoothed so that every symbol can come from every state."""
-        start, inner, move, emit = counts
+        start, move, emit = counts
         unit = lambda x, add, axis=0: (x + add) / (x + add).sum(axis=axis, keepdims=True)
-        return Model(unit(start, 0.1), unit(inner, 0.1), unit(move, 0.1, 1), unit(emit, 20 * share[:, None]))
+        return Model(unit(start, 0.1), unit(move, 0.1, 1), unit(emit, 20 * share[:, None]))
 
 
-def expected(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.ndarray, ...]:
-    """Expected counts of starts, inner starts, transitions and emissions over texts (the expectation step)."""
-    return expected_and_likelihood(symbols, bounds, model)[0]
-
-
-def expected_and_likelihood(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[tuple[np.ndarray, ...], float]:
-    """Expected counts, and the log10-likelihood of the segments."""
+def groups(size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Texts in order of falling size, in groups of at most `most` tokens or one text."""
+    order = np.argsort(-size, kind="stable")
+    total = np.concatenate([[0], np.cumsum(size[order])])
+    lo = 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, side="right")) - 1)
+        yield order[lo:hi]
+        lo = hi
+
+
+def stepwise(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts by falling size: the bounds of steps (all first tokens, all second ones, ..), each token's text, and its place."""
+    live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+    at = np.concatenate([[0], np.cumsum(live)])
+    step = np.repeat(np.arange(len(live)), live)
+    text = np.arange(at[-1]) - at[step]
+    return at, text, begin[text] + step
+
+
+def _blocks(at: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Steps in blocks of at most `most` tokens, or one step."""
+    out, lo, n = [], 0, len(at) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def forward(emitted: np.ndarray, at: list[int], model: Model, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled forward recursion over steps with bounds `at`, from the states before them (None: the start): shares of states after each token, and its factor of the likelihood."""
+    a, c, ones = np.empty_like(emitted), np.empty(len(emitted)), np.ones(STATES)
+    for lo, hi in zip(at, at[1:]):
+        now, factor = a[lo:hi], c[lo:hi]
+        if before is None:
+            np.multiply(model.start, emitted[lo:hi], out=now)
+        else:
+            np.matmul(before[: hi - lo], model.move, out=now)
+            now *= emitted[lo:hi]
+        np.dot(now, ones, out=factor)
+        now /= factor[:, None]
+        before = now
+    return a, c
+
+
+def expected(symbols: np.ndarray, bounds: np.ndarray, model: Model, most: int = GROUP) -> tuple[tuple[np.ndarray, ...], float]:
+    """The expectation step over texts: expected counts of starts, transitions and emissions, and the log10-likelihood."""
+    start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(model.emit)
+    back = np.ascontiguousarray(model.move.T)
     likelihood = 0.0
     size = np.diff(bounds)
-    parts = -(-size // SEGMENT)
-    text = np.repeat(np.arange(len(size)), parts)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = bounds[:-1][text] + nth * SEGMENT
-    length = np.minimum(SEGMENT, bounds[1:][text] - begin)
-    start, inner, move, emit = np.zeros(STATES), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(model.emit)
-    for lo in range(0, len(begin), 4096):
-        order = np.argsort(-length[lo : lo + 4096], kind="stable") + lo
-        b, n, first = begin[order], length[order], nth[order] == 0
-        live = np.searchsorted(-n, -np.arange(1, n[0] + 1), side="right")  # segments that have a token at each step
-        alpha, seen, scale = [], [], []
-        for t, m in enumerate(live):
-            s = symbols[b[:m] + t]
-            e = model.emit[s]
-            a = (np.where(first[:, None], model.start, model.inner) if t == 0 else alpha[-1][:m] @ model.move) * e
-            c = a.sum(axis=1, keepdims=True)
+    for some in groups(size, most):
+        at, _, place = stepwise(bounds[some], size[some])
+        blocks = _blocks(at, most)
+        entered: list[np.ndarray | None] = [None]  # the states before each block
+        for lo, hi in blocks[:-1]:
+            a, _ = forward(model.emit[symbols[place[at[lo] : at[hi]]]], (at[lo : hi + 1] - at[lo]).tolist(), model, entered[-1])
+            entered.append(a[at[hi - 1] - at[lo] :].copy())
+        after = None  # emission, scale and what follows, of the step behind
+        for (lo, hi), before in zip(blocks[::-1], entered[::-1]):
+            ends = (at[lo : hi + 1] - at[lo]).tolist()
+            s = symbols[place[at[lo] : at[hi]]]
+            right = model.emit[s]
+            a, c = forward(right, ends, model, before)
             likelihood += float(np.log10(c).sum())
-            alpha.append(a / c)
-            seen.append(s)
-            scale.append(e / c)
-        beta = np.ones((live[-1], STATES))
-        gammas = []
-        for t in range(len(live) - 1, -1, -1):
-            m = live[t]
-            if len(beta) < m:
-                beta = np.concatenate([beta, np.ones((m - len(beta), STATES))])
-            gammas.append(alpha[t] * beta)
-            right = scale[t] * beta
-            if t:
-                move += alpha[t - 1][:m].T @ right
-                beta = right @ model.move.T
-        g = gammas[-1]
-        start += g[first].sum(axis=0)
-        inner += g[~first].sum(axis=0)
-        s, g = np.concatenate(seen), np.concatenate(gammas[::-1])
-        for k in range(STATES):
-            emit[:, k] += np.bincount(s, g[:, k], len(emit))
-    return (start, inner, move * model.move, emit), likelihood
-
-
-def log_likelihood(symbols: np.ndarray, bounds: np.ndarray, model: Model) -> np.ndarray:
+            right /= c[:, None]
+            beta = np.ones((ends[1], STATES))
+            for x, y in zip(ends[-2::-1], ends[::-1]):
+                now = a[x:y]
+                if after is not None:
+                    move += now[: len(after)].T @ after
+                    np.matmul(after, back, out=beta[: len(after)])
+                now *= beta[: y - x]
+                after = right[x:y]
+                after *= beta[: y - x]
+            if before is None:
+                start += a[: ends[1]].sum(axis=0)
+            else:
+                after = after.copy()  # the next block's last step is not shorter
+            a = np.ascontiguousarray(a.T)
+            for k in range(STATES):
+                emit[:, k] += np.bincount(s, a[k], len(emit))
+    return (start, move * model.move, emit), likelihood
+
+
+def log_likelihood(symbols: np.ndarray, bounds: np.ndarray, model: Model, most: int = GROUP) -> np.ndarray:
     """log10 of each text's likelihood: the scaled forward recursion over all its symbols."""
     size = np.diff(bounds)
-    order = np.argsort(-size, kind="stable")
-    b, n = bounds[:-1][order], size[order]
-    out = np.zeros(len(n))
-    live = np.searchsorted(-n, -np.arange(1, (n[0] if len(n) else 0) + 1), side="right").tolist()
-    a = None
-    product = np.ones(len(n))
-    for t, m in enumerate(live):
-        e = model.emit[symbols[b[:m] + t]]
-        a = model.start * e if a is None else (a[:m] @ model.move) * e
-        c = a.sum(axis=1)
-        a /= c[:, None]
-        product[:m] *= c
-        if t % 16 == 15:
-            out[:m] += np.log10(product[:m])
-            product[:m] = 1
-        if t + 1 == len(live) or live[t + 1] < m:
-            done = slice(live[t + 1] if t + 1 < len(live) else 0, m)
-            out[done] += np.log10(product[done])
-            product[done] = 1
-    result = np.empty(len(n))
-    result[order] = out
-    return result
+    out = np.zeros(len(size))
+    for some in groups(size, most):
+        at, text, place = stepwise(bounds[some], size[some])
+        before = None
+        for lo, hi in _blocks(at, most):
+            tokens = slice(at[lo], at[hi])
+            a, c = forward(model.emit[symbols[place[tokens]]], (at[lo : hi + 1] - at[lo]).tolist(), model, before)
+            out[some] += np.bincount(text[tokens], np.log10(c), len(some))
+            before = a[at[hi - 1] - at[lo] :].copy()
+    return out
 
 
 def with_ends(symbols: np.ndarray, p: Pieces, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,12 +345,13 @@ def _train_symbols(lexicon: Lexicon):
 def training_symbols(source: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The symbols of all training texts, written once for all passes: a row for each run of texts."""
     sent = source.sparkSession.sparkContext.broadcast(lexicon)
+    kind = np.uint16 if lexicon.symbols <= 1 << 16 else np.int32
 
     def code(batches):
-        for run, _ in _runs(batches, 300_000, _train_symbols(sent.value)):
+        for run, _ in _runs(batches, RUN, _train_symbols(sent.value)):
             symbols, bounds = _joined(run)
             if len(bounds) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array([blob(symbols.astype(np.uint16))], pa.binary()), pa.array([blob(np.diff(bounds).astype(np.int64))], pa.binary())], names=["symbols", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array([blob(symbols.astype(kind))], pa.binary()), pa.array([blob(np.diff(bounds).astype(np.int64))], pa.binary())], names=["symbols", "sizes"])
 
     small_batches(source.sparkSession)
     return keep(source.mapInArrow(code, "symbols binary, sizes binary"), "symbols")
@@ -332,28 +360,29 @@ def training_symbols(source: DataFrame, lexicon: Lexicon) -> DataFrame:
 def baum_welch(training: DataFrame, lexicon: Lexicon, model: Model) -> tuple[Model, float]:
     """One pass over all training texts: expected counts of each partition are added up. The next model, and the log10-likelihood a token under this one."""
     sent = training.sparkSession.sparkContext.broadcast(model)
-    last = 2 + STATES + lexicon.symbols  # row of the likelihood and the number of tokens
+    kind = np.uint16 if lexicon.symbols <= 1 << 16 else np.int32
+    last = 1 + STATES + lexicon.symbols  # row of the likelihood and the number of tokens
 
     def count(batches):
         total, seen = None, np.zeros(STATES)
         for b in batches:
             for s, n in zip(column(b, "symbols"), column(b, "sizes")):
-                symbols = np.frombuffer(s.as_py(), np.uint16).astype(np.int32)
-                new, likelihood = expected_and_likelihood(symbols, np.concatenate([[0], np.cumsum(np.frombuffer(n.as_py(), np.int64))]), sent.value)
+                symbols = np.frombuffer(s.as_py(), kind)
+                new, likelihood = expected(symbols, np.concatenate([[0], np.cumsum(np.frombuffer(n.as_py(), np.int64))]), sent.value)
                 total = new if total is None else tuple(a + b for a, b in zip(total, new))
                 seen[:2] += likelihood, len(symbols)
         if total is not None:
-            flat = np.concatenate([total[0][None], total[1][None], total[2], total[3], seen[None]])
+            flat = np.concatenate([total[0][None], total[1], total[2], seen[None]])
             some = np.flatnonzero(flat.any(axis=1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(np.ascontiguousarray(flat[some, k])) for k in range(STATES))], names=["row", *(f"s{k}" for k in range(STATES))])
 
     small_batches(training.sparkSession)
     parts = training.mapInArrow(count, "row int, " + ", ".join(f"s{k} double" for k in range(STATES)))
-    rows = parts.groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).toPandas()  # TOP + CLASSES + STATES + 4 rows at most
+    rows = parts.groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).toPandas()  # TOP + CLASSES + STATES + 3 rows at most
     sent.destroy()
     flat = np.zeros((last + 1, STATES))
     flat[rows["row"].to_numpy(np.int64)] = rows[[f"s{k}" for k in range(STATES)]].to_numpy()
-    return Model.of((flat[0], flat[1], flat[2 : 2 + STATES], flat[2 + STATES : last]), lexicon.share), flat[last, 0] / max(1.0, flat[last, 1])
+    return Model.of((flat[0], flat[1 : 1 + STATES], flat[1 + STATES : last]), lexicon.share), flat[last, 0] / max(1.0, flat[last, 1])
 
 
 def train(source: DataFrame, lexicon: Lexicon, passes: int | None = None) -> tuple[Model, list[float]]:
@@ -376,6 +405,8 @@ def score(source: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
     most = min(max(n * 8192, 400_000), 1_000_000)
     sent = spark.sparkContext.broadcast((lexicon, model))
     header = ["tokens", "known", "base", "score"]
+    kind = dict(source.dtypes)["i"]
+    arrow_id = pa.int64() if kind == "bigint" else pa.string()
 
     def make(p: Pieces, ids: list):
         lexicon = sent.value[0]
@@ -421,7 +452,7 @@ def score(source: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
                 start = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
                 row = (key[k], me, blob(part[start]), blob(np.diff(np.append(start, len(part))).astype(np.int32)), blob(doc[s]), blob(count[s]))
                 rows.append((*row, *((ids, blob(tokens.astype(np.int64)), blob(known.astype(np.int64)), blob(base), blob(exact)) if k == me % n else (None,) * 5)))
-            types = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), *[pa.binary()] * 4]
+            types = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(arrow_id), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["bucket", "run", "h", "docs", "doc", "count", "ids", *header])
 
     def answer(got):
@@ -441,7 +472,7 @@ def score(source: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
             at += len(doc)
             some, inverse = np.unique(doc, return_inverse=True)
             out.append((r["run"], blob(some), blob(np.bincount(inverse, value[s], len(some))), blob(np.bincount(inverse, known[s], len(some)).astype(np.int32)), r["ids"], *(r[x] for x in header)))
-        types = [pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), *[pa.binary()] * 4]
+        types = [pa.int64(), *[pa.binary()] * 3, pa.list_(arrow_id), *[pa.binary()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["run", "doc", "value", "more", "ids", *header])
 
     def collect(got):
@@ -460,23 +491,25 @@ def score(source: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
                 exact[d] += v
                 known[d] += np.frombuffer(more, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r["ids"], pa.int64()), pa.array([held_out(i) for i in r["ids"]]), pa.array(tokens), pa.array(known), pa.array(np.full(len(tokens), lexicon.tokens, np.int64)), pa.array(base), pa.array(exact)],
+                [pa.array(r["ids"], arrow_id), pa.array([held_out(i) for i in r["ids"]]), pa.array(tokens), pa.array(known), pa.array(np.full(len(tokens), lexicon.tokens, np.int64)), pa.array(base), pa.array(exact)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
     small_batches(spark)
     blobs = "tokens binary, known binary, base binary, score binary"
-    asks = source.mapInArrow(ask, f"bucket int, run long, h binary, docs binary, doc binary, count binary, ids array<long>, {blobs}")
-    answers = whole_partitions(to_buckets(asks, n), answer, f"run long, doc binary, value binary, more binary, ids array<long>, {blobs}")
-    return whole_partitions(answers.repartition(n, "run"), collect, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asks = source.mapInArrow(ask, f"bucket int, run long, h binary, docs binary, doc binary, count binary, ids array<{kind}>, {blobs}")
+    answers = whole_partitions(to_buckets(asks, n), answer, f"run long, doc binary, value binary, more binary, ids array<{kind}>, {blobs}")
+    return whole_partitions(answers.repartition(n, "run"), collect, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def language_model_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes: int | None = None) -> DataFrame:
-    """Learns the model from the texts that are not held out and scores all of them."""
-    source = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
+    """Learns the model from the texts that are not held out and scores all of them; the fold is that of the id as text."""
+    name = F.col(doc_id).cast("long" if is_whole(docs, doc_id) else "string")
+    source = settled(docs.select(name.alias("i"), F.col(text).alias("t")))
     lexicon = learn_lexicon(source)
     model, _ = train(source, lexicon, passes)
-    return score(source, lexicon, model)
+    scored = score(source, lexicon, model)
+    return scored.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType)) if not is_whole(docs, doc_id) else scored
 
 
 def op3_hmm(spark, sf_dir: str) -> DataFrame:
