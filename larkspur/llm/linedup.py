@@ -17,9 +17,11 @@ Documents of the same lines are one class: the later ones are aligned in full wi
 first. Before pairing, such copies are set aside.
 
 Cases: a null or empty text has no lines and stays; lines are compared byte for byte;
-empty lines are not counted and go with the line before them; rows that repeat an id get
-the same deletions, so they should repeat its text too; a row with a null id is compared
-with nothing and stays; texts are read whole.
+empty lines are not counted and go with the line before them; rows that repeat an id, with
+equal texts or other ones, are one document to each other, so neither loses lines to the
+other, and each loses what its own text shares with earlier ids; a row with a null id is
+compared with nothing and stays; ids may be of any type that has an order; texts are read
+whole.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrowmap import column, map_arrow
-from larkspur.llm.shared import keep
+from larkspur.llm.shared import fresh, keep
 from larkspur.llm.textvec import LINE, buffers, pieces, spans
 
 #: Bytes of an aligned block that is deleted.
@@ -44,11 +46,11 @@ GROWTH = 16
 
 
 def _line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """For each document the hashes and sizes of its lines."""
+    """For each row, known by its id i and the hash x of its text, the hashes and sizes of its lines."""
 
     def run(batch: pa.RecordBatch):
-        data, at = buffers(column(batch, text))
-        ids = column(batch, doc_id)
+        data, at = buffers(column(batch, "t"))
+        ids = column(batch, "id")
         for lo, hi in spans(at):
             p = pieces(data[at[lo] : at[hi]], at[lo : hi + 1], LINE)
             cuts = pa.array(np.append(p.lo, len(p.hash)).astype(np.int32))
@@ -56,8 +58,8 @@ def _line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             n = pa.ListArray.from_arrays(cuts, pa.array((p.stop - p.start).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), h, n], names=["id", "h", "n"])
 
-    kind = dict(docs.dtypes)[doc_id]
-    return map_arrow(docs.select(doc_id, text), run, f"id {kind}, h array<long>, n array<int>")
+    rows = docs.select(F.struct(F.col(doc_id).alias("i"), F.xxhash64(text).alias("x")).alias("id"), F.col(text).alias("t"))
+    return map_arrow(rows, run, f"id {dict(rows.dtypes)['id']}, h array<long>, n array<int>")
 
 
 def unique_matches(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
@@ -194,19 +196,20 @@ def _runs_left(docs: DataFrame, least: int) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_CHARS) -> DataFrame:
-    """For each document with something to delete: id and the positions of those lines, counted without empty ones."""
+    """For each row with something to delete: id (i, and x, the hash of its text) and the positions of those lines, counted without empty ones."""
     lines = keep(_line_rows(docs.where(F.col(doc_id).isNotNull()), doc_id, text).where("size(h) > 0"), "lines")
     key = F.struct(F.size("h").alias("lines"), F.xxhash64("h").alias("x"), F.xxhash64(F.lit(7), "h").alias("y"))
     lines = lines.withColumn("key", key)
     first = keep(lines.groupBy("key").agg(F.min("id").alias("first")), "first")
     classed = keep(lines.join(first, "key"), "classed")
-    same = classed.where("id > first and aggregate(n, 0L, (s, x) -> s + x) >= " + str(least)).select("id", F.sequence(F.lit(0), F.size("h") - 1).alias("gone"))
+    same = classed.where("id.i > first.i and aggregate(n, 0L, (s, x) -> s + x) >= " + str(least)).select("id", F.sequence(F.lit(0), F.size("h") - 1).alias("gone"))
+    twins = classed.where("id.i = first.i and id <> first").select("id", "first").distinct()  # of one id, with other empty lines
     ones = classed.where("id = first").dropDuplicates(["id", "key"]).select("id", "h", "n")
 
     each = keep(_runs_left(ones.withColumn("gone", F.lit(None).cast("array<int>")), least), "runs")
     # written, so that the join below reads both sides by its own shuffles, which Spark splits where one run has very many rows
     owned = keep(each.groupBy("run").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1"), "owned")
-    shared = keep(each.join(owned, "run").where("id > owner"), "shared")
+    shared = keep(each.join(owned, "run").where("id.i > owner.i"), "shared")
     linked = keep(shared.select("id", "owner").distinct(), "pairs")
     cut = keep(_aligned(linked, ones, ones.select(F.col("id").alias("owner"), F.col("h").alias("oh")), least), "cut")
 
@@ -216,6 +219,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     left = keep(left.join(some, ["id", "run"], "left_semi"), "left")
     if not left.isEmpty():
         cut = _other_holders(ones, each, left, cut, least)
+    cut = cut.unionByName(twins.join(cut.withColumnRenamed("id", "first"), "first").select("id", "gone"))
     return _united(cut.unionByName(same.select("id", "gone")))
 
 
@@ -243,7 +247,7 @@ def _other_holders(ones: DataFrame, each: DataFrame, left: DataFrame, cut: DataF
     begin, end = 0, GROWTH
     while begin < most and not left.isEmpty():
         now = held.where((F.col("order") >= begin) & (F.col("order") < end))
-        linked = keep(left.join(now, "run").where("owner < id").select("id", "owner").distinct(), "pairs")
+        linked = keep(left.join(now, "run").where("owner.i < id.i").select("id", "owner").distinct(), "pairs")
         cut = cut.unionByName(keep(_aligned(linked, texts, owners, least), "cut"))
         gone = _united(cut.join(left.select("id").distinct(), "id", "left_semi"))
         left = keep(_runs_left(texts.join(gone, "id"), least).join(left, ["id", "run"], "left_semi").unionByName(left.join(gone, "id", "left_anti").select("id", "run")), "left")
@@ -269,11 +273,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     new = ("n_lines", "n_removed")
     names = [c for c in docs.columns if c in {doc_id, text, *carry} and c not in new]
     own = [f"`{c}` {t}" for c, t in docs.dtypes if c in names]
-    gone = removed_lines(docs, doc_id, text, least).select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
-    joined = docs.select(*names).join(gone, F.col(doc_id) == F.col("_id"), "left").drop("_id")
+    i, x, cut = fresh(docs.columns, "i", "x", "gone")
+    gone = removed_lines(docs, doc_id, text, least).select(F.col("id.i").alias(i), F.col("id.x").alias(x), F.col("gone").alias(cut))
+    rows = docs.select(*(F.col(f"`{c}`") for c in names))
+    joined = rows.join(gone, (F.col(f"`{doc_id}`") == F.col(i)) & (F.xxhash64(text) == F.col(x)), "left").drop(i, x)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, cuts = column(batch, text).to_pylist(), column(batch, "_gone").to_pylist()
+        texts, cuts = column(batch, text).to_pylist(), column(batch, cut).to_pylist()
         got = [(t, sum(1 for x in (t or "").split("\n") if x), 0) if not g else (*strip(t or "", set(g)), len(g)) for t, g in zip(texts, cuts)]
         texts, lines, removed = zip(*got)
         by = {text: pa.array(texts, pa.string())}

@@ -10,7 +10,7 @@ from larkspur.operators.frame import with_row_id
 from larkspur.plans.store import kept as keep
 from larkspur.plans.store import shared_folder
 
-__all__ = ["is_whole", "keep", "named", "numbered", "settled", "shared_folder"]
+__all__ = ["fresh", "is_whole", "keep", "named", "numbered", "settled", "shared_folder"]
 
 _SCANS = frozenset({"LogicalRelation", "Project", "Filter"})
 
@@ -29,6 +29,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df if scans(df._jdf.queryExecution().optimizedPlan()) else keep(df, "settled")
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """These names, each with as many underscores more as it takes to clash with none of those taken."""
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def is_whole(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
