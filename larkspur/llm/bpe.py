@@ -68,11 +68,10 @@ class PairTable:
 class Vocabulary:
     """The rank file of a byte-level BPE, with its pairs and what was encoded lately."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str):
         import regex
 
-        with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
         self.split = regex.compile(pattern).findall
         size = max(self.rank.values()) + 1
         token = [b""] * size
@@ -226,10 +225,12 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 _vocabularies: dict[tuple[str, str], Vocabulary] = {}
 
 
-def vocabulary(path: str, pattern: str) -> Vocabulary:
-    if (path, pattern) not in _vocabularies:
-        _vocabularies[path, pattern] = Vocabulary(path, pattern)
-    return _vocabularies[path, pattern]
+def vocabulary(ranks: bytes, pattern: str, key: str | None = None) -> Vocabulary:
+    """The vocabulary of a rank file's content, made once in each process."""
+    key = key or hashlib.sha256(ranks).hexdigest()
+    if (key, pattern) not in _vocabularies:
+        _vocabularies[key, pattern] = Vocabulary(ranks, pattern)
+    return _vocabularies[key, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -256,8 +257,12 @@ def _map(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, carry
     names = [c for c in docs.columns if c in {doc_id, *carry} and c not in new]
     own = [f"`{c}` {t}" for c, t in docs.dtypes if c in names]
 
+    with open(path, "rb") as f:
+        ranks = f.read()  # a vocabulary's file, of a few MB at most; workers need not have it
+    key, sent = hashlib.sha256(ranks).hexdigest(), docs.sparkSession.sparkContext.broadcast(ranks)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        v = vocabulary(path, pattern)
+        v = _vocabularies.get((key, pattern)) or vocabulary(sent.value, pattern, key)
         ids = v.encode(t or "" for t in column(batch, text).to_pylist())
         raw = [v.decode(x) for x in ids]
         return pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), *made(ids, raw)], names=[*names, *new])
