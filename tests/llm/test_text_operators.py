@@ -252,6 +252,17 @@ def test_line_dedup_is_that_of_all_pairs(spark):
     assert got == want
 
 
+def test_line_dedup_of_repeated_ids_and_clashing_names(spark):
+    x, y, z = ("x" * 45, "y" * 45, "z" * 45)
+    rows = [(1, x), (3, f"{x}\n{y}"), (3, "own\nlines"), (3, f"{y}\n{z}"), (5, f"a\n{y}"), (5, f"a\n\n{y}"), (None, f"{x}\n{y}"), (7, None)]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame([(i if i is None or kind == "long" else str(i), t, 1, 2, 3, 4) for i, t in rows], f"doc_id {kind}, text string, _gone int, gone int, i int, n_removed int")
+        out = linedup.dedup_lines(df, carry=tuple(df.columns))
+        assert out.columns == ["doc_id", "text", "_gone", "gone", "i", "n_lines", "n_removed"]
+        got = sorted((str(r.doc_id), str(r.text), r.n_removed, r.gone) for r in out.collect())
+        assert got == sorted([("1", x, 0, 2), ("3", y, 1, 2), ("3", "own\nlines", 0, 2), ("3", f"{y}\n{z}", 0, 2), ("5", "a", 1, 2), ("5", "a\n", 1, 2), ("None", f"{x}\n{y}", 0, 2), ("7", "None", 0, 2)])
+
+
 def test_patience_aligns_like_a_subsequence():
     rng = random.Random(2)
     for _ in range(200):
@@ -266,7 +277,7 @@ def test_bpe_round_trip_and_reference(docs):
     tiktoken = pytest.importorskip("tiktoken")
     tokenizers = pytest.importorskip("public_tokenizers")
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    v = bpe.vocabulary(path, tokenizers.PATTERN)
+    v = bpe.vocabulary(open(path, "rb").read(), tokenizers.PATTERN)
     plain = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=v.rank, special_tokens={})
     rng = random.Random(9)
     alphabet = ["a", "b", " ", "  ", "\n", "é", "\x1c", "\x85", "\xa0", "1", "!", "'s", "😀", "日本", "the", "tion", "\x00", "<|endoftext|>"]
@@ -295,6 +306,34 @@ def test_top_k(spark):
     assert got == want
 
 
+def test_top_k_of_vectors_of_any_size(spark):
+    rng = np.random.default_rng(9)
+    scale = [1, 1, 2.0**12, 2.0**20, 2.0**30, 2.0**60]
+    rows = [(i, [float(x) for x in (rng.normal(size=3) * scale[i % 6]).astype(np.float32)]) for i in range(120)] + [(200, [1.0, 2.0]), (201, [2.0**20, 1.0]), (250, [0.0, 0.0])]
+    q = {i: [int(np.floor(256 * np.float64(x))) for x in e] for i, e in rows}
+    want = set()
+    for i, a in q.items():
+        if i % 50 == 0:
+            scored = sorted((-min(max(sum(x * y for x, y in zip(a, b)), -(2**63)), 2**63 - 1), j) for j, b in q.items() if j != i and len(b) == len(a))[:5]
+            want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in topk.search(df, F.col("id") % 50 == 0).collect()} == want
+    assert {r.score for r in topk.search(df, F.col("id") == 200).collect()} == {256 * 256 * (2**20 + 2), 0}
+    with pytest.raises(ValueError):
+        topk.search(df.select(F.col("vec_id").cast("string").alias("vec_id"), "embedding"), F.lit(True))
+
+
+def test_queries_below_the_cutoff_are_not_multiplied():
+    rng = np.random.default_rng(3)
+    q, c = (np.floor(rng.normal(size=(n, 8)) * 50) for n in (40, 300))
+    full = (q @ c.T).astype(np.int64)
+    cut = np.sort(full, axis=1)[:, -5].astype(float)
+    cut[::2] = full.max(axis=1)[::2] + 1  # which no row reaches
+    rows, lists = topk.lists_that_reach(q, c, cut, 4)
+    assert (sum(lists) == full[rows]).all() and set(range(1, 40, 2)) <= set(rows.tolist())
+    assert topk.lists_that_reach(q, c, np.full(40, np.linalg.norm(q, axis=1).max() * np.linalg.norm(c, axis=1).max() * 8), 4)[0].size == 0
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (3, 2, "user", " more "), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 0, None, None), (None, 0, "user", "hi"), (6, None, "user", "x"), (7, 0, "user", "hi"), (7, 1, "assistant", "no")]
     rows += [(8, t, "user", f"t{t}") for t in range(700)] + [(9, t, "user", f"t{t}") for t in range(600)]
@@ -331,11 +370,19 @@ def test_hmm_counts_base_and_likelihood(spark, docs):
     assert hmm.language_model_scores(docs.limit(0)).count() == 0
 
 
+def test_hmm_scores_each_row_by_its_own_text(spark):
+    rows = [(1, "a b c"), (1, "a b c d"), (None, "a b"), (2, None), (3, "a b c"), (4, "zz"), (4, "zz")] * 3
+    got = [hmm.language_model_scores(spark.createDataFrame([(i if i is None or kind == "long" else str(i), t) for i, t in rows], f"doc_id {kind}, text string").repartition(2), passes=2).collect() for kind in ("long", "string")]
+    plain = lambda rs: sorted((str(r.doc_id), r.n_tokens, r.held_out, round(r.base_score, 6), round(r.score, 6)) for r in rs)
+    assert plain(got[0]) == plain(got[1]) and sorted(r.n_tokens for r in got[0]) == sorted([4, 5, 3, 1, 4, 2, 2] * 3)
+    assert len({(r.n_tokens, r.score) for r in got[0]}) == 5 and got[1][0].__getattr__("train_tokens") > 0
+
+
 def test_forward_recursion_is_the_sum_over_paths():
     rng = np.random.default_rng(6)
     k, s = hmm.STATES, 5
     unit = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
-    m = hmm.Model(unit(rng.random(k), 0), unit(rng.random(k), 0), unit(rng.random((k, k)), 1), unit(rng.random((s, k)), 0))
+    m = hmm.Model(unit(rng.random(k), 0), unit(rng.random((k, k)), 1), unit(rng.random((s, k)), 0))
     symbols, bounds = rng.integers(0, s, 9), np.array([0, 3, 3 + 1, 9])
 
     def total(seq):
@@ -344,9 +391,43 @@ def test_forward_recursion_is_the_sum_over_paths():
             a = (a[:, None] * m.move).sum(axis=0) * m.emit[x]
         return np.log10(a.sum())
 
-    assert np.allclose(hmm.log_likelihood(symbols, bounds, m), [total(symbols[a:b]) for a, b in zip(bounds, bounds[1:])])
-    start, inner, move, emit = hmm.expected(symbols, bounds, m)
-    assert start.sum() == pytest.approx(3) and emit.sum() == pytest.approx(9) and move.sum() == pytest.approx(6) and inner.sum() == 0
+    want = [total(symbols[a:b]) for a, b in zip(bounds, bounds[1:])]
+    for most in (1, 2, 5, 100):  # tokens at once: blocks of long texts change nothing
+        assert np.allclose(hmm.log_likelihood(symbols, bounds, m, most), want)
+
+
+def test_expected_counts_are_those_of_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(16)
+    k, s, states = 5, 4, hmm.STATES
+    unit = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    m = hmm.Model(unit(rng.random(states), 0), unit(rng.random((states, states)), 1), unit(rng.random((s, states)), 0))
+    symbols, bounds = rng.integers(0, s, 9), np.array([0, 4, 5, 5 + k - 1])
+    symbols = symbols[: bounds[-1]]
+    start, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((s, states)), 0.0
+    for a, b in zip(bounds, bounds[1:]):
+        seq = symbols[a:b]
+        paths = list(itertools.product(range(states), repeat=len(seq)))
+        chance = np.array([m.start[p[0]] * m.emit[seq[0], p[0]] * np.prod([m.move[x, y] * m.emit[o, y] for x, y, o in zip(p, p[1:], seq[1:])]) for p in paths])
+        log += np.log10(chance.sum())
+        for p, w in zip(paths, chance / chance.sum()):
+            start[p[0]] += w
+            for x, y in zip(p, p[1:]):
+                move[x, y] += w
+            for o, x in zip(seq, p):
+                emit[o, x] += w
+    for most in (1, 3, 100):
+        (got_start, got_move, got_emit), got_log = hmm.expected(symbols, bounds, m, most)
+        assert np.allclose(got_start, start) and np.allclose(got_move, move) and np.allclose(got_emit, emit) and got_log == pytest.approx(log)
+
+
+def test_symbols_without_training_mass_have_a_likelihood():
+    tokens = 1e13
+    share = np.array([tokens, 0.1, 0.1]) / (tokens + 0.2)
+    counts = (np.ones(hmm.STATES), np.ones((hmm.STATES, hmm.STATES)), np.outer([tokens / hmm.STATES, 0, 0], np.ones(hmm.STATES)))
+    got = hmm.log_likelihood(np.full(5000, 1), np.array([0, 5000]), hmm.Model.of(counts, share))
+    assert np.isfinite(got).all() and -30 * 5000 < got[0] < -10 * 5000
 
 
 def test_passes_raise_the_likelihood():
@@ -357,9 +438,10 @@ def test_passes_raise_the_likelihood():
     model = hmm.Model.first(share)
     last = -np.inf
     for _ in range(8):
-        model = hmm.Model.of(hmm.expected(symbols, bounds, model), share)
+        counts, before = hmm.expected(symbols, bounds, model)
+        model = hmm.Model.of(counts, share)
         now = hmm.log_likelihood(symbols, bounds, model).sum()
-        assert now > last - 1.0
+        assert now > max(last, before) - 0.01  # smoothing may cost a little
         last = now
     assert last > len(symbols) * np.log10(1 / 20) * 0.9
 
@@ -387,7 +469,7 @@ def test_main_text():
 
 
 def test_dropped_elements_end_where_they_should():
-    texts = lambda html: [b.text for b in mincut.blocks(html)]
+    texts = lambda html: [b.text for b in mincut.blocks(html)[0]]
     for odd in ('<svg class="i"/>', "<svg/>", "<math />", "<svg-icon></svg-icon>", "<svg-icon a=b></svg-icon>", "<object-view>x</object-view>", "<select-menu></select-menu>", "<script-x></script-x>", "<select><!-- -->", "<svg>", "<object data=a>", "<canvas>", "<math>", "</svg>", "<SVG CLASS='a/b' />"):
         assert texts(f"<p>one</p>{odd}<p>two</p>") == (["one", "x", "two"] if ">x<" in odd else ["one", "two"]), odd
     for odd in ("<svg><title>t</title><path d='/'/></svg>", "<select><option>a<option>b</select >", "<object>o</object>", "<canvas>c</canvas>", "<math><mi>x</mi></math>", "<script>s</script>", "<style/>p</style>", "<svg a='/'>z</svg>"):
@@ -402,19 +484,67 @@ def test_pages(spark):
     assert [g[0] for g in got] == [1, 2, 2, 3] and all(a == b for _, a, b in got) and got[1][1] == 0
 
 
-def test_cut_is_minimal():
+def test_tags_end_where_a_quote_is_open():
+    texts = lambda html: [b.text for b in mincut.blocks(html)[0]]
+    assert texts('<p>one <a href="x>two</a> three</p><p class="q">four</p>') == ["one two three", "four"]
+    assert texts("<p>it's <b class='>y</b> z</p><p>w") == ["it's y z", "w"]
+    assert texts('<p>a <a title="b > c">d</a></p>') == ["a d"] and texts('<div data-h="<b>q</b>">e</div>') == ["e"] and texts('<p>1 < 2 and <p x="') == ["1 < 2 and"]
+
+
+def test_compounds_say_what_their_last_word_is():
+    long = "A long paragraph of words which is surely the content of this page, as it goes on."
+    assert mincut.main_text(f'<div class="share-price-story"><p>{long}</div>') == long
+    assert mincut.main_text(f'<div class="article-comments"><p>{long}</div>') == ""
+
+
+def minimal(excess, edges):
+    """The least cost of a cut, by trying all."""
     import itertools
 
+    cost = lambda s: sum(-min(x, 0) if k else max(x, 0) for x, k in zip(excess, s)) + sum(w for i, j, w in edges if s[i] != s[j])
+    best = min(map(cost, itertools.product([0, 1], repeat=len(excess))))
+    return best, cost
+
+
+def test_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(150):
-        n = rng.randint(1, 8)
-        page = [mincut.Block("x", rng.randint(0, 9), rng.randint(0, 9), rng.randint(0, 2), rng.randint(0, 1)) for _ in range(n)]
-        edges, last = [], {}
-        for i in range(n):
-            if i:
-                edges.append((i - 1, i, mincut.NEXT if page[i].region == page[i - 1].region else mincut.FAR))
-            if page[i].parent in last:
-                edges.append((last[page[i].parent], i, mincut.SIBLING))
-            last[page[i].parent] = i
-        cost = lambda s: sum(page[i].boiler if s[i] else page[i].content for i in range(n)) + sum(w for a, b, w in edges if s[a] != s[b])  # noqa: B023,E731
-        assert cost(mincut.cut(page)) == min(map(cost, itertools.product([0, 1], repeat=n)))
+        n = rng.randint(1, 9)
+        excess = [rng.randint(-9, 9) for _ in range(n)]
+        edges = [(rng.randrange(n), rng.randrange(n), rng.randint(0, 4)) for _ in range(2 * n)]
+        edges = [(i, j, w) for i, j, w in edges if i != j]
+        best, cost = minimal(excess, edges)
+        assert cost(mincut.cut(excess, edges)) == best
+
+
+def small_page(rng):
+    region = ["<article>{}</article>", "<div>{}</div>", "<nav>{}</nav>", '<div class="comments">{}</div>', '<p class="byline">{}', "<section>{}</section>"]
+    block = lambda: rng.choice(["<p>{}</p>", "<li>{}</li>", "<h2>{}</h2>", "<p><a>{}</a></p>"]).format(sentence(rng, rng.choice([1, 3, 8, 30])) + rng.choice(["", "."]))
+    return "".join(rng.choice(region).format("".join(block() for _ in range(rng.randint(1, 3)))) for _ in range(rng.randint(1, 3)))
+
+
+def test_pages_are_cut_at_least_cost():
+    rng = random.Random(41)
+    flipped = 0
+    for _ in range(120):
+        page, regions = mincut.blocks(small_page(rng))
+        excess, edges = mincut.graph(page, regions)
+        if len(excess) > 13:
+            continue
+        best, cost = minimal(excess, edges)
+        side = mincut.cut(excess, edges)
+        assert cost(side) == best
+        flipped += sum((x > 0) != k for x, k in zip(excess, side[: len(page)]))
+    assert flipped > 10  # the edges decide
+
+
+def test_classifier_is_fitted_on_pages(spark):
+    rng = random.Random(4)
+    pages = [(i, f"<nav><ul><li>{sentence(rng, 1)}<li>{sentence(rng, 2)}</ul></nav><article><h1>{sentence(rng, 4)}</h1><p>{sentence(rng, 30)}.</p><p>{sentence(rng, 2)}</p></article><footer>{sentence(rng, 3)}</footer>") for i in range(60)] + [(None, None), (70, "")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    w = dict(zip(mincut.FEATURES, mincut.learn(df)))
+    assert w["words_25"] > mincut.WEIGHTS["words_25"] and w["item"] < mincut.WEIGHTS["item"] and w["words_10"] + w["words_25"] + w[""] > 1
+    assert (mincut.learn(df.limit(0)) == mincut.PRIOR).all() and (mincut.fit(np.empty((0, len(mincut.PRIOR))), np.empty(0), np.empty(0)) == mincut.PRIOR).all()
+    for r in mincut.extract(df, carry=()).collect():
+        want = "" if not dict(pages)[r.page_id] else " ".join(re.sub("<[^>]*>", " ", re.search("<article>(.*)</article>", dict(pages)[r.page_id])[1]).split())
+        assert r.text == want
