@@ -186,33 +186,62 @@ def crowding(points: DataFrame, objectives: Objectives, by: list[str] = []) -> D
 
 
 def spread(front_points: DataFrame, objectives: Objectives) -> DataFrame:
-    """spread: how uneven the distances between neighbours of a front are, 0 if even."""
-    (a, _), (b, _) = objectives
-    order = Window.orderBy(a, b)  # over a front, which is small
-    d = F.sqrt(F.pow(F.col(a) - F.lag(a).over(order), F.lit(2.0)) + F.pow(F.col(b) - F.lag(b).over(order), F.lit(2.0)))
-    gaps = front_points.select(d.alias("d")).where("d is not null")
+    """spread: how uneven a front's distances are, 0 if even: those between neighbours in two objectives, else those to the nearest other point."""
+    names = [n for n, _ in objectives]
+    if len(names) == 2:
+        a, b = names
+        order = Window.orderBy(a, b)  # over a front, which is small
+        d = F.sqrt(F.pow(F.col(a) - F.lag(a).over(order), F.lit(2.0)) + F.pow(F.col(b) - F.lag(b).over(order), F.lit(2.0)))
+        gaps = front_points.select(d.alias("d")).where("d is not null")
+    else:
+        one = kept(front_points.select(*names).distinct().withColumn("_i", F.monotonically_increasing_id()), "front")
+        left, right = (one.select(*(F.col(n).cast("double").alias(f"{x}_{n}") for n in names), F.col("_i").alias(f"{x}_i")) for x in "lr")
+        d = F.sqrt(sum((F.pow(F.col(f"l_{n}") - F.col(f"r_{n}"), F.lit(2.0)) for n in names), F.lit(0.0)))
+        gaps = left.join(right, F.col("l_i") != F.col("r_i")).groupBy("l_i").agg(F.min(d).alias("d")).select("d")
     mean = gaps.agg(F.avg("d").alias("m"))
     return gaps.join(F.broadcast(mean)).agg(F.coalesce(F.try_divide(F.sum(F.abs(F.col("d") - F.col("m"))), F.sum("d")), F.lit(0.0)).alias("spread"))
 
 
 def hypervolume(points: DataFrame, objectives: Objectives, reference: Sequence[float]) -> DataFrame:
-    """hypervolume of what a front dominates down to a reference point; points beyond it are dropped. One or two objectives."""
-    if len(objectives) == 1:
-        (a, sa), = objectives
-        return points.agg(F.greatest(F.coalesce(F.max(F.col(a) * sa) - reference[0] * sa, F.lit(0.0)), F.lit(0.0)).alias("hypervolume"))
-    (a, sa), (b, sb) = objectives
-    inside = front_2d(points.where((F.col(a) * sa > reference[0] * sa) & (F.col(b) * sb > reference[1] * sb)), objectives).select((F.col(a) * sa).alias("x"), (F.col(b) * sb).alias("y")).distinct()
-    above = F.coalesce(F.lag("y").over(Window.orderBy(F.col("x").desc())), F.lit(float(reference[1] * sb)))
-    return inside.select(((F.col("x") - reference[0] * sa) * (F.col("y") - above)).alias("v")).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("hypervolume"))
+    """hypervolume of what a front dominates down to a reference point; points beyond it are dropped.
+
+    From three objectives on the volume is cut into slabs between the values of the last one, each
+    measured over the others: a join of the front with itself for each objective beyond two.
+    """
+    beyond = F.lit(True)
+    for (n, s), r in zip(objectives, reference):
+        beyond = beyond & (F.col(n) * s > r * s)
+    inside = points.where(beyond)
+    if len(objectives) > 1:
+        inside = front(inside, objectives)
+    gains = kept(inside.select(*(((F.col(n) - r) * s).cast("double").alias(f"g{i}") for i, ((n, s), r) in enumerate(zip(objectives, reference)))).distinct(), "gains")
+    return _volume(gains, [], [f"g{i}" for i in range(len(objectives))]).agg(F.coalesce(F.sum("volume"), F.lit(0.0)).alias("hypervolume"))
+
+
+def _volume(gains: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
+    """keys, volume: of the union of the boxes from 0 to each row of a key's gains."""
+    if len(dims) == 1:
+        return gains.groupBy(*keys).agg(F.max(dims[0]).alias("volume"))
+    x, y = dims[:2]
+    if len(dims) == 2:
+        ahead = F.max(y).over(Window.partitionBy(*keys).orderBy(F.col(x).desc(), F.col(y).desc()).rowsBetween(Window.unboundedPreceding, -1))
+        step = gains.select(*keys, (F.col(x) * F.greatest(F.col(y) - F.coalesce(ahead, F.lit(0.0)), F.lit(0.0))).alias("v"))
+        return step.groupBy(*keys).agg(F.sum("v").alias("volume"))
+    z, top = dims[-1], f"top{len(dims)}"
+    below = F.lag("_z").over(Window.partitionBy(*keys).orderBy("_z"))
+    slabs = gains.select(*keys, F.col(z).alias("_z")).distinct().select(*keys, F.col("_z").alias(top), (F.col("_z") - F.coalesce(below, F.lit(0.0))).alias("_thick"))
+    in_slab = gains.join(slabs, keys).where(F.col(z) >= F.col(top)) if keys else gains.join(slabs, F.col(z) >= F.col(top))
+    each = _volume(in_slab.select(*keys, top, *dims[:-1]), [*keys, top], dims[:-1])
+    return each.join(slabs, [*keys, top]).groupBy(*keys).agg(F.sum(F.col("volume") * F.col("_thick")).alias("volume"))
 
 
 def epsilon(points: DataFrame, reference: DataFrame, objectives: Objectives, multiplicative: bool = False) -> DataFrame:
-    """epsilon: the least shift (or factor) by which points weakly dominate every point of a reference front. Both are fronts, so small; the reference is sent to all."""
+    """epsilon: the least shift (or factor) by which points weakly dominate every point of a reference front. Spark sends one of them to all if it is small."""
     ref = reference.select(*(F.col(n).alias(f"r_{n}") for n, _ in objectives)).distinct()
     need = lambda n, s: F.try_divide(F.col(f"r_{n}"), F.col(n)) if multiplicative and s > 0 else F.try_divide(F.col(n), F.col(f"r_{n}")) if multiplicative else (F.col(f"r_{n}") - F.col(n)) * s
     parts = [need(n, s) for n, s in objectives]
     worst = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    pairs = ref.join(points.select(*(n for n, _ in objectives)).distinct().hint("broadcast"))
+    pairs = ref.join(points.select(*(n for n, _ in objectives)).distinct())
     return pairs.groupBy(*(f"r_{n}" for n, _ in objectives)).agg(F.min(worst).alias("e")).agg(F.max("e").alias("epsilon"))
 
 
@@ -244,15 +273,15 @@ def by_rank_and_crowding() -> list[Column]:
 
 
 def spea2(points: DataFrame, objectives: Objectives, row: str) -> DataFrame:
-    """strength (points dominated), raw (strengths of those that dominate it), and fitness raw + 1 / (2 + distance to the nearest), of a population, which is small."""
+    """strength (points dominated), raw (strengths of those that dominate it), and fitness raw + 1 / (2 + distance to the nearest), of a population: every pair is looked at."""
     names = [n for n, _ in objectives]
     a = points.select(F.col(row).alias("a_row"), *(F.col(n).alias(f"a_{n}") for n in names))
     b = points.select(F.col(row).alias("b_row"), *(F.col(n).alias(f"b_{n}") for n in names))
-    beats = a.join(b.hint("broadcast"), dominates(objectives, "a_", "b_")).select("a_row", "b_row")
+    beats = a.join(b, dominates(objectives, "a_", "b_")).select("a_row", "b_row")
     strength = a.select("a_row").join(beats.groupBy("a_row").agg(F.count(F.lit(1)).alias("strength")), "a_row", "left").select("a_row", F.coalesce("strength", F.lit(0)).alias("strength"))
     raw = beats.join(strength, "a_row").groupBy("b_row").agg(F.sum("strength").alias("raw"))
     d = F.sqrt(sum((F.pow(F.col(f"a_{n}") - F.col(f"b_{n}"), F.lit(2.0)) for n in names), F.lit(0.0)))
-    near = a.join(b.hint("broadcast"), F.col("a_row") != F.col("b_row")).groupBy("a_row").agg(F.min(d).alias("near"))
+    near = a.join(b, F.col("a_row") != F.col("b_row")).groupBy("a_row").agg(F.min(d).alias("near"))
     out = strength.join(raw.withColumnRenamed("b_row", "a_row"), "a_row", "left").join(near, "a_row", "left")
     return out.select(F.col("a_row").alias(row), "strength", F.coalesce("raw", F.lit(0)).alias("raw"), (F.coalesce("raw", F.lit(0)) + F.coalesce(1 / (2 + F.col("near")), F.lit(0.5))).alias("fitness"))
 

@@ -2,7 +2,7 @@
 
 Each level is one aggregation over (tree, node, input, bin) whatever the number of
 nodes and trees; bins are the distinct values of an input, or its quantiles when it has
-more than MAX_BINS. The table of sums is bounded by nodes x inputs x bins, and of it
+more than MAX_BINS (grow_exact tries all values, with a prefix sum for each node). The table of sums is bounded by nodes x inputs x bins, and of it
 only the chosen splits come to the driver. A tree is an expression.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.frame import ROW, draw, drawn_key
-from larkspur.operators.split import Criterion, InformationGain
+from larkspur.operators.split import Criterion, InformationGain, best_threshold
 from larkspur.plans.expr import Aggregate, Apply, Constant, Expr, Stump, Test, Variable, importance
 
 MAX_BINS = 256
@@ -139,6 +139,40 @@ def grow(df: DataFrame, inputs: Sequence[str], criterion: Criterion, trees: int
     return [Grown(r.expression(), log, n) for r, log, n in zip(roots, logs, rows)]
 
 
+def grow_exact(df: DataFrame, inputs: Sequence[str], criterion: Criterion, min_examples: int = 2, max_depth: int = 0) -> Grown:
+    """A tree like that of grow(), for which every midpoint of neighbouring values is tried, however many there are.
+
+    Each node takes a search for each input (split.best_threshold) over its own rows.
+    """
+    from larkspur.plans.store import kept
+
+    sums = criterion.sums()
+    target = [criterion.label] if isinstance(criterion, InformationGain) else list(criterion.targets)
+    columns = [*target, *inputs, *([criterion.weight] if criterion.weight else [])]
+    root, log, total = _Node(0, (), 0), [], 0
+    work = [(root, kept(df.select(*dict.fromkeys(columns)), "rows"))]
+    while work:
+        node, rows = work.pop()
+        r = rows.agg(F.count(F.lit(1)).alias("n"), *(c.alias(n) for n, c in sums.items())).first()
+        total = total or r.n
+        node.value = _leaf(criterion, r) if r.n else node.value
+        pure = rows.sparkSession.range(1).select((criterion.entropy if isinstance(criterion, InformationGain) else criterion.variance)({n: F.lit(float(r[n])) for n in sums}).alias("p")).first().p
+        if r.n < min_examples or max_depth and node.depth >= max_depth or pure <= 1e-12:
+            continue
+        found = [(b.score, -i, b.threshold) for i, x in enumerate(inputs) if (b := best_threshold(rows.withColumn(x, F.col(x).cast("double")), x, criterion).first()) is not None]
+        if not found or max(found)[0] <= 1e-12:
+            continue
+        score, at, threshold = max(found)
+        name = inputs[-at]
+        node.split = (name, threshold)
+        log.append((name, score, r.n))
+        x = F.col(name).cast("double")
+        for b, side in (("f", x < threshold), ("t", x >= threshold), ("m", x.isNull())):
+            node.children[b] = _Node(0, (*node.path, (*node.split, b)), node.depth + 1, value=node.value)
+            work.append((node.children[b], kept(rows.where(side), "rows")))
+    return Grown(root.expression(), log, total)
+
+
 def _best_splits(table: DataFrame, names: list[str], criterion: Criterion, random_inputs: int, seed: int) -> DataFrame:
     """Of each node: its rows, sums, and the input, bin and score of its best split."""
     order = Window.partitionBy("node", "f").orderBy(F.col("b"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import random
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import metrics as m
-from larkspur.operators import bandit, frame, sampling, search, split, trees
-from larkspur.plans import expr, programs
+from larkspur.operators import bandit, frame, pareto, sampling, search, split, trees
+from larkspur.plans import expr, learning, programs
 from larkspur.plans import sqltext as q
 from larkspur.plans.analytics import _ORDERS, orders
+from larkspur.plans.store import shared_folder
 from larkspur.session import table
 from larkspur.sources import files
+from larkspur.streaming import learners
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -457,3 +461,140 @@ _EVENTS = ("click", "error", "purchase", "signup", "view")
 def k03_trace_pivot(spark, sf_dir):
     """A column for each type of event."""
     return files.trace_table(table(spark, sf_dir, "events"), "user_id", "event_type", "value", list(_EVENTS))
+
+
+# sources
+
+
+def _path(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT CASE WHEN l_discount > 0 THEN l_discount ELSE 0 END AS discount, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity ELSE 0 END AS quantity, l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN 'R' ELSE '0' END AS flag FROM lineitem")
+def s04_sparse_arff(spark, sf_dir):
+    """Items written as sparse rows of ARFF and read again: what a row leaves out is 0."""
+    x = table(spark, sf_dir, "lineitem")
+    cell = lambda i, v: F.concat(F.lit(f"{i} "), v.cast("string"))
+    cells = F.concat_ws(", ", F.when(c("l_discount") > 0, cell(0, c("l_discount"))), F.when(c("l_linenumber") % 3 != 0, cell(1, c("l_quantity"))), cell(2, c("l_orderkey")), F.when(c("l_returnflag") == "R", cell(3, c("l_returnflag"))))
+    path = _path(spark, "sparse") + ".arff"
+    x.select(F.concat(F.lit("{"), cells, F.lit("}")).alias("value")).write.text(path)
+    head = "@relation items\n@attribute discount real\n@attribute quantity real\n@attribute k integer\n@attribute flag {0, R, A, N}\n@data"
+    spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("append").text(path)
+    return files.read_arff(spark, path).select("discount", "quantity", "k", "flag")
+
+
+def _nations_text(spark, sf_dir) -> str:
+    """The nations' names by key, one line each: a fixed table, one file."""
+    path = _path(spark, "nations") + ".txt"
+    table(spark, sf_dir, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select("n_name").write.text(path)
+    return path
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS at, n_name AS line FROM nation UNION ALL SELECT CAST(count(*) AS INTEGER), '' FROM nation")
+def s06_text_lines(spark, sf_dir):
+    """The numbered lines that readers of text formats start from."""
+    return files.numbered_lines(spark, _nations_text(spark, sf_dir))
+
+
+@query("SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS value FROM nation")
+def s07_raw_text(spark, sf_dir):
+    return files.read(spark, _nations_text(spark, sf_dir))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def s08_xml(spark, sf_dir):
+    """Nations saved as XML and read again."""
+    path = _path(spark, "nations") + ".xml"
+    files.write(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
+    return files.read(spark, path, "row").select(c("n_nationkey").cast("int").alias("n_nationkey"), "n_name", c("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+@query("SELECT CAST(e AS BIGINT) AS evaluations, CASE e WHEN 400 THEN 'first' ELSE 'later' END AS kind, (SELECT round(min(x0 * x0), 9) FROM (SELECT " + q.uniform(0, "i", low=-1, high=1) + " AS x0 FROM range(400) t(i))) AS first FROM (VALUES (400), (800)) v(e)")
+def s09_saved_trace(spark, sf_dir):
+    """The curve of a search's callback, saved with its types as JSON and read again."""
+    p, said = search.Problem([-1.0], [1.0], lambda x: x[0] * x[0]), search.Callbacks(every=400)
+    for i in range(2):
+        search.random_search(spark, p, 400, i, said)
+    path = _path(spark, "trace")
+    first = said.curve[0][1]
+    files.save_trace(spark.createDataFrame([(n, "first" if i == 0 else "later", round(first, 9)) for i, (n, _) in enumerate(said.curve)], "evaluations long, kind string, first double"), path)
+    return files.load_trace(spark, path)
+
+
+@query("SELECT 'r=' || n_regionkey AS folder, count(*) AS files, true AS full FROM (SELECT DISTINCT n_regionkey FROM nation) GROUP BY 1")
+def s10_directory_listing(spark, sf_dir):
+    """The files below a folder that has one for each region."""
+    path = _path(spark, "listing")
+    table(spark, sf_dir, "nation").select("n_name", c("n_regionkey").alias("r")).repartition(1).write.partitionBy("r").json(path)
+    found = files.list_files(spark, path, "*.json").select(F.regexp_extract("path", r"/(r=\d+)/[^/]*$", 1).alias("folder"), "length")
+    return found.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.min(c("length") > 0).alias("full"))
+
+
+@query("SELECT CAST(n_regionkey AS DOUBLE) AS label, CAST(n_nationkey AS DOUBLE) AS f2, n_name FROM nation")
+def s11_reader_by_extension(spark, sf_dir):
+    """The readers that the extensions .libsvm, .json and .parquet choose."""
+    n, path = table(spark, sf_dir, "nation"), _path(spark, "choice")
+    n.select(F.concat_ws(" ", c("n_regionkey").cast("string"), F.concat(F.lit("2:"), c("n_nationkey").cast("string")))).write.text(path + ".libsvm")
+    files.write(n.select(c("n_nationkey").cast("double").alias("f2"), "n_name"), path + ".json")
+    return files.read(spark, path + ".libsvm").select("label", c("features")[2].alias("f2")).join(files.read(spark, path + ".json"), "f2").select("label", "f2", "n_name")
+
+
+@query(r"SELECT doc_id, NOT regexp_matches(substr(text, 1, 256), '[\x00-\x08\x0B\x0C\x0E-\x1F]') AS text FROM documents")
+def s12_text_sniff(spark, sf_dir):
+    """Whether documents look like text; the sniff looks at 256 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", files.text_like(c("text")).alias("text"))
+
+
+@query("SELECT n_regionkey::BIGINT AS node, count(*)::DOUBLE AS nations, max(n_nationkey)::DOUBLE AS last FROM nation GROUP BY 1")
+def k04_autosaved_trace(spark, sf_dir):
+    """Results of a run over the regions, written every three, as a table of nodes."""
+    trace = files.TraceAutosave(spark, _path(spark, "autosave"), 3)
+    for r in table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.max("n_nationkey").alias("last")).orderBy("n_regionkey").collect():  # 5 rows
+        trace.push("nations", r.n, r.n_regionkey)
+        trace.push("last", r["last"], r.n_regionkey)
+    return trace.table()
+
+
+@query("SELECT 'regions' || chr(10) || string_agg('  ' || r_name || ' = ' || r_regionkey, chr(10) ORDER BY r_regionkey) || chr(10) || '  ' || count(*) || '/5 regions' || chr(10) || '=> done' || chr(10) AS said FROM region")
+def k05_console(spark, sf_dir):
+    out = io.StringIO()
+    console = files.Console(out)
+    console.enter("regions")
+    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()  # 5 rows
+    for r in rows:
+        console.result(r.r_name, r.r_regionkey)
+    console.progress(len(rows), 5, "regions")
+    console.leave("done")
+    return spark.createDataFrame([(out.getvalue(),)], "said string")
+
+
+# fronts of three objectives
+
+_THREE = [("s_acctbal", 1), ("s_nationkey", 1), ("m", 1)]
+_FRONT3 = "(SELECT DISTINCT (x + 1000) AS x, (y + 1) AS y, (z + 1) AS z FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.x >= a.x AND b.y >= a.y AND b.z >= a.z AND (b.x > a.x OR b.y > a.y OR b.z > a.z)))"
+_SUPPLIERS = "p AS (SELECT s_acctbal AS x, s_nationkey AS y, s_suppkey % 17 AS z FROM supplier)"
+
+
+def _three(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_acctbal", "s_nationkey", (c("s_suppkey") % 17).alias("m"))
+
+
+@query(f"""WITH {_SUPPLIERS}, f AS MATERIALIZED (SELECT * FROM {_FRONT3} WHERE x > 0 AND y > 0 AND z > 0), xs AS (SELECT x, x - coalesce(lag(x) OVER (ORDER BY x), 0) AS w FROM (SELECT DISTINCT x FROM f)), ys AS (SELECT y, y - coalesce(lag(y) OVER (ORDER BY y), 0) AS w FROM (SELECT DISTINCT y FROM f)),
+zs AS (SELECT z, z - coalesce(lag(z) OVER (ORDER BY z), 0) AS w FROM (SELECT DISTINCT z FROM f)) SELECT round(coalesce(sum(xs.w * ys.w * zs.w), 0), 2) AS hypervolume FROM xs, ys, zs WHERE EXISTS (SELECT 1 FROM f WHERE f.x >= xs.x AND f.y >= ys.y AND f.z >= zs.z)""")
+def p06_hypervolume_3d(spark, sf_dir):
+    return pareto.hypervolume(_three(spark, sf_dir), _THREE, (-1000.0, -1.0, -1.0)).select(F.round("hypervolume", 2).alias("hypervolume"))
+
+
+@query(f"""WITH {_SUPPLIERS}, f AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM {_FRONT3}), d AS (SELECT a.i, min(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))) AS d FROM f a JOIN f b ON a.i <> b.i GROUP BY a.i)
+SELECT round(coalesce(sum(abs(d - (SELECT avg(d) FROM d))) / nullif(sum(d), 0), 0), 6) AS spread FROM d""")
+def p05_spread_3d(spark, sf_dir):
+    return pareto.spread(pareto.front(_three(spark, sf_dir), _THREE), _THREE).select(F.round("spread", 6).alias("spread"))
+
+
+# stream learners; plain versions are in the tests
+
+
+@query()
+def i15_total_mauve_tree(spark, sf_dir):
+    """Learning curves of a tree split by the residuals about least squares on all inputs."""
+    return learning._curve(spark, sf_dir, lambda: learners.HoeffdingTree(2, learners.TotalMauve(), chunk=500))

@@ -50,9 +50,8 @@ def s01_arff(spark, sf_dir):
 
 def _arff(spark: SparkSession, rows: DataFrame, head: list[str]) -> DataFrame:
     path = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}.arff"
-    # one file, so that the header comes first
-    whole = rows.select(F.lit(1).alias("o"), "value").unionByName(spark.createDataFrame([(0, "\n".join(head))], "o int, value string"))
-    whole.coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    rows.write.text(path)  # a folder: a file for the header beside those of the rows
+    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("append").text(path)
     return files.read_arff(spark, path)
 
 

@@ -111,14 +111,14 @@ FROM x LEFT JOIN p ON x.c >= p.v AND x.c < p.nxt"""
 
 # vectors: e is a dense vector, o the one of the next id half its length away, m a sparse one
 
-_VECTORS_SQL = """(SELECT vec_id AS k, CASE WHEN vec_id % 13 = 0 THEN NULL ELSE list_transform(embedding[1:16], lambda x: CAST(CASE WHEN abs(x) < 0.05 THEN 0 ELSE x END AS DOUBLE)) END AS e,
-  list_transform(embedding[17:32], lambda x: CAST(x AS DOUBLE)) AS o, label % 2 = 0 AS t FROM embeddings)"""
+_VECTORS_SQL = """(SELECT vec_id AS k, CASE WHEN vec_id % 13 = 0 THEN NULL ELSE list_transform(embedding[1:32], lambda x: CAST(CASE WHEN abs(x) < 0.05 THEN 0 ELSE x END AS DOUBLE)) END AS e,
+  list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE)) AS o, label % 2 = 0 AS t FROM embeddings)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     double = F.transform("embedding", lambda x: x.cast("double"))
     small = F.transform("embedding", lambda x: F.when(F.abs(x) < F.lit(0.05), F.lit(0).cast("float")).otherwise(x).cast("double"))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), F.when(F.col("vec_id") % 13 != 0, F.slice(small, 1, 16)).alias("e"), F.slice(double, 17, 16).alias("o"), (F.col("label") % 2 == 0).alias("t"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), F.when(F.col("vec_id") % 13 != 0, F.slice(small, 1, 32)).alias("e"), F.slice(double, 33, 32).alias("o"), (F.col("label") % 2 == 0).alias("t"))
 
 
 def _vector(name: str, made: Callable[..., Column], sql: str, arguments: str, rounded: bool = True, listed: bool = False) -> None:
@@ -158,9 +158,9 @@ _vector("v08_entropy", lambda o: v.entropy(F.transform(o, lambda x: F.abs(x))),
 _vector("v09_log_sum_exp", v.log_sum_exp, f"ln(list_sum({_each('exp(x)')}))", "e")
 _vector("v10_sparse_increment", lambda e: v.get(v.increment(v.to_sparse(e), 2, 1.5), 2), _number_of("e[3] + 1.5"), "e")
 _vector("v10_sparse_prune", lambda e: F.size(v.prune(v.to_sparse(e), 0.5)), "CAST(len(list_filter(e, lambda x: abs(x) > 0.5)) AS INTEGER)", "e", False)
-_vector("v11_sparse_to_dense", lambda e: v.to_dense(v.to_sparse(e), 16), "e", "e", listed=True)
+_vector("v11_sparse_to_dense", lambda e: v.to_dense(v.to_sparse(e), 32), "e", "e", listed=True)
 _vector("v12_composite", lambda e, o: v.concat(e, o), _number_of("list_concat(e, o)"), "eo", listed=True)
-_vector("v13_sparse_append", lambda e: v.to_dense(v.append(v.to_sparse(e), 16, 2.0), 17), _number_of("list_append(e, 2.0)"), "e", listed=True)
+_vector("v13_sparse_append", lambda e: v.to_dense(v.append(v.to_sparse(e), 32, 2.0), 33), _number_of("list_append(e, 2.0)"), "e", listed=True)
 
 
 def f36_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

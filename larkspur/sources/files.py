@@ -23,7 +23,7 @@ class FormatError(ValueError):
     """A file that is not of its format; says where."""
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of one text file with their number in it."""
     text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "line"))
@@ -44,8 +44,13 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
             begun = True
             break
         header.append(r.value)
+    first = next((h for h in map(str.strip, header) if h and not h.startswith("%")), "")
+    if not begun or not first.startswith("@") and first:  # a longer header, or a folder whose first file has none: its lines are those that start with @
+        header = [r.value for r in text.where(F.trim("value").startswith("@")).toLocalIterator()]
+        begun = any(h.strip().lower().startswith("@data") for h in header)
+        header = [h for h in header if not h.strip().lower().startswith("@data")]
     if not begun:
-        raise FormatError(f"{path}: no @data in the first {HEADER_LINES} lines")
+        raise FormatError(f"{path}: no @data")
     fields, related = [], False
     for i, raw in enumerate(header):
         line = raw.strip()
@@ -168,6 +173,66 @@ def looks_like_text(sample: bytes) -> bool:
     return all(b >= 32 or b in (9, 10, 13) for b in sample[:256])
 
 
+def text_like(value: Column) -> Column:
+    """looks_like_text of a column of texts, by their first 256 characters."""
+    return ~F.substring(value, 1, 256).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+
+
+class TraceAutosave:
+    """Collects results of a run and writes them as a table whenever `every` more have come (K4)."""
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 100):
+        self.spark, self.path, self.every = spark, path, every
+        self._new: list[tuple[int, str, float]] = []
+        self._node = 0
+
+    def push(self, name: str, value: float, node: int | None = None) -> None:
+        """A named result of a node (or of the one that is open)."""
+        self._new.append((self._node if node is None else node, name, float(value)))
+        if len(self._new) >= self.every:
+            self.save()
+
+    def next_node(self) -> None:
+        self._node += 1
+
+    def save(self) -> None:
+        if self._new:
+            self.spark.createDataFrame(self._new, "node long, name string, value double").coalesce(1).write.mode("append").parquet(self.path)
+            self._new = []
+
+    def table(self) -> DataFrame:
+        """What has been written, one row a node and a column a name."""
+        self.save()
+        return trace_table(self.spark.read.parquet(self.path), "node", "name", "value")
+
+
+class Console:
+    """Tells a run's scopes, results and progress as indented lines (K5)."""
+
+    def __init__(self, out=None):
+        import sys
+
+        self.out, self.depth = out or sys.stdout, 0
+
+    def _say(self, text: str) -> None:
+        print("  " * self.depth + text, file=self.out)
+
+    def enter(self, scope: str) -> None:
+        self._say(scope)
+        self.depth += 1
+
+    def leave(self, value=None) -> None:
+        self.depth = max(0, self.depth - 1)
+        if value is not None:
+            self._say(f"=> {value}")
+
+    def result(self, name: str, value) -> None:
+        self._say(f"{name} = {value}")
+
+    def progress(self, done: float, total: float, unit: str = "") -> None:
+        self._say(f"{done:g}/{total:g} {unit}".rstrip())
+
+
 def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet, JSON or XML by the extension."""
     extension = path.rsplit(".", 1)[-1].lower()
@@ -180,6 +245,21 @@ def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         writer.parquet(path)
 
 
+def save_trace(trace: DataFrame, path: str) -> None:
+    """A trace with the types of its columns: JSON lines beside a file of the schema."""
+    trace.write.json(f"{path}/rows")
+    trace.sparkSession.createDataFrame([(trace.schema.json(),)], "value string").coalesce(1).write.text(f"{path}/schema")
+
+
+def load_trace(spark: SparkSession, path: str) -> DataFrame:
+    import json
+
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromJson(json.loads(spark.read.text(f"{path}/schema").first().value))
+    return spark.read.schema(schema).json(f"{path}/rows")
+
+
 def sparse_rows(df: DataFrame, key: str, vector: str) -> DataFrame:
     """key, index, value of the elements of an array that are not null."""
     return df.select(key, F.posexplode(vector).alias("index", "value")).where("value is not null")

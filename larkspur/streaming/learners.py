@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -88,6 +88,15 @@ class OnlineLeastSquares:
         s.n += 1
         self._weights = None
 
+    def push_all(self, x: np.ndarray, y: np.ndarray) -> None:
+        z = np.column_stack([np.ones(len(y)), x])
+        s = self.sums
+        s.xtx += z.T @ z
+        s.xty += z.T @ y
+        s.yy += float(y @ y)
+        s.n += len(y)
+        self._weights = None
+
     @property
     def weights(self) -> np.ndarray:
         if self._weights is None:
@@ -121,6 +130,13 @@ class SimpleRegressions:
         self.xy += x * y
         self.y += y
 
+    def push_all(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.n += len(y)
+        self.x += x.sum(axis=0)
+        self.xx += (x * x).sum(axis=0)
+        self.xy += x.T @ y
+        self.y += float(y.sum())
+
     @property
     def weights(self) -> np.ndarray:
         below = self.n * self.xx - self.x**2
@@ -229,11 +245,44 @@ class Never:
         return np.full(len(y), -np.inf)
 
 
+class Rows:
+    """Rows of inputs and targets in arrays that double as they fill; with a bound, the latest rows."""
+
+    def __init__(self, d: int, x: np.ndarray | None = None, y: np.ndarray | None = None, most: int | None = None):
+        self.most, self.n, self.first = most, 0 if y is None else len(y), 0
+        self._x, self._y = np.empty((max(16, self.n), d)), np.empty(max(16, self.n))
+        if y is not None:
+            self._x[: self.n], self._y[: self.n] = x, y
+
+    def push(self, x: np.ndarray, y: float) -> None:
+        if self.n == len(self._y):
+            keep = slice(self.first, self.n)
+            size = max(16, 2 * (self.n - self.first))
+            old_x, old_y = self._x[keep], self._y[keep]
+            self._x, self._y = np.empty((size, old_x.shape[1])), np.empty(size)
+            self.n, self.first = len(old_y), 0
+            self._x[: self.n], self._y[: self.n] = old_x, old_y
+        self._x[self.n], self._y[self.n] = x, y
+        self.n += 1
+        if self.most is not None and self.n - self.first > self.most:
+            self.first += 1
+
+    @property
+    def x(self) -> np.ndarray:
+        return self._x[self.first : self.n]
+
+    @property
+    def y(self) -> np.ndarray:
+        return self._y[self.first : self.n]
+
+    def __len__(self) -> int:
+        return self.n - self.first
+
+
 @dataclass
 class _Leaf:
     model: object
-    x: list[np.ndarray] = field(default_factory=list)
-    y: list[float] = field(default_factory=list)
+    rows: Rows
     seen: int = 0
     best: tuple = ()
     ratio: float = 0.0
@@ -248,46 +297,44 @@ class _Split:
     right: object
 
 
-def _side_model(model, leaf: _Leaf, rows: list[int]):
-    """A leaf's model for one side of its split: of that side's sums if it is made of sums, else a copy that learns on."""
+def _side_model(model, x: np.ndarray, y: np.ndarray):
+    """A leaf's model for one side of its split, whose rows these are: of their sums if it is made of sums, else a copy that learns on."""
     if not isinstance(model, (OnlineLeastSquares, SimpleRegressions)):
         return model.clone()
     new = type(model)(model.d)
-    for i in rows:
-        new.push(leaf.x[i], leaf.y[i])
+    new.push_all(x, y)
     return new
 
 
+def _descend(node, x: np.ndarray) -> tuple[_Leaf, _Split | None, bool]:
+    """The leaf of a row, the split above it, and on which side."""
+    parent, right = None, False
+    while isinstance(node, _Split):
+        parent, right = node, x[node.input] > node.threshold
+        node = node.right if right else node.left
+    return node, parent, right
+
+
 class HoeffdingTree:
     """A regression tree that splits a leaf once a bound makes its best split certain.
 
-    A leaf keeps its rows (at most `memory` of the latest, which bounds the state). Each `chunk` rows it finds the best
+    A leaf keeps its rows, all of them unless `memory` bounds the state to the latest. Each `chunk` rows it finds the best
     split of each input; when the mean ratio of the second best quality to the best is below 1 - bound, or the bound
     below `tie`, it splits, and its children start from its model and their side's rows.
     """
 
-    def __init__(self, d: int, quality=None, model: Callable[[int], object] = OnlineLeastSquares, delta: float = 0.01, tie: float = 0.05, chunk: int = 100, memory: int = 5000):
+    def __init__(self, d: int, quality=None, model: Callable[[int], object] = OnlineLeastSquares, delta: float = 0.01, tie: float = 0.05, chunk: int = 100, memory: int | None = None):
         self.d, self.quality, self.delta, self.tie, self.chunk, self.memory = d, quality or StandardDeviationReduction(), delta, tie, chunk, memory
-        self.root: object = _Leaf(model(d))
-
-    def _find(self, x: np.ndarray) -> tuple[_Leaf, _Split | None, bool]:
-        node, parent, right = self.root, None, False
-        while isinstance(node, _Split):
-            parent, right = node, x[node.input] > node.threshold
-            node = node.right if right else node.left
-        return node, parent, right
+        self.root: object = _Leaf(model(d), Rows(d, most=memory))
 
     def predict(self, x: np.ndarray) -> float:
-        return self._find(x)[0].model.predict(x)
+        return _descend(self.root, x)[0].model.predict(x)
 
     def push(self, x: np.ndarray, y: float) -> None:
-        leaf, parent, right = self._find(x)
+        leaf, parent, right = _descend(self.root, x)
         leaf.model.push(x, y)
-        leaf.x.append(x)
-        leaf.y.append(y)
+        leaf.rows.push(x, y)
         leaf.seen += 1
-        if len(leaf.y) > self.memory:
-            del leaf.x[0], leaf.y[0]
         if leaf.seen % self.chunk == 0:
             self._look(leaf)
         if len(leaf.best) == 2:
@@ -300,7 +347,7 @@ class HoeffdingTree:
                     self._split(leaf, parent, right)
 
     def _look(self, leaf: _Leaf) -> None:
-        x, y = np.array(leaf.x), np.array(leaf.y)
+        x, y = leaf.rows.x, leaf.rows.y
         found = []
         for j in range(self.d):
             order = np.argsort(x[:, j], kind="stable")
@@ -319,9 +366,10 @@ class HoeffdingTree:
     def _split(self, leaf: _Leaf, parent: _Split | None, right: bool) -> None:
         _, j, t = leaf.best[0]
         sides = []
-        for test in (lambda v: v <= t, lambda v: v > t):
-            rows = [i for i, v in enumerate(leaf.x) if test(v[j])]
-            sides.append(_Leaf(_side_model(leaf.model, leaf, rows), [leaf.x[i] for i in rows], [leaf.y[i] for i in rows], len(rows)))
+        over = leaf.rows.x[:, j] > t
+        for side in (~over, over):
+            x, y = leaf.rows.x[side], leaf.rows.y[side]
+            sides.append(_Leaf(_side_model(leaf.model, x, y), Rows(self.d, x, y, self.memory), len(y)))
         node = _Split(j, t, *sides)
         if parent is None:
             self.root = node
@@ -338,7 +386,7 @@ class HoeffdingTree:
         def of(node) -> Expr:
             if isinstance(node, _Split):
                 return StreamTree(names[node.input], node.threshold, of(node.left), of(node.right))
-            errors = [(y - node.model.predict(x)) ** 2 for x, y in zip(node.x, node.y)]
+            errors = [(y - node.model.predict(x)) ** 2 for x, y in zip(node.rows.x, node.rows.y)]
             return StreamLeaf(node.model.expression(names), sum(errors) / max(1, len(errors) - 1))
 
         return of(self.root)
@@ -349,34 +397,27 @@ class ExtraTree:
 
     def __init__(self, d: int, least: int = 2, seed: int = 0):
         self.d, self.least, self.rng = d, least, np.random.default_rng(seed)
-        self.root: object = _Leaf(None)
-
-    def _find(self, x: np.ndarray):
-        node, parent, right = self.root, None, False
-        while isinstance(node, _Split):
-            parent, right = node, x[node.input] > node.threshold
-            node = node.right if right else node.left
-        return node, parent, right
+        self.root: object = _Leaf(None, Rows(d))
 
     def predict(self, x: np.ndarray) -> float:
-        leaf = self._find(x)[0]
-        return float(np.mean(leaf.y)) if leaf.y else 0.0
+        leaf = _descend(self.root, x)[0]
+        return float(leaf.rows.y.mean()) if len(leaf.rows) else 0.0
 
     def push(self, x: np.ndarray, y: float) -> None:
-        leaf, parent, right = self._find(x)
-        leaf.x.append(x)
-        leaf.y.append(y)
-        if len(leaf.y) < self.least:
+        leaf, parent, right = _descend(self.root, x)
+        leaf.rows.push(x, y)
+        if len(leaf.rows) < self.least:
             return
         j = int(self.rng.integers(self.d))
-        values = [v[j] for v in leaf.x]
-        if max(values) <= min(values):
+        values = leaf.rows.x[:, j]
+        low, high = float(values.min()), float(values.max())
+        if high <= low:
             return
-        t = float(self.rng.uniform(min(values), max(values)))
-        left, over = ([i for i, v in enumerate(values) if (v > t) == side] for side in (False, True))
-        if not left or not over:
+        t = float(self.rng.uniform(low, high))
+        over = values > t
+        if over.all() or not over.any():
             return
-        node = _Split(j, t, *(_Leaf(None, [leaf.x[i] for i in rows], [leaf.y[i] for i in rows]) for rows in (left, over)))
+        node = _Split(j, t, *(_Leaf(None, Rows(self.d, leaf.rows.x[side], leaf.rows.y[side])) for side in (~over, over)))
         if parent is None:
             self.root = node
         elif right:
