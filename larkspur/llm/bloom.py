@@ -1,4 +1,4 @@
-"""A Bloom filter of fixed size, which may be broadcast however large the input is.
+"""A Bloom filter of bounded size, which may be broadcast however large the input is.
 
 What it lets through is checked exactly later, so when a large input fills it, only
 work is lost and no row.
@@ -13,20 +13,27 @@ from pyspark.sql import functions as F
 from larkspur.llm.textvec import mix
 
 _U = np.uint64
-#: Bits of a filter of ids.
-ID_BITS = 1 << 25
+#: Least and greatest number of bits of a filter: 128 KB and 64 MB.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 HASHES = 3
 
 
+def bits_for(entries: int, each: int = 16) -> int:
+    """A power of two of about so many bits for each entry, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, entries * each - 1).bit_length()))
+
+
 def _places(ids: np.ndarray, bits: int) -> np.ndarray:
     x = ids.astype(np.int64).view(_U)
     return np.stack([mix(x + _U(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) & _U(bits - 1) for k in range(HASHES)])
 
 
-def of_ids(df: DataFrame, column: str, bits: int = ID_BITS) -> np.ndarray:
-    """A filter of the ids in a column: at most bits / 64 words come to the driver."""
+def of_ids(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+    """A filter of the ids in a column, by default of bits for their number: at most bits / 64 words come to the driver."""
     import pyarrow as pa
 
+    bits = bits or bits_for(df.count())
+
     def run(batches):
         for b in batches:
             at = _places(b.column(0).to_numpy(zero_copy_only=False), bits).ravel()

@@ -23,11 +23,15 @@ _U = np.uint64
 BUCKET_BYTES = 128 << 20
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of the files behind df as Spark knows them, or 0 where it does not."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def partitions(df: DataFrame) -> int:
     """Buckets for what is made of df: the session's shuffle partitions, or as many as its size asks for."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    named = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, named, -(-size // BUCKET_BYTES) if size < 1 << 60 else 1)  # beyond that Spark does not know it
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_of(df) // BUCKET_BYTES))
 
 
 def _murmur(k: np.ndarray) -> np.ndarray:

@@ -7,7 +7,8 @@ MAX_TRAIN labelled rows, those of least hash; every document is scored.
 
 Cases: a null or empty text has statistics of zero and is scored like any other;
 repeated rows each get a score; labels that are null or whose document is missing
-teach nothing, and repeated labels each count; with no labels, or labels of one kind,
+teach nothing, and repeated labels, or rows that repeat a labelled id, each count, up to
+the bound; with no labels, or labels of one kind,
 the score is constant (their share, or 0.5). Labels, language, source and id are not
 inputs. Only the id and the text are read unless `carry` names more columns.
 """
@@ -187,7 +188,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_if=None, doc_id: str = "doc_
     known = known.where(F.shiftrightunsigned(F.xxhash64("_id"), 11) <= int(share * 2**53)).orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)  # bounded, so it may be broadcast
     taught = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")
     rows = _rows(taught, ["_id", "_y"], "_text", "x array<double>", lambda x: (pa.array(list(x), pa.list_(pa.float64())),))
-    got = rows.toPandas().sort_values(["_id", "_y"], kind="stable")
+    # ids that repeat may match more rows than there are labels
+    got = rows.orderBy(F.xxhash64("_id"), "_id", "_y", F.xxhash64("x")).limit(most).toPandas()
     if not len(got):
         return fit(np.empty((0, 1)), np.empty(0))
     return fit(np.stack(got["x"].to_list()), (got["_y"].to_numpy() > 0.5).astype(float))

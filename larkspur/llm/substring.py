@@ -4,7 +4,7 @@ A window is WINDOW consecutive words of one document. Winnowing takes, of every
 the 7-word gram of least hash as its anchor, so documents that share a window share its
 anchor.
 1. Anchors are counted over the corpus; those of two documents or more are seeds, kept
-   as a Bloom filter of fixed size.
+   as a Bloom filter of bounded size.
 2. Documents are joined on seeds: each seed is extended both ways to the windows that
    it anchors, and each such window is held against the least document that has it.
    Within a run of documents this is settled at once, and only the least document of
@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm import bloom
 from larkspur.llm.arrowmap import BATCH_ROWS, column, map_arrow, small_batches
-from larkspur.llm.exchange import blob, deal, keys, partitions, to_buckets, whole_partitions
+from larkspur.llm.exchange import blob, deal, keys, partitions, size_of, to_buckets, whole_partitions
 from larkspur.llm.shared import is_whole, named, numbered
 from larkspur.llm.textvec import SPACED, Pieces, buffers, grams_within, mix, pieces, spans
 
 WINDOW, GRAM = 13, 7
-#: Bits of the filter of seeds, whatever the input: 16 MB.
+#: Least bits of the filter of seeds (16 MB); a larger input has more of them, up to the filters' bound.
 SEED_BITS = 1 << 27
 _U = np.uint64
 
@@ -102,6 +103,12 @@ def _runs(batches: Iterator[pa.RecordBatch], make, most: int) -> Iterator[list]:
         yield held
 
 
+def seed_bits(docs: DataFrame) -> int:
+    """Bits of the filter for an input of this size: about one for 16 bytes of files, within bounds."""
+    size = size_of(docs)
+    return max(SEED_BITS, bloom.bits_for(size // 256) if size else SEED_BITS)
+
+
 def seeds(source: DataFrame, n: int, window: int, gram: int, bits: int = SEED_BITS) -> Seeds:
     """The anchors that two documents or more have."""
     key = keys(n).tolist()
@@ -149,7 +156,7 @@ def seeds(source: DataFrame, n: int, window: int, gram: int, bits: int = SEED_BI
 
     small_batches(source.sparkSession)
     asks = source.mapInArrow(ask, "bucket int, k int, once binary, twice binary")
-    slices = whole_partitions(to_buckets(asks, n), answer, "k int, bits binary").toPandas()  # `bits` in all, whatever the input
+    slices = whole_partitions(to_buckets(asks, n), answer, "k int, bits binary").toPandas()  # `bits` in all, which are bounded
     width = bits // n // 64 * 64
     words = np.zeros(n * width // 64, _U)
     for k, b in zip(slices["k"], slices["bits"]):
@@ -260,7 +267,7 @@ def repeats(source: DataFrame, found: Seeds, window: int, gram: int) -> DataFram
 def removed_ranges(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """For each row with repeats: doc, x (the hash of its text), starts (the first words of its repeated windows)."""
     source = docs.select(F.col(doc_id).cast("long").alias("i"), F.xxhash64(text).alias("x"), F.col(text).alias("t")).where("i is not null and t is not null")
-    found = seeds(source, partitions(docs), window, gram)
+    found = seeds(source, partitions(docs), window, gram, seed_bits(docs))
     return repeats(source, found, window, gram)
 
 

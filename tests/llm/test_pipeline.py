@@ -54,3 +54,61 @@ def test_stages_of_empty_tables(spark, corpus, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{corpus}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_is_the_plain_one(spark, corpus):
+    """Each stage by a plain version of its operator, one after the other."""
+    import base64
+    import hashlib
+    import re
+
+    import public_tokenizers
+    import pyarrow as pa
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    from larkspur.llm import linedup, quality, textvec
+
+    docs, labels = (spark.read.parquet(f"{corpus}/{t}.parquet") for t in ("documents", "labels"))
+    forest = quality.learn(docs.select("doc_id", "text"), labels)
+    good = forest.score(quality.statistics(*textvec.buffers(pa.array([t for _, t in ROWS], pa.string())))) >= 0.5
+    rows = [r for r, k in zip(ROWS, good) if k]
+
+    lines, left = {i: (t or "").split("\n") for i, t in rows if i is not None}, []
+    for i, t in rows:
+        gone = set()
+        if i is not None and t:
+            b = [x for x in lines[i] if x]
+            for j, other in lines.items():
+                if j < i:
+                    gone |= set(linedup.aligned_lines([hash(x) for x in b], [hash(x) for x in other if x], [len(x.encode()) for x in b]))
+            t = "\n".join(x for k, x in enumerate(b) if k not in gone) if gone else t
+        if not gone or t.strip():
+            left.append((i, t))
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, parent = {i: shingles(t) for i, t in left if i is not None}, {}
+    root = lambda i: i if parent.get(i, i) == i else root(parent[i])
+    for i in sorted(sets):
+        for j in sorted(sets):
+            both = len(sets[i] & sets[j])
+            if i < j and both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    left = [(i, t) for i, t in left if i is None or root(i) == i]
+
+    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    item = norm(ITEM)
+    windows = {tuple(item[k : k + 10]) for k in range(len(item) - 9)}
+    left = [(i, t) for i, t in left if not any(tuple(w[k : k + 10]) in windows for w in [norm(t)] for k in range(len(w) - 9))]
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((str(i), len(ids), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in left for ids in [plain.encode_ordinary(t or "")])
+    got = corpus_pipeline.run(spark, corpus).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).alias("i"), "n_tokens", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == want

@@ -357,6 +357,74 @@ def test_quality_learns_and_scores_all(spark, docs):
     assert quality.score(docs, quality.learn(df, labels.limit(0))).agg(F.count("score")).first()[0] == len(DOCS)
 
 
+def test_quality_of_rows_that_repeat_an_id(spark):
+    rows = [(1, "A good text of some words, which ends well."), (1, "### ### ###")] * 40 + [(2, "# # #"), (None, "x"), (3, None)]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, two = (quality.learn(df, labels, most=50) for _ in range(2))
+    assert one.start == two.start and (one.leaf == two.leaf).all() and (one.threshold == two.threshold).all()
+    assert quality.score(df, one).count() == len(rows)
+
+
+def test_trees_are_walked_and_grown_as_plain_ones():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0.5)).astype(float)
+    forest = quality.fit(x, y)
+
+    def walk(row):
+        total = forest.start
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > threshold[at] else 1)
+            total += leaf[at - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.score(x), [walk(r) for r in x]) and np.mean((forest.score(x) >= 0.5) == y) > 0.97
+    # the first split of the first tree is the best of all by gain
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(j, t):
+        left = x[:, j] <= t
+        if h[left].sum() < quality.LEAST_WEIGHT or h[~left].sum() < quality.LEAST_WEIGHT:
+            return -1
+        part = lambda s: g[s].sum() ** 2 / (h[s].sum() + quality.RIDGE)
+        return part(left) + part(~left) - part(np.ones(len(y), bool))
+
+    best = max(gain(j, t) for j in range(3) for t in np.unique(x[:, j])[:-1])
+    assert gain(forest.feature[0, 0], forest.threshold[0, 0]) == pytest.approx(best)
+
+
+def test_hmm_scores_are_those_of_plain_recursion(spark, docs):
+    source = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t"))
+    lexicon = hmm.learn_lexicon(source)
+    model, _ = hmm.train(source, lexicon, 2)
+    got = {r.doc_id: r.score for r in hmm.score(source, lexicon, model).collect()}
+    tokens = {i: [lower(w) for w in words(t)] for i, t in DOCS}
+    count = Counter(w for i, ws in tokens.items() if not hmm.held_out(i) for w in ws)
+    ends = sum(not hmm.held_out(i) for i in tokens)
+    top = set(sorted(count, key=lambda w: -count[w])[: hmm.TOP])  # all of them: the corpus has fewer kinds
+    assert len(top) == len(count) == len(lexicon.count)
+    want = {}
+    for i, t in DOCS:
+        data, at = textvec.buffers(pa.array([t], pa.string()))
+        p = textvec.pieces(data, at, fold=True)
+        symbols = [*lexicon.symbol(p).tolist(), lexicon.symbols - 1]
+        a, log = None, 0.0
+        for s in symbols:
+            a = [(model.start[k] if a is None else sum(a[j] * model.move[j, k] for j in range(hmm.STATES))) * model.emit[s, k] for k in range(hmm.STATES)]
+            c = sum(a)
+            log += np.log10(c)
+            a = [v / c for v in a]
+        for w, s in zip(tokens[i], symbols):
+            if w not in top:  # a word of a class: its share of the class, of which training saw none
+                log += np.log10(hmm.ADD) - lexicon.rest_total[s - len(lexicon.count)]
+        want[i] = log
+    assert got == pytest.approx(want, rel=1e-9) and ends + sum(count.values()) == lexicon.tokens
+
+
 def test_hmm_counts_base_and_likelihood(spark, docs):
     got = {r.doc_id: r for r in hmm.language_model_scores(docs).collect()}
     tokens = {i: [lower(w) for w in words(t)] + [None] for i, t in DOCS}
