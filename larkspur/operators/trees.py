@@ -61,9 +61,10 @@ def candidate_thresholds(df: DataFrame, inputs: Sequence[str], most: int = MAX_B
     if few:
         sets = df.agg(*(F.collect_set(F.col(c).cast("double")).alias(c) for c in few)).first()  # about `most` values each
         out |= {c: sorted(sets[c]) for c in few}
-    for c in inputs:
-        if c not in out:
-            out[c] = sorted(set(df.select(F.col(c).cast("double").alias(c)).approxQuantile(c, [i / most for i in range(most + 1)], 0.25 / most)))
+    many = [c for c in inputs if c not in out]
+    if many:  # one pass for all
+        found = df.select(*(F.col(c).cast("double").alias(c) for c in many)).approxQuantile(many, [i / most for i in range(most + 1)], 0.25 / most)
+        out |= {c: sorted(set(v)) for c, v in zip(many, found)}
     return {c: [(a + b) / 2 for a, b in zip(v, v[1:])] for c, v in out.items()}
 
 
