@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from larkspur.llm.bpe import op7_bpe
 from larkspur.llm.chat import OP9_SQL, op9_chat
-from larkspur.llm.decontaminate import op2_decontaminate
+from larkspur.llm.decontaminate import OP2_SQL, op2_decontaminate
 from larkspur.llm.hmm import op3_hmm
 from larkspur.llm.linedup import op6_lines
 from larkspur.llm.mincut import op1_extract
-from larkspur.llm.ngramjoin import op4_ngram_jaccard
+from larkspur.llm.ngramjoin import OP4_SQL, op4_ngram_jaccard
 from larkspur.llm.quality import op10_quality
-from larkspur.llm.substring import op5_substrings
+from larkspur.llm.substring import OP5_SQL, op5_substrings
 from larkspur.llm.topk import OP8_SQL, op8_topk
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_topk": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_substrings": OP5_SQL, "op8_topk": OP8_SQL, "op9_chat": OP9_SQL}

@@ -323,3 +323,14 @@ def op5_substrings(spark, sf_dir: str) -> DataFrame:
     done = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda s, r: s + r.stop - r.start)
     return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE doc_id IS NOT NULL AND len(w) > 12)),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+gone AS (SELECT DISTINCT r, i + k AS j FROM (SELECT r, i FROM g JOIN f USING (g) WHERE doc_id > first), range(13) t(k)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS text FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) ANTI JOIN gone USING (r, j) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
