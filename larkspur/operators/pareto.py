@@ -268,6 +268,11 @@ def lexicographic(objectives: Objectives) -> list[Column]:
     return [F.col(n).desc() if s > 0 else F.col(n).asc() for n, s in objectives]
 
 
+def lexicographic_keys(objectives: Objectives) -> list[Column]:
+    """Values whose ascending order puts the best point first."""
+    return [-F.col(n) if s > 0 else F.col(n) for n, s in objectives]
+
+
 def by_rank_and_crowding() -> list[Column]:
     return [F.col("rank").asc(), F.col("crowding").desc()]
 

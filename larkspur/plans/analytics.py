@@ -182,10 +182,10 @@ def a29_shares(spark, sf_dir):
     return a.shares(table(spark, sf_dir, "orders"), "o_orderpriority", c("o_totalprice")).select("o_orderpriority", F.round("weight", 2).alias("weight"), F.round("proportion", 6).alias("proportion"))
 
 
-@query("SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 5) AS m0, round(avg(CAST(embedding[2] AS DOUBLE)), 5) AS m1 FROM embeddings GROUP BY 1")
+@query("SELECT label, " + ", ".join(f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 5) AS m{i}" for i in range(64)) + " FROM embeddings GROUP BY 1")
 def a31_mean_vector(spark, sf_dir):
-    x = table(spark, sf_dir, "embeddings").groupBy("label").agg(a.mean_vector(F.transform("embedding", lambda v: v.cast("double")), 2).alias("m"))
-    return x.select("label", *(F.round(c("m")[i], 5).alias(f"m{i}") for i in range(2)))
+    x = table(spark, sf_dir, "embeddings").groupBy("label").agg(a.mean_vector(F.transform("embedding", lambda v: v.cast("double")), 64).alias("m"))
+    return x.select("label", *(F.round(c("m")[i], 5).alias(f"m{i}") for i in range(64)))
 
 
 @query("SELECT l_linenumber AS point, round(avg(l_extendedprice), 4) AS value FROM lineitem GROUP BY 1")

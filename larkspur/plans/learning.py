@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import metrics as m
-from larkspur.operators import frame, sampling, search, split, trees
+from larkspur.operators import sampling
 from larkspur.plans.store import shared_folder
 from larkspur.session import table
 from larkspur.sources import files
@@ -31,9 +30,6 @@ def query(sql: str | None = None):
 
 
 
-
-
-
 # sources
 
 
@@ -108,13 +104,6 @@ def r08_diagonal_gaussian(spark, sf_dir):
     return spark.range(1).select(*(F.lit(round(float(v), 6)).alias(k) for k, v in (("mean", g.mean[0]), ("sd", g.sd[0]), ("reinforced", after.sd[0]))))
 
 
-# trees
-
-
-def _items(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("k"), c("l_quantity").alias("q"), (c("l_discount") * 100).alias("d"), F.when(c("l_linenumber") % 5 != 0, c("l_tax") * 100).alias("t"), (c("l_extendedprice") / 1000).alias("y"))
-
-
 
 
 
@@ -171,11 +160,4 @@ def i10_hoeffding_bound(spark, sf_dir):
     return n.select("n", F.round(bound, 6).alias("bound"))
 
 
-# search
-
-
-def _bowl(x):
-    return sum(((v - 0.3 * (i + 1)) * (v - 0.3 * (i + 1)) for i, v in enumerate(x[1:], 1)), (x[0] - 0.3) * (x[0] - 0.3))
-
-
 

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import metrics as m
 from larkspur.functions import scalar, stats
-from larkspur.operators import bandit, frame, pareto, sampling, search, split, trees
+from larkspur.operators import frame, pareto, sampling, split, trees
 from larkspur.plans import expr, programs
 from larkspur.plans.analytics import orders
 from larkspur.session import table
-from larkspur.streaming import learners
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,7 +48,6 @@ def t14_schema_from_domain(spark, sf_dir):
     return e.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(",".join(f"{n} {t}" for n, t in e.dtypes)))
 
 
-
 @query("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 7")
 def t21_top_n(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("row_id"), "s_acctbal")
@@ -144,7 +139,6 @@ def f07_multiplexer(spark, sf_dir):
     return rows.select("row_id", e.column().alias("y"))
 
 
-
 # splits and trees
 
 
@@ -182,7 +176,6 @@ def d06_tree_of_depth_one(spark, sf_dir):
     return out.select("upper", "prediction", F.lit(g.tests()).alias("tests"), F.lit(g.tree.depth()).alias("depth"))
 
 
-
 @query("SELECT l_orderkey * 10 + l_linenumber AS k, CAST(i AS INTEGER) AS input, CASE i WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END AS value FROM lineitem, range(3) t(i)")
 def d11_candidate_inputs(spark, sf_dir):
     """All numeric inputs in one long table."""
@@ -194,22 +187,24 @@ def d11_candidate_inputs(spark, sf_dir):
 # metrics
 
 
-
 # Pareto sets
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, (a.n_regionkey >= b.n_regionkey AND a.n_nationkey <= b.n_nationkey AND (a.n_regionkey > b.n_regionkey OR a.n_nationkey < b.n_nationkey)) AS dominates, (a.n_regionkey > b.n_regionkey AND a.n_nationkey < b.n_nationkey) AS strictly FROM nation a, nation b")
+@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b, (a.s_acctbal >= b.s_acctbal AND a.s_suppkey <= b.s_suppkey AND (a.s_acctbal > b.s_acctbal OR a.s_suppkey < b.s_suppkey)) AS dominates, (a.s_acctbal > b.s_acctbal AND a.s_suppkey < b.s_suppkey) AS strictly FROM supplier a JOIN supplier b USING (s_nationkey)")
 def p01_dominance(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    a, b = (n.select(*(c(x).alias(f"{p}_{x}") for x in n.columns)) for p in "ab")
-    o = [("n_regionkey", 1), ("n_nationkey", -1)]
-    pairs = a.join(F.broadcast(b))  # 25 nations
-    return pairs.select(c("a_n_nationkey").alias("a"), c("b_n_nationkey").alias("b"), pareto.dominates(o, "a_", "b_").alias("dominates"), pareto.dominates(o, "a_", "b_", True).alias("strictly"))
+    """Which of two suppliers of a nation dominates the other, by balance and key."""
+    n = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    a, b = (n.select("s_nationkey", *(c(x).alias(f"{p}_{x}") for x in ("s_suppkey", "s_acctbal"))) for p in "ab")
+    o = [("s_acctbal", 1), ("s_suppkey", -1)]
+    return a.join(b, "s_nationkey").select(c("a_s_suppkey").alias("a"), c("b_s_suppkey").alias("b"), pareto.dominates(o, "a_", "b_").alias("dominates"), pareto.dominates(o, "a_", "b_", True).alias("strictly"))
 
 
-@query("SELECT n_nationkey FROM nation ORDER BY n_regionkey DESC, n_nationkey LIMIT 9")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_retailprice, p_partkey) - 1 AS place FROM part")
 def p09_lexicographic(spark, sf_dir):
-    return table(spark, sf_dir, "nation").orderBy(*pareto.lexicographic([("n_regionkey", 1), ("n_nationkey", -1)])).limit(9).select("n_nationkey")
+    """The place of every part in the lexicographic order of size and price."""
+    x = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    keys = [k.alias(f"k{i}") for i, k in enumerate(pareto.lexicographic_keys([("p_size", 1), ("p_retailprice", -1), ("p_partkey", -1)]))]
+    return frame.with_row_id(x, *keys, name="place").select("p_partkey", "place")
 
 
 # samplers, search, bandits
@@ -220,20 +215,9 @@ def r05_projection(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(c("l_linenumber").alias("k")).distinct().select("k", sampling.projected(c("k") * 1.5, 2.0, 8.0).alias("projected"))
 
 
-
-
-
-
-
 _KL = "(SELECT event_type AS arm, count(*)::DOUBLE AS n, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS p, (SELECT count(*) FROM events)::DOUBLE AS t FROM events GROUP BY 1)"
 
 
-
-
-
-
-
-
 def _grid(names: str, low: float, span: float) -> str:
     """SQL of inputs by rule: the i-th cycles through a prime number of values."""
     primes = [101, 103, 107, 109, 113, 127, 131]
