@@ -173,16 +173,36 @@ def _ranks_peeled(distinct: DataFrame, objectives: Objectives) -> DataFrame:
     return distinct.withColumn("rank", F.lit(0)) if out is None else out
 
 
+def _neighbours(points: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """points with _lag and _lead, the values of a column before and after each row's, and _span, the column's range.
+
+    Within the groups of `by` by windows; of a whole table in two levels, so that no task sorts it all.
+    """
+    if by:
+        order, whole = Window.partitionBy(*by).orderBy(name), Window.partitionBy(*by)
+        return points.select("*", F.lag(name).over(order).alias("_lag"), F.lead(name).over(order).alias("_lead"), (F.max(name).over(whole) - F.min(name).over(whole)).alias("_span"))
+    cuts = sorted(set(points.select(F.col(name).cast("double").alias("x")).approxQuantile("x", [i / 64 for i in range(1, 64)], 0.005)))
+    part = sum((F.coalesce((F.col(name) > x).cast("int"), F.lit(0)) for x in cuts), F.lit(0))
+    dealt = points.withColumn("_part", part)
+    order = Window.orderBy("_part")  # over 64 rows
+    ends = dealt.groupBy("_part").agg(F.min(name).alias("_lo"), F.max(name).alias("_hi"))
+    sides = ends.select(
+        "_part", F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_lo").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        (F.max("_hi").over(Window.partitionBy()) - F.min("_lo").over(Window.partitionBy())).alias("_span"),
+    )
+    inside = Window.partitionBy("_part").orderBy(name)
+    beside = dealt.join(F.broadcast(sides), "_part")
+    return beside.select(*points.columns, F.coalesce(F.lag(name).over(inside), "_before").alias("_lag"), F.coalesce(F.lead(name).over(inside), "_after").alias("_lead"), "_span")
+
+
 def crowding(points: DataFrame, objectives: Objectives, by: list[str] = []) -> DataFrame:
     """Column `crowding`: over the objectives, the gap between a point's neighbours over the range; FAR at the ends. Of fronts, which `by` tells apart."""
-    total = F.lit(0.0)
+    out = points.withColumn("_total", F.lit(0.0))
     for name, _ in objectives:
-        order = Window.partitionBy(*by).orderBy(name)
-        whole = Window.partitionBy(*by)
-        gap = F.try_divide(F.lead(name).over(order) - F.lag(name).over(order), F.max(name).over(whole) - F.min(name).over(whole))
-        edge = F.lag(name).over(order).isNull() | F.lead(name).over(order).isNull()
-        total = total + F.when(edge, F.lit(float("inf"))).otherwise(F.coalesce(gap, F.lit(0.0)))
-    return points.withColumn("crowding", F.when(total == float("inf"), F.lit(FAR)).otherwise(total))
+        gap = F.try_divide(F.col("_lead") - F.col("_lag"), F.col("_span"))
+        here = F.when(F.col("_lag").isNull() | F.col("_lead").isNull(), F.lit(float("inf"))).otherwise(F.coalesce(gap, F.lit(0.0)))
+        out = _neighbours(out, name, by).withColumn("_total", F.col("_total") + here).drop("_lag", "_lead", "_span")
+    return out.withColumn("crowding", F.when(F.col("_total") == float("inf"), F.lit(FAR)).otherwise(F.col("_total"))).drop("_total")
 
 
 def spread(front_points: DataFrame, objectives: Objectives) -> DataFrame:

@@ -238,6 +238,22 @@ class TotalMauve:
         return float(np.sqrt(((y - z @ w) ** 2).sum() / max(1, len(y) - 1)))
 
 
+class QuandtAndrews:
+    """The greatest F statistic of a break in the line of y on the split input, where it passes a critical value."""
+
+    def __init__(self, critical: float = 4.0, parameters: int = 2):
+        self.critical, self.parameters = critical, parameters
+
+    def qualities(self, x: np.ndarray, y: np.ndarray, j: int) -> np.ndarray:
+        v, n, k = x[:, j], len(y), self.parameters
+        sides = [_both(s) for s in (np.ones(n), v, v * v, v * y, y, y * y)]
+        left, right = ((np.maximum(s[0] - 1, 0) * np.nan_to_num(_residual_sd(*s), posinf=0) ** 2) for s in ([p[i] for p in sides] for i in (0, 1)))
+        whole = (n - 1) * float(_residual_sd(*(p[0][-1] for p in sides))) ** 2 if n > 1 else 0.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            f = (whole - left - right) * (n - 2 * k) / ((left + right) * k)
+        return np.where(np.isfinite(f) & (f > self.critical), f, -np.inf)
+
+
 class Never:
     """No split is of any worth."""
 

@@ -255,6 +255,27 @@ def test_i15_total_mauve_is_about_least_squares():
             assert q[i] == pytest.approx(sd(xs, ys) - ((i + 1) * sd(xs[: i + 1], ys[: i + 1]) + (49 - i) * sd(xs[i + 1 :], ys[i + 1 :])) / 50, abs=1e-8)
 
 
+def test_i17_breaks_are_f_statistics():
+    x, y = stream_rows(60, 9)
+    order = np.argsort(x[:, 0], kind="stable")
+    xs, ys = x[order], np.where(x[order][:, 0] > 0, 3.0, 0.0) + y / 50
+
+    def rss(a, b):
+        z = np.column_stack([np.ones(len(b)), a])
+        return float(((b - z @ np.linalg.lstsq(z, b, rcond=None)[0]) ** 2).sum())
+
+    q = learners.QuandtAndrews(2.0).qualities(xs, ys, 0)
+    for i in range(3, 56):
+        left, right = rss(xs[: i + 1, 0], ys[: i + 1]), rss(xs[i + 1 :, 0], ys[i + 1 :])
+        f = (rss(xs[:, 0], ys) - left - right) * (60 - 4) / ((left + right) * 2)
+        assert q[i] == pytest.approx(f, rel=1e-6) if f > 2.001 else q[i] == -np.inf or f > 1.999
+    assert abs(xs[int(np.argmax(q)), 0]) < 0.2
+    tree = learners.HoeffdingTree(2, learners.QuandtAndrews(), chunk=20)
+    for a, b in zip(x, np.where(x[:, 0] > 0, 3.0, 0.0)):
+        tree.push(a, float(b))
+    assert tree.leaves() > 1
+
+
 class PlainTree:
     """Leaves as lists of rows, looked through from scratch."""
 
@@ -388,6 +409,23 @@ def test_g05_searches_find_the_longest_sum():
     assert value >= 9 and sum(path) == value and len(path) == 5
 
 
+def test_crowding_of_a_whole_table(spark):
+    rng = random.Random(6)
+    pts = [(i, rng.randint(0, 400), rng.random()) for i in range(700)]
+    got = {r.k: r.crowding for r in pareto.crowding(spark.createDataFrame(pts, "k int, a int, b double").repartition(5), [("a", 1), ("b", -1)]).collect()}
+    for j in (2,):
+        order = sorted(pts, key=lambda p: p[j])
+        gaps = {p[0]: (q[j] - o[j]) / (order[-1][j] - order[0][j]) for o, p, q in zip(order, order[1:], order[2:])}
+    a = sorted(p[1] for p in pts)
+    for k, x, _ in pts:
+        if k not in gaps or got[k] == pareto.FAR:
+            assert got[k] == pareto.FAR and (k not in gaps or x in (a[0], a[-1]))
+            continue
+        least = min((q - o) for o, p, q in zip(a, a[1:], a[2:]) if p == x) / (a[-1] - a[0])
+        most = max((q - o) for o, p, q in zip(a, a[1:], a[2:]) if p == x) / (a[-1] - a[0])
+        assert least - 1e-9 <= got[k] - gaps[k] <= most + 1e-9  # rows that tie may stand in any order
+
+
 def test_volumes_and_spreads_of_any_number_of_objectives(spark):
     rng = random.Random(3)
     for d in (1, 2, 3, 4):
