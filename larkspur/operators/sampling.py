@@ -55,13 +55,17 @@ def gamma(seed: int, of: Column, shape: float, scale: float = 1.0, tries: int =
     boost = shape < 1
     d = (shape + 1 if boost else shape) - 1 / 3
     c = 1 / math.sqrt(9 * d)
-    out = F.lit(d)
-    for k in range(tries - 1, -1, -1):
-        x = gaussian(seed + 7919 * k, of)
-        v = F.pow(1 + c * x, F.lit(3.0))
-        u = draw(seed + 7919 * k + 3, of)
-        accepted = (v > 0) & (F.ln(F.greatest(u, F.lit(1e-300))) < 0.5 * x * x + d - d * v + d * F.ln(F.greatest(v, F.lit(1e-300))))
-        out = F.when(accepted, d * v).otherwise(out)
+    drawn = F.array(*(F.struct(gaussian(seed + 7919 * k, of).alias("x"), draw(seed + 7919 * k + 3, of).alias("u")) for k in range(tries)))
+
+    def cube(e: Column) -> Column:
+        return F.pow(1 + c * e["x"], F.lit(3.0))
+
+    def accepted(e: Column) -> Column:
+        v = cube(e)
+        return (v > 0) & (F.ln(F.greatest(e["u"], F.lit(1e-300))) < 0.5 * e["x"] * e["x"] + d - d * v + d * F.ln(F.greatest(v, F.lit(1e-300))))
+
+    first = F.get(F.filter(drawn, accepted), F.lit(0))
+    out = F.coalesce(d * cube(first), F.lit(d))
     if boost:
         out = out * F.pow(draw(seed + 13, of), F.lit(1 / shape))
     return out * scale

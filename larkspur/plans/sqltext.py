@@ -29,15 +29,13 @@ def laplace(seed: int, of: str, mean: float, scale: float) -> str:
 
 
 def gamma(seed: int, of: str, shape: float, scale: float = 1.0, tries: int = 16) -> str:
-    """For shapes from 1 on: the first accepted try; each try's numbers are made once, in a list of one."""
+    """For shapes from 1 on: the first accepted of a list of tries."""
     d = shape - 1 / 3
-    c, out = number(1 / (9 * d) ** 0.5), number(d)
-    for k in range(tries - 1, -1, -1):
-        x, u, v = f"e{k}.x", f"e{k}.u", f"power(1 + {c} * e{k}.x, 3)"
-        accepted = f"{v} > 0 AND ln(greatest({u}, 1e-300)) < 0.5e0 * {x} * {x} + {number(d)} - {number(d)} * {v} + {number(d)} * ln(greatest({v}, 1e-300))"
-        drawn = f"{{'x': {gaussian(seed + 7919 * k, of)}, 'u': {uniform(seed + 7919 * k + 3, of)}}}"
-        out = f"list_transform([{drawn}], lambda e{k}: CASE WHEN {accepted} THEN {number(d)} * {v} ELSE {out} END)[1]"
-    return f"({out} * {number(scale)})"
+    v = f"power(1 + {number(1 / (9 * d) ** 0.5)} * e.x, 3)"
+    accepted = f"{v} > 0 AND ln(greatest(e.u, 1e-300)) < 0.5e0 * e.x * e.x + {number(d)} - {number(d)} * {v} + {number(d)} * ln(greatest({v}, 1e-300))"
+    drawn = ", ".join(f"{{'x': {gaussian(seed + 7919 * k, of)}, 'u': {uniform(seed + 7919 * k + 3, of)}}}" for k in range(tries))
+    value = f"list_transform(list_filter([{drawn}], lambda e: {accepted}), lambda e: {number(d)} * {v})[1]"
+    return f"(coalesce({value}, {number(d)}) * {number(scale)})"
 
 
 def poisson(u: str) -> str:
