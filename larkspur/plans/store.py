@@ -22,8 +22,14 @@ def shared_folder(spark) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
-def kept(df: DataFrame, label: str = "table") -> DataFrame:
-    """df as a Parquet table that was written once."""
+#: Rows of a file of a table whose number of rows is known to be small.
+FILE_ROWS = 200_000
+
+
+def kept(df: DataFrame, label: str = "table", rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+    """df as a Parquet table that was written once. rows: a bound on its rows, if known, which few files then hold instead of one for each partition."""
+    if rows is not None:
+        df = df.coalesce(min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // file_rows + 1))
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
