@@ -244,7 +244,7 @@ def class_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, wor
     first = F.floor(F.col("n") * (100 - percent) / 100) + 1 - alone
     prefix = shared.select("c", "n", alone.alias("alone"), F.posexplode(F.slice("gs", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("k", "x"))
     index = keep(prefix.select("x.g", "x.level", "c", "n", (F.col("alone") + F.col("k")).alias("at")), "index")
-    cuts = fragment_cuts(common)
+    cuts, most = fragment_cuts(common), index.count()
     piece = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.transform(F.filter("gs", _in_fragment(cuts, i)), lambda x: x.g).alias("seg")) for i in range(len(cuts) + 1))))
     segments = keep(shared.select("c", "n", piece.alias("p")).select("c", "n", "p.f", "p.seg").where("size(seg) > 0"), "segments")
     # what follows a pair's first common shingle bounds its overlap
@@ -259,7 +259,7 @@ def class_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, wor
         # of the shingles that the same classes have, the first in the order stands for all
         groups = rows.groupBy("level", "g").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("l0"), F.max("label").alias("l1"), *(F.bit_xor(F.xxhash64("c", F.lit(i))).alias(f"x{i}") for i in range(2))).where("l0 < l1")
         first = groups.groupBy("k", "x0", "x1").agg(F.min(F.struct("level", "g")).alias("y")).select("k", F.col("y.g").alias("g"))
-        rows = keep(rows.join(first, "g"), "open")
+        rows = keep(rows.join(first, "g"), "open", most)
         size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")).first()
         if not size.n:
             return links
@@ -271,12 +271,12 @@ def class_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, wor
         else:
             # those with the fewest rarer shingles before it are the nearest to what the group shares
             central = F.row_number().over(Window.partitionBy("g").orderBy("at", "n", "c"))
-            pivots = keep(rows.withColumn("place", central).where(F.col("place") <= pivots_now).drop("place"), "pivots")
+            pivots = keep(rows.withColumn("place", central).where(F.col("place") <= pivots_now).drop("place"), "pivots", most)
             met = side(rows, "b").join(side(pivots, "a"), (F.col("g") == F.col("g2")) & (F.col("a") != F.col("b")) & (F.col("la") != F.col("lb")) & near)
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             rows = rows.join(pivots.select("g", "c"), ["g", "c"], "left_anti")
             pivots_now *= PIVOT_GROWTH
-        new = keep(_linked(pairs, segments, percent), "links")
+        new = keep(_linked(pairs, segments, percent), "links", most)
         links = new if links is None else links.unionByName(new)
         if full:
             return links
@@ -290,21 +290,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return named(near_duplicates(rows, "_id", "_text", words, percent), ranks, _id=doc_id, component_id="component_id")
     key = ["n", "s0", "s1"]
     sizes = keep(set_sizes(docs, doc_id, text, words), "sizes")
+    most = sizes.count()
     can = sizes.where(F.col("id").isNotNull() & (F.col("n") > 0) & (100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
     # written with its numbers, so that all readers see the same
-    classes = keep(can.groupBy(*key).agg(F.min("id").alias("rep")).withColumn("c", F.monotonically_increasing_id()), "classes")
+    classes = keep(can.groupBy(*key).agg(F.min("id").alias("rep")).withColumn("c", F.monotonically_increasing_id()), "classes", most)
     links = class_links(docs, classes, doc_id, text, words, percent)
     which = F.xxhash64(*key)
-    several = keep(sizes.where("id is not null").groupBy("id").agg(F.min(which).alias("lo"), F.max(which).alias("hi")).where("lo < hi").select("id"), "several")
+    several = keep(sizes.where("id is not null").groupBy("id").agg(F.min(which).alias("lo"), F.max(which).alias("hi")).where("lo < hi").select("id"), "several", most)
     repeated = not several.isEmpty()
     if repeated:  # an id with several sets joins their classes
         of_id = keep(can.join(several, "id").join(classes, key).select("id", "c").distinct(), "classes")
         star = of_id.groupBy("id").agg(F.min("c").alias("a")).join(of_id, "id").select("a", F.col("c").alias("b"))
         links = star if links is None else links.unionByName(star)
     found = classes.select(*key, "rep", "c", F.col("c").alias("label")) if links is None else classes.join(components(links).withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    found = keep(found, "found")
-    hot = keep(hot_keys(found, "label"), "hubs")
-    members = looked_up(found, "label", keep(found.groupBy("label").agg(F.min("rep").alias("component")), "components"), hot)
+    found = keep(found, "found", most)
+    members = looked_up(found, "label", found.groupBy("label").agg(F.min("rep").alias("component")), hot_keys(found, "label"))
     out = sizes.join(members.select(*key, "component"), key, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
     if repeated:
         out = keep(out, "rows")
@@ -316,3 +316,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """Per document: the size of its set of shingles and the component of near duplicates that it is in."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+c AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.reach)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(reach) FROM c WHERE c.node = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""
