@@ -31,5 +31,6 @@ def kept(df: DataFrame, label: str = "table", rows: int | None = None, file_rows
     if rows is not None:
         df = df.coalesce(min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // file_rows + 1))
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # nobody waits for the mark of success, and on some stores each small file costs a process
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
