@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = star if links is None else links.unionByName(star)
     found = classes.select(*key, "rep", "c", F.col("c").alias("label")) if links is None else classes.join(components(links).withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     found = keep(found, "found", most)
-    members = looked_up(found, "label", found.groupBy("label").agg(F.min("rep").alias("component")), hot_keys(found, "label"))
+    members = looked_up(found, "label", found.groupBy("label").agg(F.min("rep").alias("component")), hot_keys(found, "label", most))
     out = sizes.join(members.select(*key, "component"), key, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
     if repeated:
         out = keep(out, "rows")
