@@ -13,8 +13,8 @@ change it are left out:
    holders, in rounds of GROWTH times as many, until the line goes or all were tried. Here
    holders that differ only in lines that no document left has are one, of least id.
 
-Documents of the same lines are one class: the later ones are aligned in full with the
-first. Before pairing, such copies are set aside.
+Documents of the same lines are one class: those of later ids are aligned in full with the
+first, and set aside before pairing; the class goes on as one, by the least id.
 
 Cases: a null or empty text has no lines and stays; lines are compared byte for byte;
 empty lines are not counted and go with the line before them; rows that repeat an id, with
@@ -41,6 +41,8 @@ from larkspur.llm.textvec import LINE, buffers, pieces, spans
 LEAST_CHARS = 40
 #: Later documents aligned with one owner in one row group.
 SALT_ROWS = 1000
+#: Pairs aligned by one task that writes one file.
+FILE_PAIRS = 2000
 #: Holders of a run in the first round after its owner, and the factor from round to round.
 GROWTH = 16
 
@@ -50,16 +52,16 @@ def _line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         data, at = buffers(column(batch, "t"))
-        ids = column(batch, "id")
+        ids, texts = column(batch, "i"), column(batch, "x")
         for lo, hi in spans(at):
             p = pieces(data[at[lo] : at[hi]], at[lo : hi + 1], LINE)
             cuts = pa.array(np.append(p.lo, len(p.hash)).astype(np.int32))
             h = pa.ListArray.from_arrays(cuts, pa.array(p.hash.view(np.int64)))
             n = pa.ListArray.from_arrays(cuts, pa.array((p.stop - p.start).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), h, n], names=["id", "h", "n"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), texts.slice(lo, hi - lo), h, n], names=["i", "x", "h", "n"])
 
-    rows = docs.select(F.struct(F.col(doc_id).alias("i"), F.xxhash64(text).alias("x")).alias("id"), F.col(text).alias("t"))
-    return map_arrow(rows, run, f"id {dict(rows.dtypes)['id']}, h array<long>, n array<int>")
+    rows = docs.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("x"), F.col(text).alias("t"))
+    return map_arrow(rows, run, f"i {dict(rows.dtypes)['i']}, x long, h array<long>, n array<int>")
 
 
 def unique_matches(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
@@ -161,74 +163,74 @@ def squeezed(at: list[int], h: list[int], lines: int) -> list[int]:
 
 
 def _aligned(linked: DataFrame, later: DataFrame, owners: DataFrame, least: int) -> DataFrame:
-    """id and gone of the pairs (id, owner); later has id, h, n, owners have owner, oh."""
-    kind = dict(later.dtypes)["id"]
+    """id and gone of the pairs (id, owner); later has id, h, n, owners have owner, oh (of an owner's id there may be several)."""
     # an owner of many is copied for every SALT_ROWS of its pairs
     salts = linked.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     copies = salts.join(owners, "owner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = linked.join(later, "id").join(salts, "owner").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int")).drop("salts")
+    dealt = linked.join(later.select("id", "h", "n"), "id").join(salts, "owner").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int")).drop("salts")
     pairs = dealt.join(copies.select("owner", "salt", "oh"), ["owner", "salt"]).select("id", "h", "n", "oh")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         gone = [aligned_lines(h, oh, n, least) for h, oh, n in zip(*(column(batch, c).to_pylist() for c in ("h", "oh", "n")))]
         return pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(gone, pa.list_(pa.int32()))], names=["id", "gone"])
 
-    return map_arrow(pairs, run, f"id {kind}, gone array<int>").where("size(gone) > 0")
+    return map_arrow(pairs, run, "id long, gone array<int>").where("size(gone) > 0")
 
 
 def _united(cut: DataFrame) -> DataFrame:
     return cut.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def _runs_left(docs: DataFrame, least: int) -> DataFrame:
-    """id and hash of the runs of documents (id, h, n, gone) that have a line left."""
+def _runs_left(ones: DataFrame, least: int) -> DataFrame:
+    """id, i and hash of the runs of classes (id, i, h, n, gone) that have a line left; each once."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, out = [], []
-        for i, h, n, gone in zip(*(column(batch, c).to_pylist() for c in ("id", "h", "n", "gone"))):
+        at, out = [], []
+        for k, (h, n, gone) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("h", "n", "gone")))):
             gone = set(gone or ())
             some = {x for x, start, stop in runs(h, n, least) if not gone.issuperset(range(start, stop))}
-            ids += [i] * len(some)
+            at += [k] * len(some)
             out += some
-        return pa.RecordBatch.from_arrays([pa.array(ids, column(batch, "id").type), pa.array(out, pa.int64())], names=["id", "run"])
+        rows = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([column(batch, "id").take(rows), column(batch, "i").take(rows), pa.array(out, pa.int64())], names=["id", "i", "run"])
 
-    return map_arrow(docs, run, f"id {dict(docs.dtypes)['id']}, run long").distinct()
+    return map_arrow(ones.select("id", "i", "h", "n", "gone"), run, f"id long, i {dict(ones.dtypes)['i']}, run long")
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_CHARS) -> DataFrame:
-    """For each row with something to delete: id (i, and x, the hash of its text) and the positions of those lines, counted without empty ones."""
+    """For each row with something to delete: i (its id), x (the hash of its text) and the positions of those lines, counted without empty ones."""
     lines = keep(_line_rows(docs.where(F.col(doc_id).isNotNull()), doc_id, text).where("size(h) > 0"), "lines")
-    key = F.struct(F.size("h").alias("lines"), F.xxhash64("h").alias("x"), F.xxhash64(F.lit(7), "h").alias("y"))
-    lines = lines.withColumn("key", key)
-    first = keep(lines.groupBy("key").agg(F.min("id").alias("first")), "first")
-    classed = keep(lines.join(first, "key"), "classed")
-    same = classed.where("id.i > first.i and aggregate(n, 0L, (s, x) -> s + x) >= " + str(least)).select("id", F.sequence(F.lit(0), F.size("h") - 1).alias("gone"))
-    twins = classed.where("id.i = first.i and id <> first").select("id", "first").distinct()  # of one id, with other empty lines
-    ones = classed.where("id = first").dropDuplicates(["id", "key"]).select("id", "h", "n")
+    key, most = ["k0", "k1", "k2"], lines.count()
+    lines = lines.select("*", F.size("h").alias("k0"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2"))
+    # written with their numbers, so that all readers see the same
+    classes = keep(lines.groupBy(*key).agg(F.min("i").alias("first")).withColumn("id", F.monotonically_increasing_id()), "classes", most)
+    classed = keep(lines.join(classes, key).drop(*key), "classed")
+    same = classed.where(f"i > first and aggregate(n, 0L, (s, x) -> s + x) >= {least}").select("i", "x", F.sequence(F.lit(0), F.size("h") - 1).alias("gone"))
+    ones = keep(classed.where("i = first").dropDuplicates(["id"]).select("id", "i", "h", "n"), "ones")
 
     each = keep(_runs_left(ones.withColumn("gone", F.lit(None).cast("array<int>")), least), "runs")
     # written, so that the join below reads both sides by its own shuffles, which Spark splits where one run has very many rows
-    owned = keep(each.groupBy("run").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1"), "owned")
-    shared = keep(each.join(owned, "run").where("id.i > owner.i"), "shared")
-    linked = keep(shared.select("id", "owner").distinct(), "pairs")
-    cut = keep(_aligned(linked, ones, ones.select(F.col("id").alias("owner"), F.col("h").alias("oh")), least), "cut")
+    owned = keep(each.groupBy("run").agg(F.min("i").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1"), "owned", each.count())
+    shared = keep(each.join(owned, "run").where("i > owner"), "shared")
+    linked = keep(shared.select("id", "owner").distinct(), "pairs", shared.count())
+    cut = keep(_aligned(linked, ones, ones.select(F.col("i").alias("owner"), F.col("h").alias("oh")), least), "cut", linked.count(), FILE_PAIRS)
 
     # runs that others than the owner hold before the document, and of which a line is left
     some = shared.where("df > 2").select("id", "run")
     left = _runs_left(ones.join(some.select("id").distinct(), "id", "left_semi").join(_united(cut), "id", "left"), least)
-    left = keep(left.join(some, ["id", "run"], "left_semi"), "left")
+    left = keep(left.join(some, ["id", "run"], "left_semi"), "left", shared.count())
     if not left.isEmpty():
         cut = _other_holders(ones, each, left, cut, least)
-    cut = cut.unionByName(twins.join(cut.withColumnRenamed("id", "first"), "first").select("id", "gone"))
-    return _united(cut.unionByName(same.select("id", "gone")))
+    rows = classed.where("i = first").select("i", "x", "id").join(_united(cut), "id").select("i", "x", "gone")
+    return rows.unionByName(same).dropDuplicates(["i", "x"])
 
 
 def _other_holders(ones: DataFrame, each: DataFrame, left: DataFrame, cut: DataFrame, least: int) -> DataFrame:
     """cut, and what alignments with the other earlier holders of the runs that are left delete."""
     texts = keep(ones.join(left.select("id").distinct(), "id", "left_semi"), "texts")
-    held = keep(each.join(left.select("run").distinct(), "run", "left_semi").withColumnRenamed("id", "owner"), "held")
+    held = keep(each.join(left.select("run").distinct(), "run", "left_semi").select("run", F.col("i").alias("owner")), "held")
     known = keep(texts.select(F.explode("h").alias("line")).distinct(), "known")
-    holders = ones.withColumnRenamed("id", "owner").join(held.select("owner").distinct(), "owner", "left_semi")
+    holders = ones.withColumnRenamed("i", "owner").join(held.select("owner").distinct(), "owner", "left_semi")
     places = keep(holders.select("owner", F.xxhash64("h").alias("x"), F.size("h").alias("lines"), F.posexplode("h").alias("at", "line")), "places").join(known, "line")
     places = places.groupBy("owner", "x", "lines").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("some"))
 
@@ -236,7 +238,7 @@ def _other_holders(ones: DataFrame, each: DataFrame, left: DataFrame, cut: DataF
         some = zip(*(column(batch, c).to_pylist() for c in ("at", "line", "lines")))
         return pa.RecordBatch.from_arrays([column(batch, "owner"), pa.array([squeezed(*x) for x in some], pa.list_(pa.int64()))], names=["owner", "oh"])
 
-    short = map_arrow(places.select("owner", F.col("some.at").alias("at"), F.col("some.line").alias("line"), "lines"), run, f"owner {dict(ones.dtypes)['id']}, oh array<long>")
+    short = map_arrow(places.select("owner", F.col("some.at").alias("at"), F.col("some.line").alias("line"), "lines"), run, f"owner {dict(ones.dtypes)['i']}, oh array<long>")
     owners = keep(short.groupBy("oh").agg(F.min("owner").alias("owner")), "owners")
     # holders of a run in an order of their hashes, by about how many are before each
     held = keep(held.join(owners.select("owner").distinct(), "owner", "left_semi"), "holders")
@@ -247,10 +249,10 @@ def _other_holders(ones: DataFrame, each: DataFrame, left: DataFrame, cut: DataF
     begin, end = 0, GROWTH
     while begin < most and not left.isEmpty():
         now = held.where((F.col("order") >= begin) & (F.col("order") < end))
-        linked = keep(left.join(now, "run").where("owner.i < id.i").select("id", "owner").distinct(), "pairs")
-        cut = cut.unionByName(keep(_aligned(linked, texts, owners, least), "cut"))
+        linked = keep(left.join(now, "run").where("owner < i").select("id", "owner").distinct(), "pairs", left.count() * GROWTH)
+        cut = cut.unionByName(keep(_aligned(linked, texts, owners, least), "cut", linked.count(), FILE_PAIRS))
         gone = _united(cut.join(left.select("id").distinct(), "id", "left_semi"))
-        left = keep(_runs_left(texts.join(gone, "id"), least).join(left, ["id", "run"], "left_semi").unionByName(left.join(gone, "id", "left_anti").select("id", "run")), "left")
+        left = keep(_runs_left(texts.join(gone, "id"), least).join(left, ["id", "run"], "left_semi").unionByName(left.join(gone, "id", "left_anti").select("id", "i", "run")), "left", left.count())
         begin, end = end, end * GROWTH
     return cut
 
@@ -274,7 +276,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     names = [c for c in docs.columns if c in {doc_id, text, *carry} and c not in new]
     own = [f"`{c}` {t}" for c, t in docs.dtypes if c in names]
     i, x, cut = fresh(docs.columns, "i", "x", "gone")
-    gone = removed_lines(docs, doc_id, text, least).select(F.col("id.i").alias(i), F.col("id.x").alias(x), F.col("gone").alias(cut))
+    gone = removed_lines(docs, doc_id, text, least).select(F.col("i").alias(i), F.col("x").alias(x), F.col("gone").alias(cut))
     rows = docs.select(*(F.col(f"`{c}`") for c in names))
     joined = rows.join(gone, (F.col(f"`{doc_id}`") == F.col(i)) & (F.xxhash64(text) == F.col(x)), "left").drop(i, x)
 
