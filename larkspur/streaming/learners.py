@@ -2,8 +2,9 @@
 
 A learner takes one row at a time in the order of `seq`; that order is its meaning, so
 a stream is learned per key, each key's rows in order. replay() runs it over a table and
-stream() over a stream, whose state is the learner itself. Learners whose state is a sum
-(simple regressions, least squares) are plain aggregates besides.
+stream() over a stream, whose state is the learner itself. learn() of a learner takes a
+block of rows and gives what predict() and push() in turns would. Learners whose state is
+a sum (simple regressions, least squares) are plain aggregates besides.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -408,38 +410,126 @@ class HoeffdingTree:
         return of(self.root)
 
 
+@dataclass
+class _Bag:
+    """A leaf of an ExtraTree: for each distinct row of inputs how many there are and the sum of their targets, and both over all; the inputs' ranges."""
+
+    cells: dict[tuple, list]
+    n: int
+    total: float
+    low: list[float]
+    high: list[float]
+
+    @staticmethod
+    def of(cells: dict[tuple, list]) -> _Bag:
+        return _Bag(cells, sum(c[0] for c in cells.values()), sum(c[1] for c in cells.values()), [min(v) for v in zip(*cells)], [max(v) for v in zip(*cells)])
+
+    def push(self, x: tuple, y: float) -> None:
+        cell = self.cells.get(x)
+        if cell is None:
+            self.cells[x] = [1, y]
+            self.low, self.high = ([f(*v) for v in zip(ends, x)] if ends else list(x) for f, ends in ((min, self.low), (max, self.high)))
+        else:
+            cell[0] += 1
+            cell[1] += y
+        self.n += 1
+        self.total += y
+
+    @property
+    def mean(self) -> float:
+        return self.total / self.n if self.n else 0.0
+
+
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of x, and for each row which it is."""
+    order = np.lexsort(x.T[::-1])
+    new = np.append(True, (x[order[1:]] != x[order[:-1]]).any(axis=1))[: len(x)]
+    which = np.empty(len(x), int)
+    which[order] = np.cumsum(new) - 1
+    return x[order[new]], which
+
+
 class ExtraTree:
-    """A tree that splits a random input at a random place whenever a leaf holds `least` rows."""
+    """A tree that splits a random input at a random place whenever a leaf holds `least` rows.
+
+    Equal rows of inputs can't be split, so a leaf keeps their number and sum.
+    """
 
     def __init__(self, d: int, least: int = 2, seed: int = 0):
         self.d, self.least, self.rng = d, least, np.random.default_rng(seed)
-        self.root: object = _Leaf(None, Rows(d))
+        self.root: object = _Bag.of({})
 
     def predict(self, x: np.ndarray) -> float:
-        leaf = _descend(self.root, x)[0]
-        return float(leaf.rows.y.mean()) if len(leaf.rows) else 0.0
+        return _descend(self.root, x)[0].mean
 
     def push(self, x: np.ndarray, y: float) -> None:
+        self._push(tuple(np.asarray(x, float).tolist()), float(y))
+
+    def _push(self, x: tuple, y: float) -> tuple[float, tuple[_Bag, ...]]:
+        """Learns a row; its prediction before, and the leaves that it left behind."""
         leaf, parent, right = _descend(self.root, x)
-        leaf.rows.push(x, y)
-        if len(leaf.rows) < self.least:
-            return
+        before = leaf.mean
+        leaf.push(x, y)
+        if leaf.n < self.least:
+            return before, (leaf,)
         j = int(self.rng.integers(self.d))
-        values = leaf.rows.x[:, j]
-        low, high = float(values.min()), float(values.max())
+        low, high = leaf.low[j], leaf.high[j]
         if high <= low:
-            return
+            return before, (leaf,)
         t = float(self.rng.uniform(low, high))
-        over = values > t
-        if over.all() or not over.any():
-            return
-        node = _Split(j, t, *(_Leaf(None, Rows(self.d, leaf.rows.x[side], leaf.rows.y[side])) for side in (~over, over)))
+        if not low <= t < high:
+            return before, (leaf,)
+        sides = tuple(_Bag.of({k: v for k, v in leaf.cells.items() if (k[j] > t) == side}) for side in (False, True))
+        node = _Split(j, t, *sides)
         if parent is None:
             self.root = node
         elif right:
             parent.right = node
         else:
             parent.left = node
+        return before, sides
+
+    def learn(self, x: np.ndarray, y: np.ndarray, groups: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Predicts and then learns each row. Rows whose leaf holds nothing but their equals split nothing; stretches of them are taken at once."""
+        distinct, which = groups or _groups(x)
+        rows = [tuple(v) for v in distinct.tolist()]
+        at = {r: g for g, r in enumerate(rows)}
+        leaves = [_descend(self.root, r)[0] for r in rows]
+        alone = np.array([len(leaf.cells) == 1 and r in leaf.cells for r, leaf in zip(rows, leaves)], bool)
+        out, ys, i, window = np.empty(len(y)), y.tolist(), 0, 64
+        while i < len(y):
+            calm = alone[which[i : i + window]]
+            run = len(calm) if calm.all() else int(calm.argmin())
+            if run >= 16:
+                self._learn_alone(leaves, rows, which[i : i + run], y[i : i + run], out[i : i + run])
+                i += run
+                window = min(2 * window, 1 << 16) if run == len(calm) else max(64, window // 2)
+                continue
+            for k in range(i, min(i + run + 1, len(y))):
+                out[k], left = self._push(rows[which[k]], ys[k])
+                for leaf in left:
+                    if len(left) == 2 or len(leaf.cells) <= 2:
+                        for r in leaf.cells:
+                            if r in at:
+                                leaves[at[r]], alone[at[r]] = leaf, len(leaf.cells) == 1
+            i += run + 1
+            window = 64
+        return out
+
+    def _learn_alone(self, leaves: list[_Bag], rows: list[tuple], which: np.ndarray, y: np.ndarray, out: np.ndarray) -> None:
+        order = np.argsort(which, kind="stable")
+        sizes = np.bincount(which)
+        draws, end = 0, 0
+        for g in np.flatnonzero(sizes).tolist():
+            leaf, k = leaves[g], int(sizes[g])
+            take = order[end : end + k]
+            sums = np.cumsum(np.append(leaf.total, y[take]))
+            out[take] = sums[:-1] / np.arange(leaf.n, leaf.n + k)
+            draws += min(k, max(0, leaf.n + k - self.least + 1))
+            leaf.n, leaf.total = leaf.n + k, float(sums[-1])
+            leaf.cells[rows[g]] = [leaf.n, leaf.total]
+            end += k
+        self.rng.integers(self.d, size=draws)  # as many as single rows draw
 
 
 class Ensemble:
@@ -455,52 +545,118 @@ class Ensemble:
     def predict(self, x: np.ndarray) -> float:
         return float(np.mean([m.predict(x) for m in self.members]))
 
+    def learn(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        groups = _groups(x) if any(isinstance(m, ExtraTree) for m in self.members) else None
+        return np.mean([m.learn(x, y, groups) if isinstance(m, ExtraTree) else _predict_and_learn(m, x, y) for m in self.members], axis=0)
+
 
 # over tables and streams
 
 
-def _learn(learner, pdf: pd.DataFrame, inputs: Sequence[str], target: str, every: int) -> Iterator[tuple[int, float, float]]:
-    """Test, then train, on each row; yields (rows, RMSE, relative RMSE) of the last `every` rows."""
-    errors, targets, n = [], [], getattr(learner, "rows_seen", 0)
-    x, y = pdf[list(inputs)].to_numpy(float), pdf[target].to_numpy(float)
-    for xi, yi in zip(x, y):
-        if np.isnan(yi) or np.isnan(xi).any():
-            continue
-        errors.append((yi - learner.predict(xi)) ** 2)
-        targets.append(yi)
+#: Rows that are learned at once.
+BLOCK_ROWS = 1 << 16
+#: Tasks of a replay, at least: with few keys and few tasks two long streams would often share one.
+LEAST_TASKS = 64
+
+
+def _predict_and_learn(learner, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The prediction of each row before it is learned; by blocks where the learner can."""
+    if hasattr(learner, "learn"):
+        return learner.learn(x, y)
+    out = np.empty(len(y))
+    for i, (xi, yi) in enumerate(zip(x, y)):
+        out[i] = learner.predict(xi)
         learner.push(xi, yi)
-        n += 1
-        if n % every == 0:
-            spread = float(np.var(targets[-every:])) or 1.0
-            yield n, float(np.sqrt(np.mean(errors[-every:]))), float(np.sqrt(np.mean(errors[-every:]) / spread))
-    learner.rows_seen = n
+    return out
 
 
-def replay(df: DataFrame, make: Callable[[], object], inputs: Sequence[str], target: str, seq: str, key: str, every: int = 100) -> DataFrame:
-    """key, rows, rmse, rrse: the learning curve of each key's rows in order of seq. Rows of a key are learned in one task: their order is the learner's meaning."""
+def _learn(learner, x: np.ndarray, y: np.ndarray, every: int) -> Iterator[tuple[int, float, float]]:
+    """Test, then train, on each row; yields (rows, RMSE, relative RMSE) of the last `every` rows, which the learner carries on to the next call."""
+    full = ~(np.isnan(y) | np.isnan(x).any(axis=1))
+    x, y = x[full], y[full]
+    n, (errors, targets) = getattr(learner, "rows_seen", 0), getattr(learner, "recent", (np.empty(0), np.empty(0)))
+    first = n - len(errors)  # rows before those that are held
+    errors, targets = np.append(errors, (y - _predict_and_learn(learner, x, y)) ** 2), np.append(targets, y)
+    for stop in range(n - n % every + every, n + len(y) + 1, every):
+        last = slice(max(0, stop - first - every), stop - first)
+        spread = float(np.var(targets[last])) or 1.0
+        yield stop, float(np.sqrt(np.mean(errors[last]))), float(np.sqrt(np.mean(errors[last]) / spread))
+    learner.rows_seen, learner.recent = n + len(y), (errors[-every:].copy(), targets[-every:].copy())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq, kind="stable")
-        return pd.DataFrame([(pdf[key].iloc[0], *p) for p in _learn(make(), pdf, inputs, target, every)], columns=[key, "rows", "rmse", "rrse"])
 
+def _numbers(df: DataFrame, inputs: Sequence[str], target: str, seq: str, key: str) -> DataFrame:
+    return df.select(key, seq, *(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate([*inputs, target])))
+
+
+def replay(df: DataFrame, make: Callable[[], object], inputs: Sequence[str], target: str, seq: str, key: str, every: int = 100) -> DataFrame:
+    """key, rows, rmse, rrse: the learning curve of each key's rows in order of seq, then of inputs and target.
+
+    Rows of a key are learned in one task, since their order is the learner's meaning; they pass through
+    it sorted, in blocks, so that it holds the learner and no more.
+    """
+    d = len(inputs)
+    numbers = _numbers(df, inputs, target, seq, key)
+    values = [f"_{i}" for i in range(d + 1)]
     kind = dict(df.dtypes)[key]
-    return df.select(key, seq, *inputs, target).groupBy(key).applyInPandas(run, f"`{key}` {kind}, rows long, rmse double, rrse double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, now, held, size, points = None, None, [], 0, []
+
+        def settle() -> None:
+            if held:
+                rows = np.concatenate(held)
+                points.extend((now, *p) for p in _learn(learner, rows[:, :d], rows[:, d], every))
+                held.clear()
+
+        def told(type_: pa.DataType) -> pa.RecordBatch:
+            keys, *rest = zip(*points)
+            points.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, type_), pa.array(rest[0], pa.int64()), *(pa.array(r, pa.float64()) for r in rest[1:])], names=[key, "rows", "rmse", "rrse"])
+
+        kind_ = None
+        for batch in batches:
+            keys, kind_ = batch.column(0), batch.column(0).type
+            rows = np.column_stack([batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(1, d + 2)])
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                here = keys[start].as_py()
+                if learner is None or not (here == now or (here != here and now != now)):
+                    settle()
+                    learner, now, size = make(), here, 0
+                held.append(rows[start:end])
+                size += end - start
+                if size >= BLOCK_ROWS:
+                    settle()
+                    size = 0
+            if len(points) >= 10_000:
+                yield told(kind_)
+        settle()
+        if points:
+            yield told(kind_)
+
+    tasks = max(LEAST_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = numbers.repartition(tasks, key).sortWithinPartitions(key, seq, *values).select(key, *values)
+    return ordered.mapInArrow(run, f"`{key}` {kind}, rows long, rmse double, rrse double")
 
 
 def stream(df: DataFrame, make: Callable[[], object], inputs: Sequence[str], target: str, seq: str, key: str, every: int = 100) -> DataFrame:
-    """As replay(), on a stream: the state of a key is its learner, and each micro-batch is learned in order of seq."""
+    """As replay(), on a stream: the state of a key is its learner, and each micro-batch is learned in order of seq, then of inputs and target."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    kind = dict(df.dtypes)[key]
+    d, kind = len(inputs), dict(df.dtypes)[key]
+    values = [f"_{i}" for i in range(d + 1)]
 
     def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         learner = pickle.loads(state.get[0]) if state.exists else make()
-        pdf = pd.concat(list(frames)).sort_values(seq, kind="stable")
-        points = list(_learn(learner, pdf, inputs, target, every))
+        rows = pd.concat(list(frames)).sort_values([seq, *values], kind="stable", na_position="first")[values].to_numpy(float)
+        points = list(_learn(learner, rows[:, :d], rows[:, d], every))
         state.update((pickle.dumps(learner),))
         yield pd.DataFrame([(k[0], *p) for p in points], columns=[key, "rows", "rmse", "rrse"])
 
-    return df.select(key, seq, *inputs, target).groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, rows long, rmse double, rrse double", "learner binary", "append", GroupStateTimeout.NoTimeout)
+    return _numbers(df, inputs, target, seq, key).groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, rows long, rmse double, rrse double", "learner binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def simple_regression(df: DataFrame, inputs: Sequence[str], target: str) -> Expr:

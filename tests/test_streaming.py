@@ -78,3 +78,43 @@ def test_stream_equals_replay(spark, tmp_path):
 
 def test_bound():
     assert learners.hoeffding_bound(0, 0.1) == 1.0 and learners.hoeffding_bound(200, 0.01) == pytest.approx(0.1073, abs=1e-3)
+
+
+def by_rows(learner, x, y):
+    out = []
+    for a, b in zip(x, y):
+        out.append(learner.predict(a))
+        learner.push(a, float(b))
+    return np.array(out)
+
+
+def grid(n, seed=4):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.integers(0, 9, n), rng.integers(0, 4, n)]).astype(float)
+    return x, np.where(x[:, 0] > 4, 2 * x[:, 1], 5 - x[:, 1]) + rng.normal(0, 0.1, n)
+
+
+def test_extra_trees_keep_equal_rows_as_one_and_learn_blocks_as_rows():
+    for x, y in (grid(4000), data(500)):
+        one, blocks = (learners.Ensemble([learners.ExtraTree(2, 5, s) for s in range(3)]) for _ in range(2))
+        want = by_rows(one, x, y)
+        got = np.concatenate([blocks.learn(x[i : i + 700], y[i : i + 700]) for i in range(0, len(y), 700)])
+        assert np.allclose(got, want, rtol=0, atol=1e-9)
+    tree, (x, y) = learners.ExtraTree(2, 5, 1), grid(4000)
+    tree.learn(x, y)
+    held = lambda n: held(n.left) + held(n.right) if hasattr(n, "left") else len(n.cells)
+    assert held(tree.root) == len(np.unique(x, axis=0)) == 36
+
+
+def test_a_replay_takes_ties_in_one_order_and_keys_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(learners, "BLOCK_ROWS", 64)
+    x, y = grid(900)
+    rows = [(None if i % 3 == 2 else i % 3, i // 6, float(a[0]), float(a[1]), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "k int, seq long, a double, b double, y double")
+    make = lambda: learners.ExtraTree(2, 3, 1)
+    runs = [{(r.k, r.rows): r.rmse for r in learners.replay(d.repartition(n), make, ["a", "b"], "y", "seq", "k", 70).collect()} for d, n in ((df, 1), (df.orderBy("y"), 5))]
+    assert runs[0] == runs[1] and len(runs[0]) == 12
+    for k in (0, 1, None):
+        mine = sorted(r[1:] for r in rows if r[0] == k)
+        e = (by_rows(make(), np.array([r[1:3] for r in mine]), [r[3] for r in mine]) - [r[3] for r in mine]) ** 2
+        assert [runs[0][k, n] for n in (70, 140, 210, 280)] == pytest.approx([e[n - 70 : n].mean() ** 0.5 for n in (70, 140, 210, 280)])
