@@ -24,6 +24,11 @@ from larkspur.functions.stats import LeastSquares, pair_sums, slope
 from larkspur.plans.expr import Constant, Expr, Linear, NormalisedLinear, StreamLeaf, StreamTree
 
 
+def _counted(y: np.ndarray, n: np.ndarray | None, q: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows each entry of y is the sum of, and their sum of squares; of single rows where that is not given."""
+    return (np.ones(len(y)), y * y) if n is None else (n, q)
+
+
 class Moments:
     """Count, means and deviations of vectors, in one pass."""
 
@@ -90,24 +95,44 @@ class OnlineLeastSquares:
         s.n += 1
         self._weights = None
 
-    def push_all(self, x: np.ndarray, y: np.ndarray) -> None:
+    def push_all(self, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, q: np.ndarray | None = None) -> None:
+        n, q = _counted(y, n, q)
         z = np.column_stack([np.ones(len(y)), x])
         s = self.sums
-        s.xtx += z.T @ z
+        s.xtx += z.T @ (z * n[:, None])
         s.xty += z.T @ y
-        s.yy += float(y @ y)
-        s.n += len(y)
+        s.yy += float(q.sum())
+        s.n += float(n.sum())
         self._weights = None
 
     @property
     def weights(self) -> np.ndarray:
         if self._weights is None:
-            if self.sums.n >= self.d + 1:
-                self._weights = np.linalg.lstsq(self.sums.xtx, self.sums.xty, rcond=None)[0]
-            else:
-                self._weights = np.concatenate([[self.sums.xty[0] / max(1.0, self.sums.n)], np.zeros(self.d)])
+            self._weights = self._fit(self.sums.n, self.sums.xtx, self.sums.xty)
         return self._weights
 
+    def _fit(self, n: float, xtx: np.ndarray, xty: np.ndarray) -> np.ndarray:
+        if n >= self.d + 1:
+            return np.linalg.lstsq(xtx, xty, rcond=None)[0]
+        return np.concatenate([[xty[0] / max(1.0, n)], np.zeros(self.d)])
+
+    def learn(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Predicts and then learns each row. Where no fit of a stretch is near singular, all are solved at once: the least eigenvalue only grows with rows."""
+        out, most = np.empty(len(y)), max(1, min(512, (1 << 20) // (self.d + 1) ** 2))
+        s = self.sums
+        for i in range(0, len(y), most):
+            z, ys = np.column_stack([np.ones(len(y[i : i + most])), x[i : i + most]]), y[i : i + most]
+            xtx = np.cumsum(np.concatenate([s.xtx[None], z[:, :, None] * z[:, None, :]]), axis=0)
+            xty = np.cumsum(np.concatenate([s.xty[None], ys[:, None] * z]), axis=0)
+            if s.n > self.d and np.isfinite(xtx[-1]).all() and np.linalg.eigvalsh(xtx[0])[0] > 1e-10 * np.linalg.eigvalsh(xtx[-1])[-1]:
+                weights = np.linalg.solve(xtx[:-1], xty[:-1, :, None])[:, :, 0]
+            else:
+                weights = np.array([self._fit(s.n + k, xtx[k], xty[k]) for k in range(len(ys))])
+            out[i : i + most] = (weights * z).sum(axis=1)
+            s.xtx, s.xty, s.yy, s.n = xtx[-1].copy(), xty[-1].copy(), s.yy + float(ys @ ys), s.n + len(ys)
+        self._weights = None
+        return out
+
     def predict(self, x: np.ndarray) -> float:
         return float(self.weights[0] + self.weights[1:] @ x)
 
@@ -132,10 +157,11 @@ class SimpleRegressions:
         self.xy += x * y
         self.y += y
 
-    def push_all(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.n += len(y)
-        self.x += x.sum(axis=0)
-        self.xx += (x * x).sum(axis=0)
+    def push_all(self, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, q: np.ndarray | None = None) -> None:
+        n, _ = _counted(y, n, q)
+        self.n += int(n.sum())
+        self.x += n @ x
+        self.xx += n @ (x * x)
         self.xy += x.T @ y
         self.y += float(y.sum())
 
@@ -160,7 +186,8 @@ def hoeffding_bound(n: int, delta: float, width: float = 1.0) -> float:
     return 1.0 if not n or not delta else math.sqrt(width * width * math.log(1 / delta) / (2 * n))
 
 
-# split quality over sorted rows: prefix sums give both sides of every split at once
+# split quality over sorted rows: prefix sums give both sides of every split at once.
+# A row may stand for n equal rows of inputs; then y is the sum of their targets, and q that of the squares
 
 
 def _residual_sd(n, x, xx, xy, y, yy) -> np.ndarray:
@@ -184,36 +211,40 @@ def _both(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class StandardDeviationReduction:
     """sd(all) less the sides' sds by their shares."""
 
-    def qualities(self, x: np.ndarray, y: np.ndarray, j: int) -> np.ndarray:
-        n1, n2 = _both(np.ones(len(y)))
+    def qualities(self, x: np.ndarray, y: np.ndarray, j: int, n: np.ndarray | None = None, q: np.ndarray | None = None) -> np.ndarray:
+        n, q = _counted(y, n, q)
+        n1, n2 = _both(n)
         y1, y2 = _both(y)
-        q1, q2 = _both(y * y)
-        n = len(y)
-        return _sd(n, y.sum(), (y * y).sum()) - (n1 * _sd(n1, y1, q1) + n2 * np.nan_to_num(_sd(n2, y2, q2))) / n
+        q1, q2 = _both(q)
+        return _sd(n1[-1], y.sum(), q.sum()) - (n1 * _sd(n1, y1, q1) + n2 * np.nan_to_num(_sd(n2, y2, q2))) / n1[-1]
+
+
+def _line_sums(v: np.ndarray, y: np.ndarray, n: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Both sides' sums for lines of y on v."""
+    return [_both(s) for s in (n, n * v, n * v * v, v * y, y, q)]
 
 
 class Mauve:
     """As the above, of the residuals about lines on one input: the one that is split."""
 
-    def on(self, x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-        v = x[:, k]
-        sides = [_both(s) for s in (np.ones(len(y)), v, v * v, v * y, y, y * y)]
+    def on(self, x: np.ndarray, y: np.ndarray, k: int, n: np.ndarray | None = None, q: np.ndarray | None = None) -> np.ndarray:
+        sides = _line_sums(x[:, k], y, *_counted(y, n, q))
         left, right = (_residual_sd(*(s[i] for s in sides)) for i in (0, 1))
         n1, n2 = sides[0]
         whole = _residual_sd(*(s[0][-1] for s in sides))
         with np.errstate(invalid="ignore"):
-            q = whole - (n1 * left + n2 * right) / len(y)
-        return np.where(np.isfinite(q), q, -np.inf)
+            found = whole - (n1 * left + n2 * right) / n1[-1]
+        return np.where(np.isfinite(found), found, -np.inf)
 
-    def qualities(self, x: np.ndarray, y: np.ndarray, j: int) -> np.ndarray:
-        return self.on(x, y, j)
+    def qualities(self, x: np.ndarray, y: np.ndarray, j: int, n: np.ndarray | None = None, q: np.ndarray | None = None) -> np.ndarray:
+        return self.on(x, y, j, n, q)
 
 
 class ExtendedMauve(Mauve):
     """The best over lines on any one input."""
 
-    def qualities(self, x: np.ndarray, y: np.ndarray, j: int) -> np.ndarray:
-        return np.max([self.on(x, y, k) for k in range(x.shape[1])], axis=0)
+    def qualities(self, x: np.ndarray, y: np.ndarray, j: int, n: np.ndarray | None = None, q: np.ndarray | None = None) -> np.ndarray:
+        return np.max([self.on(x, y, k, n, q) for k in range(x.shape[1])], axis=0)
 
 
 class TotalMauve:
@@ -222,22 +253,29 @@ class TotalMauve:
     def __init__(self, candidates: int = 32):
         self.candidates = candidates
 
-    def qualities(self, x: np.ndarray, y: np.ndarray, j: int) -> np.ndarray:
-        n, d = x.shape
-        z = np.column_stack([np.ones(n), x])
-        out = np.full(n, -np.inf)
-        whole = self._sd(z, y)
-        for i in np.unique(np.linspace(d + 1, n - d - 2, self.candidates).astype(int)) if n > 2 * d + 4 else []:
-            if x[i, j] < x[i + 1, j]:
-                out[i] = whole - ((i + 1) * self._sd(z[: i + 1], y[: i + 1]) + (n - i - 1) * self._sd(z[i + 1 :], y[i + 1 :])) / n
+    def qualities(self, x: np.ndarray, y: np.ndarray, j: int, n: np.ndarray | None = None, q: np.ndarray | None = None) -> np.ndarray:
+        n, q = _counted(y, n, q)
+        d, upto = x.shape[1], np.cumsum(n).astype(int)
+        rows = int(upto[-1]) if len(upto) else 0
+        out = np.full(len(y), -np.inf)
+        if rows <= 2 * d + 4:
+            return out
+        tried = np.unique(np.linspace(d + 1, rows - d - 2, self.candidates).astype(int))
+        ends = np.flatnonzero(np.isin(upto[:-1] - 1, tried) & (x[:-1, j] < x[1:, j]))
+        z = np.column_stack([np.ones(len(y)), x])
+        whole = self._sd(z, y, n, q) if len(ends) else 0.0
+        for i in ends:
+            out[i] = whole - sum(n[side].sum() * self._sd(z[side], y[side], n[side], q[side]) for side in (slice(i + 1), slice(i + 1, None))) / rows
         return out
 
     @staticmethod
-    def _sd(z: np.ndarray, y: np.ndarray) -> float:
-        if len(y) < z.shape[1]:
+    def _sd(z: np.ndarray, y: np.ndarray, n: np.ndarray, q: np.ndarray) -> float:
+        rows = n.sum()
+        if rows < z.shape[1]:
             return 0.0
-        w = np.linalg.lstsq(z, y, rcond=None)[0]
-        return float(np.sqrt(((y - z @ w) ** 2).sum() / max(1, len(y) - 1)))
+        root, mean = np.sqrt(n), y / n
+        w = np.linalg.lstsq(z * root[:, None], mean * root, rcond=None)[0]
+        return float(np.sqrt(((n * (mean - z @ w) ** 2).sum() + np.maximum(q - y * mean, 0).sum()) / max(1, rows - 1)))
 
 
 class QuandtAndrews:
@@ -246,20 +284,20 @@ class QuandtAndrews:
     def __init__(self, critical: float = 4.0, parameters: int = 2):
         self.critical, self.parameters = critical, parameters
 
-    def qualities(self, x: np.ndarray, y: np.ndarray, j: int) -> np.ndarray:
-        v, n, k = x[:, j], len(y), self.parameters
-        sides = [_both(s) for s in (np.ones(n), v, v * v, v * y, y, y * y)]
+    def qualities(self, x: np.ndarray, y: np.ndarray, j: int, n: np.ndarray | None = None, q: np.ndarray | None = None) -> np.ndarray:
+        sides, k = _line_sums(x[:, j], y, *_counted(y, n, q)), self.parameters
+        rows = sides[0][0][-1]
         left, right = ((np.maximum(s[0] - 1, 0) * np.nan_to_num(_residual_sd(*s), posinf=0) ** 2) for s in ([p[i] for p in sides] for i in (0, 1)))
-        whole = (n - 1) * float(_residual_sd(*(p[0][-1] for p in sides))) ** 2 if n > 1 else 0.0
+        whole = (rows - 1) * float(_residual_sd(*(p[0][-1] for p in sides))) ** 2 if rows > 1 else 0.0
         with np.errstate(divide="ignore", invalid="ignore"):
-            f = (whole - left - right) * (n - 2 * k) / ((left + right) * k)
+            f = (whole - left - right) * (rows - 2 * k) / ((left + right) * k)
         return np.where(np.isfinite(f) & (f > self.critical), f, -np.inf)
 
 
 class Never:
     """No split is of any worth."""
 
-    def qualities(self, x: np.ndarray, y: np.ndarray, j: int) -> np.ndarray:
+    def qualities(self, x: np.ndarray, y: np.ndarray, j: int, n: np.ndarray | None = None, q: np.ndarray | None = None) -> np.ndarray:
         return np.full(len(y), -np.inf)
 
 
@@ -296,11 +334,56 @@ class Rows:
     def __len__(self) -> int:
         return self.n - self.first
 
+    def sums(self) -> tuple[np.ndarray, ...]:
+        return self.x, self.y, *_counted(self.y, None, None)
+
+    def where(self, side: np.ndarray) -> Rows:
+        return Rows(self._x.shape[1], self.x[side], self.y[side], self.most)
+
+
+class Cells:
+    """Rows of inputs and targets, equal rows of inputs as one: their number and the sums of their targets and of the squares. New rows wait unsorted, no more than there are cells or 1,024."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, q: np.ndarray):
+        self.cells, self.new, self.waiting, self.rows = (x, y, n, q), [], 0, int(n.sum())
+
+    @classmethod
+    def empty(cls, d: int) -> Cells:
+        return cls(np.empty((0, d)), *(np.empty(0) for _ in range(3)))
+
+    def push(self, x: np.ndarray, y: float) -> None:
+        self.push_all(np.array(x, float)[None], np.array([y], float))
+
+    def push_all(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.new.append((x, y))
+        self.waiting += len(y)
+        self.rows += len(y)
+        if self.waiting > max(1024, len(self.cells[1])):
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """x, y, n, q: distinct inputs in lexicographic order with the sums of their targets, how many they are, and the sums of squares."""
+        if self.new:
+            parts = [self.cells, *((x, y, *_counted(y, None, None)) for x, y in self.new)]
+            x, *rest = (np.concatenate(p) for p in zip(*parts))
+            order = np.lexsort(x.T[::-1])
+            x = x[order]
+            starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(axis=1)))
+            self.cells = (x[starts], *(np.add.reduceat(r[order], starts) for r in rest))
+            self.new, self.waiting = [], 0
+        return self.cells
+
+    def where(self, side: np.ndarray) -> Cells:
+        return Cells(*(p[side] for p in self.sums()))
+
+    def __len__(self) -> int:
+        return self.rows
+
 
 @dataclass
 class _Leaf:
     model: object
-    rows: Rows
+    rows: Rows | Cells
     seen: int = 0
     best: tuple = ()
     ratio: float = 0.0
@@ -315,12 +398,12 @@ class _Split:
     right: object
 
 
-def _side_model(model, x: np.ndarray, y: np.ndarray):
+def _side_model(model, rows: Rows | Cells):
     """A leaf's model for one side of its split, whose rows these are: of their sums if it is made of sums, else a copy that learns on."""
     if not isinstance(model, (OnlineLeastSquares, SimpleRegressions)):
         return model.clone()
     new = type(model)(model.d)
-    new.push_all(x, y)
+    new.push_all(*rows.sums())
     return new
 
 
@@ -336,18 +419,71 @@ def _descend(node, x: np.ndarray) -> tuple[_Leaf, _Split | None, bool]:
 class HoeffdingTree:
     """A regression tree that splits a leaf once a bound makes its best split certain.
 
-    A leaf keeps its rows, all of them unless `memory` bounds the state to the latest. Each `chunk` rows it finds the best
+    A leaf keeps its rows, equal ones as one, or with `memory` the latest so many. Each `chunk` rows it finds the best
     split of each input; when the mean ratio of the second best quality to the best is below 1 - bound, or the bound
     below `tie`, it splits, and its children start from its model and their side's rows.
     """
 
     def __init__(self, d: int, quality=None, model: Callable[[int], object] = OnlineLeastSquares, delta: float = 0.01, tie: float = 0.05, chunk: int = 100, memory: int | None = None):
         self.d, self.quality, self.delta, self.tie, self.chunk, self.memory = d, quality or StandardDeviationReduction(), delta, tie, chunk, memory
-        self.root: object = _Leaf(model(d), Rows(d, most=memory))
+        self.root: object = _Leaf(model(d), Cells.empty(d) if memory is None else Rows(d, most=memory))
 
     def predict(self, x: np.ndarray) -> float:
         return _descend(self.root, x)[0].model.predict(x)
 
+    def learn(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Predicts and then learns each row. Leaves learn nothing from each other, so each takes its rows at once, up to where it looks or splits."""
+        out = np.empty(len(y))
+        if self.memory is not None:
+            for i, (a, b) in enumerate(zip(x, y)):
+                out[i] = self.predict(a)
+                self.push(a, b)
+            return out
+        left = [(self.root, None, False, np.arange(len(y)))]
+        while left:
+            node, parent, right, rows = left.pop()
+            if not len(rows):
+                continue
+            if isinstance(node, _Split):
+                over = x[rows, node.input] > node.threshold
+                left += [(node.left, node, False, rows[~over]), (node.right, node, True, rows[over])]
+                continue
+            used, split = self._learn_leaf(node, x[rows], y[rows], out, rows)
+            if split:
+                left.append((self._split(node, parent, right), parent, right, rows[used:]))
+        return out
+
+    def _learn_leaf(self, leaf: _Leaf, x: np.ndarray, y: np.ndarray, out: np.ndarray, rows: np.ndarray) -> tuple[int, bool]:
+        """How many of its rows a leaf took, and whether it is to split after these."""
+        at = 0
+        while at < len(y):
+            most = min(len(y) - at, self.chunk - leaf.seen % self.chunk)
+            looks = (leaf.seen + most) % self.chunk == 0
+            stop = self._split_after(leaf, leaf.seen, most - looks)
+            take = slice(at, at + (stop or most))
+            out[rows[take]] = _predict_and_learn(leaf.model, x[take], y[take])
+            leaf.rows.push_all(x[take], y[take])
+            leaf.seen += take.stop - at
+            at = take.stop
+            if stop:
+                return at, True
+            if looks:
+                self._look(leaf)
+                if self._split_after(leaf, leaf.seen - 1, 1):
+                    return at, True
+        return at, False
+
+    def _split_after(self, leaf: _Leaf, seen: int, rows: int) -> int:
+        """After how many of the next rows the bound makes the leaf's best split certain; 0 for none of them."""
+        if len(leaf.best) < 2 or leaf.best[0][0] <= 0 or not rows:
+            return 0
+        ratio = max(0.0, leaf.best[1][0]) / leaf.best[0][0]
+        sums, counts = np.cumsum(np.append(leaf.ratio, np.full(rows, ratio)))[1:], np.arange(leaf.ratios + 1, leaf.ratios + rows + 1)
+        bound = np.sqrt(math.log(1 / self.delta) / (2.0 * np.arange(seen + 1, seen + rows + 1))) if self.delta else np.ones(rows)
+        certain = (sums / counts < 1 - bound) | (bound < self.tie)
+        leaf.ratio, leaf.ratios = float(sums[-1]), int(counts[-1])
+        return int(certain.argmax()) + 1 if certain.any() else 0
+
     def push(self, x: np.ndarray, y: float) -> None:
         leaf, parent, right = _descend(self.root, x)
         leaf.model.push(x, y)
@@ -365,15 +501,15 @@ class HoeffdingTree:
                     self._split(leaf, parent, right)
 
     def _look(self, leaf: _Leaf) -> None:
-        x, y = leaf.rows.x, leaf.rows.y
+        x, *sums = leaf.rows.sums()
         found = []
         for j in range(self.d):
             order = np.argsort(x[:, j], kind="stable")
-            xs, ys = x[order], y[order]
-            q = np.where(np.append(np.diff(xs[:, j]) > 0, False), self.quality.qualities(xs, ys, j), -np.inf)
-            i = int(np.argmax(q))
-            if np.isfinite(q[i]):
-                found.append((float(q[i]), j, float(xs[i, j])))
+            xs, (y, n, q) = x[order], (s[order] for s in sums)
+            worth = np.where(np.append(xs[1:, j] > xs[:-1, j], False), self.quality.qualities(xs, y, j, n, q), -np.inf)
+            i = int(np.argmax(worth))
+            if np.isfinite(worth[i]):
+                found.append((float(worth[i]), j, float(xs[i, j])))
         found = sorted(found, key=lambda f: -f[0])[:2]
         if len(found) == 1:
             found.append((0.0, -1, 0.0))
@@ -381,13 +517,13 @@ class HoeffdingTree:
             leaf.ratio, leaf.ratios = 0.0, 0
         leaf.best = tuple(found)
 
-    def _split(self, leaf: _Leaf, parent: _Split | None, right: bool) -> None:
+    def _split(self, leaf: _Leaf, parent: _Split | None, right: bool) -> _Split:
         _, j, t = leaf.best[0]
         sides = []
-        over = leaf.rows.x[:, j] > t
+        over = leaf.rows.sums()[0][:, j] > t
         for side in (~over, over):
-            x, y = leaf.rows.x[side], leaf.rows.y[side]
-            sides.append(_Leaf(_side_model(leaf.model, x, y), Rows(self.d, x, y, self.memory), len(y)))
+            rows = leaf.rows.where(side)
+            sides.append(_Leaf(_side_model(leaf.model, rows), rows, len(rows)))
         node = _Split(j, t, *sides)
         if parent is None:
             self.root = node
@@ -395,6 +531,7 @@ class HoeffdingTree:
             parent.right = node
         else:
             parent.left = node
+        return node
 
     def leaves(self) -> int:
         count = lambda n: count(n.left) + count(n.right) if isinstance(n, _Split) else 1
@@ -404,8 +541,8 @@ class HoeffdingTree:
         def of(node) -> Expr:
             if isinstance(node, _Split):
                 return StreamTree(names[node.input], node.threshold, of(node.left), of(node.right))
-            errors = [(y - node.model.predict(x)) ** 2 for x, y in zip(node.rows.x, node.rows.y)]
-            return StreamLeaf(node.model.expression(names), sum(errors) / max(1, len(errors) - 1))
+            errors = (n * (y / n - node.model.predict(x)) ** 2 + max(0.0, q - y * y / n) for x, y, n, q in zip(*node.rows.sums()))
+            return StreamLeaf(node.model.expression(names), float(sum(errors)) / max(1, len(node.rows) - 1))
 
         return of(self.root)
 

@@ -118,3 +118,31 @@ def test_a_replay_takes_ties_in_one_order_and_keys_of_many_blocks(spark, monkeyp
         mine = sorted(r[1:] for r in rows if r[0] == k)
         e = (by_rows(make(), np.array([r[1:3] for r in mine]), [r[3] for r in mine]) - [r[3] for r in mine]) ** 2
         assert [runs[0][k, n] for n in (70, 140, 210, 280)] == pytest.approx([e[n - 70 : n].mean() ** 0.5 for n in (70, 140, 210, 280)])
+
+
+@pytest.mark.parametrize("quality", [learners.StandardDeviationReduction(), learners.Mauve(), learners.ExtendedMauve(), learners.TotalMauve(), learners.QuandtAndrews()])
+def test_hoeffding_trees_keep_equal_rows_as_one_and_learn_blocks_as_rows(quality):
+    for x, y in (grid(3000), data(700)):
+        for model in (learners.OnlineLeastSquares, learners.Perceptron):
+            one, blocks = (learners.HoeffdingTree(2, quality, model) for _ in range(2))
+            want = by_rows(one, x, y)
+            got = np.concatenate([blocks.learn(x[i : i + 450], y[i : i + 450]) for i in range(0, len(y), 450)])
+            assert np.allclose(got, want, rtol=0, atol=1e-6) and blocks.leaves() == one.leaves()
+    tree, (x, y) = learners.HoeffdingTree(2, learners.Never()), grid(4000)
+    tree.learn(x, y)
+    at, sums, n, squares = tree.root.rows.sums()
+    assert len(at) == 36 and n.sum() == len(tree.root.rows) == 4000 and sums.sum() == pytest.approx(y.sum()) and squares.sum() == pytest.approx((y**2).sum())
+    for j in range(2):  # counted rows are worth what they are worth one by one
+        order, few = np.argsort(x[:, j], kind="stable"), np.argsort(at[:, j], kind="stable")
+        ends = np.append(np.diff(at[few, j]) > 0, False)
+        got = quality.qualities(at[few], sums[few], j, n[few], squares[few])[ends]
+        want = quality.qualities(x[order], y[order], j)[np.append(np.diff(x[order, j]) > 0, False)]
+        assert np.allclose(got, want, atol=1e-8) if not isinstance(quality, learners.QuandtAndrews) else np.allclose(got, want, rtol=1e-6)
+
+
+def test_least_squares_learn_blocks_as_rows():
+    x, y = data(1500)
+    x[:30, 1] = 3.0  # no single best fit before the 31st row
+    one, blocks = learners.OnlineLeastSquares(2), learners.OnlineLeastSquares(2)
+    want = by_rows(one, x, y)
+    assert np.allclose(np.concatenate([blocks.learn(x[:700], y[:700]), blocks.learn(x[700:], y[700:])]), want, atol=1e-8) and np.allclose(blocks.weights, one.weights)
