@@ -13,6 +13,7 @@ import math
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -40,13 +41,24 @@ class Moments:
         self.s += x
         self.q += x * x
 
+    def push_all(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Means and deviations before the first row and after each."""
+        n = np.maximum(1, np.arange(self.n, self.n + len(x) + 1))[:, None]
+        s, q = np.cumsum(np.vstack([self.s, x]), axis=0), np.cumsum(np.vstack([self.q, x * x]), axis=0)
+        self.n, self.s, self.q = self.n + len(x), s[-1].copy(), q[-1].copy()
+        return s / n, self._sd(s / n, q / n)
+
     @property
     def mean(self) -> np.ndarray:
         return self.s / max(1, self.n)
 
     @property
     def sd(self) -> np.ndarray:
-        v = self.q / max(1, self.n) - self.mean**2
+        return self._sd(self.mean, self.q / max(1, self.n))
+
+    @staticmethod
+    def _sd(mean: np.ndarray, square: np.ndarray) -> np.ndarray:
+        v = square - mean**2
         return np.where(v > np.finfo(float).eps, np.sqrt(np.maximum(v, 0)), 0.0)
 
 
@@ -71,6 +83,21 @@ class Perceptron:
             z = self._scaled(x)
             self.w = self.w + self.rate / (1 + self.moments.n * self.decay) * (y - self.w @ z) * z
 
+    def learn(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Predicts and then learns each row; the inputs are scaled for the whole block, the weights go row by row."""
+        first = self.moments.n + 1
+        mean, sd = self.moments.push_all(x)
+        before, after = (np.column_stack([np.ones(len(y)), np.divide(x - m, 3 * v, out=np.zeros(x.shape), where=v > 0)]).tolist() for m, v in ((mean[:-1], sd[:-1]), (mean[1:], sd[1:])))
+        rates = (self.rate / (1 + np.arange(first, first + len(y)) * self.decay)).tolist()
+        w, out, still = self.w.tolist(), [], self.initial - first  # rows that only move the moments
+        for i, (p, z, target, rate) in enumerate(zip(before, after, y.tolist(), rates)):
+            out.append(sum(map(mul, w, p)))
+            if i >= still:
+                step = rate * (target - sum(map(mul, w, z)))
+                w = [a + step * b for a, b in zip(w, z)]
+        self.w = np.array(w)
+        return np.array(out)
+
     def clone(self) -> Perceptron:
         return pickle.loads(pickle.dumps(self))
 

@@ -146,3 +146,12 @@ def test_least_squares_learn_blocks_as_rows():
     one, blocks = learners.OnlineLeastSquares(2), learners.OnlineLeastSquares(2)
     want = by_rows(one, x, y)
     assert np.allclose(np.concatenate([blocks.learn(x[:700], y[:700]), blocks.learn(x[700:], y[700:])]), want, atol=1e-8) and np.allclose(blocks.weights, one.weights)
+
+
+def test_perceptrons_learn_blocks_as_rows():
+    x, y = grid(900)
+    x[:, 1] = np.where(np.arange(900) < 40, 2.0, x[:, 1])
+    one, blocks = learners.Perceptron(2, seed=5), learners.Perceptron(2, seed=5)
+    want = by_rows(one, x, y)
+    assert np.allclose(np.concatenate([blocks.learn(x[:7], y[:7]), blocks.learn(x[7:500], y[7:500]), blocks.learn(x[500:], y[500:])]), want, rtol=0, atol=1e-9)
+    assert np.allclose(blocks.w, one.w) and np.allclose(blocks.predict(x[0]), one.predict(x[0]))
