@@ -155,3 +155,24 @@ def test_perceptrons_learn_blocks_as_rows():
     want = by_rows(one, x, y)
     assert np.allclose(np.concatenate([blocks.learn(x[:7], y[:7]), blocks.learn(x[7:500], y[7:500]), blocks.learn(x[500:], y[500:])]), want, rtol=0, atol=1e-9)
     assert np.allclose(blocks.w, one.w) and np.allclose(blocks.predict(x[0]), one.predict(x[0]))
+
+
+def test_a_replayed_mauve_tree_holds_cells_and_not_rows(spark, tmp_path):
+    x, y = grid(6000)
+    df = spark.createDataFrame([(1, i, float(a[0]), float(a[1]), float(b)) for i, (a, b) in enumerate(zip(x, y))], "k int, seq long, a double, b double, y double")
+    held = str(tmp_path / "held")
+
+    class Weighed(learners.HoeffdingTree):
+        def learn(self, x, y):
+            out = super().learn(x, y)
+            cells = lambda n: cells(n.left) + cells(n.right) if hasattr(n, "left") else len(n.rows.sums()[0])
+            with open(held, "a") as f:
+                f.write(f"{cells(self.root)} {self.leaves()}\n")
+            return out
+
+    make = lambda: Weighed(2, learners.ExtendedMauve(), learners.Perceptron)
+    got = {r.rows: r.rmse for r in learners.replay(df, make, ["a", "b"], "y", "seq", "k", 1000).collect()}
+    e = (by_rows(learners.HoeffdingTree(2, learners.ExtendedMauve(), learners.Perceptron), x, y) - y) ** 2
+    assert got == pytest.approx({n: e[n - 1000 : n].mean() ** 0.5 for n in range(1000, 6001, 1000)})
+    cells, leaves = map(int, open(held).read().split()[-2:])
+    assert cells == 36 and leaves > 1  # however many rows there are
