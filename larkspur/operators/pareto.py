@@ -21,6 +21,8 @@ Objectives = Sequence[tuple[str, int]]
 FAR = 1.7976931348623157e308
 #: Points that one task ranks, in two dimensions.
 RANGE_POINTS = 1_000_000
+#: Distinct points of a strip in which dominated points are counted and nearest ones found.
+STRIP_POINTS = 20_000
 
 
 def _better(objectives: Objectives, left: str = "", right: str = "") -> tuple[Column, Column]:
@@ -298,7 +300,144 @@ def by_rank_and_crowding() -> list[Column]:
 
 
 def spea2(points: DataFrame, objectives: Objectives, row: str) -> DataFrame:
-    """strength (points dominated), raw (strengths of those that dominate it), and fitness raw + 1 / (2 + distance to the nearest), of a population: every pair is looked at."""
+    """strength (points dominated), raw (strengths of those that dominate it), and fitness raw + 1 / (2 + distance to the nearest), of a population.
+
+    In two objectives the sums are counted and the nearest found over strips, and no pairs are made.
+    With more objectives, or with objectives that no double holds (infinite, NaN, whole numbers from 2^53
+    on), or ids that repeat or are null, every pair is looked at.
+    """
+    if len(objectives) != 2:
+        return _spea2_by_pairs(points, objectives, row)
+    (a, sa), (b, sb) = objectives
+    flat = points.select(F.col(row).alias("_row"), (F.col(a) * sa).cast("double").alias("x"), (F.col(b) * sb).cast("double").alias("y"))
+    odd = [F.coalesce(F.max(F.isnan(v) | (F.abs(v) >= (2.0**53 if dict(points.dtypes)[n] == "bigint" or "decimal" in dict(points.dtypes)[n] else float("inf")))), F.lit(False)) for n, v in ((a, F.col("x")), (b, F.col("y")))]
+    seen = flat.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_row").alias("ids"), *(o.alias(f"odd{i}") for i, o in enumerate(odd))).first()
+    if seen.odd0 or seen.odd1 or seen.n != seen.ids:
+        return _spea2_by_pairs(points, objectives, row)
+    places = kept(flat.where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")), "places")
+    n = places.count()
+    up = _sums_below(places.select("x", "y", F.col("c").alias("w")), n).withColumnRenamed("s", "below")
+    strong = kept(places.join(up, ["x", "y"]).select("x", "y", "c", (F.col("below") - F.col("c")).alias("strength")), "strengths")
+    down = _sums_below(strong.select((-F.col("x")).alias("x"), (-F.col("y")).alias("y"), (F.col("c") * F.col("strength")).alias("w")), n)
+    down = down.select((-F.col("x")).alias("x"), (-F.col("y")).alias("y"), F.col("s").alias("above"))
+    near = F.when(F.col("c") > 1, F.lit(0.0)).otherwise(F.col("d"))
+    found = strong.join(down, ["x", "y"]).join(_nearest(places, n), ["x", "y"], "left").select("x", "y", "strength", (F.col("above") - F.col("c") * F.col("strength")).alias("raw"), near.alias("near"))
+    out = flat.join(found, ["x", "y"], "left").select(F.col("_row").alias(row), F.coalesce("strength", F.lit(0)).alias("strength"), F.coalesce("raw", F.lit(0)).alias("raw"), "near")
+    return out.select(row, "strength", "raw", (F.col("raw") + F.coalesce(1 / (2 + F.col("near")), F.lit(0.5))).alias("fitness"))
+
+
+def _strips(points: DataFrame, name: str, n: int) -> Column:
+    """Which of at most 64 ranges of a column, of about STRIP_POINTS or more, a row is in."""
+    k = min(64, -(-n // STRIP_POINTS))
+    cuts = sorted(set(points.approxQuantile(name, [i / k for i in range(1, k)], 0.2 / k))) if k > 1 else []
+    return sum(((F.col(name) > x).cast("int") for x in cuts), F.lit(0))
+
+
+def _sums_before(rank: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each place the sum of w over those places before it whose rank (a permutation) is less: by merges, level by level."""
+    n, out = len(w), np.zeros(len(w), np.int64)
+    at, size = np.arange(n), 1
+    while size < n:
+        order = np.argsort(at // (2 * size) * n + rank, kind="stable")
+        left = at[order] % (2 * size) < size
+        sums = np.append(0, np.cumsum(np.where(left, w[order], 0)))
+        first = at[order] // (2 * size) * (2 * size)  # a pair of runs stands where it stood
+        gain = sums[:-1] - sums[first]
+        out[order[~left]] += gain[~left]
+        size *= 2
+    return out
+
+
+def _ranked(*keys: np.ndarray) -> np.ndarray:
+    """The rank of each row by keys, the last one first."""
+    out = np.empty(len(keys[0]), np.int64)
+    out[np.lexsort(keys)] = np.arange(len(out))
+    return out
+
+
+def _sums_below(points: DataFrame, n: int) -> DataFrame:
+    """x, y, s: of distinct points (x, y, w) the sum of w over those nowhere greater, with themselves.
+
+    Those in the same range of x are counted there, those in lower ranges of x but the same one of y there, and the others by range.
+    """
+    import pandas as pd
+
+    dealt = kept(points.select("x", "y", "w", _strips(points, "x", n).alias("i"), _strips(points, "y", n).alias("j")), "dealt")
+    cells = dealt.groupBy("i", "j").agg(F.sum("w").alias("w")).collect()  # at most 64 x 64
+    grid = np.zeros((65, 65), np.int64)
+    for r in cells:
+        grid[r.i + 1, r.j + 1] = r.w
+    grid = grid.cumsum(axis=0).cumsum(axis=1)
+
+    def beside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"], ignore_index=True)
+        y, w = pdf["y"].to_numpy(), pdf["w"].to_numpy()
+        inside = _sums_before(_ranked(np.arange(len(y)), y), w) + w
+        return pdf[["x", "y"]].assign(s=inside + grid[pdf["i"].to_numpy(), pdf["j"].to_numpy()])
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "i"], ignore_index=True)
+        i, w = pdf["i"].to_numpy(), pdf["w"].to_numpy()
+        return pdf[["x", "y"]].assign(s=_sums_before(_ranked(-np.arange(len(i)), i), w))
+
+    schema = "x double, y double, s long"
+    return dealt.groupBy("i").applyInPandas(beside, schema).unionByName(dealt.groupBy("j").applyInPandas(across, schema)).groupBy("x", "y").agg(F.sum("s").alias("s"))
+
+
+def _nearest_of(queries: np.ndarray, points: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The least distance of each query to a point other than itself, no more than best: outward along the axis of more values, until the gap there is no less."""
+    if not len(queries) or not len(points):
+        return best
+    axis = int(len(np.unique(points[:, 1])) > len(np.unique(points[:, 0])))
+    points, best = points[np.argsort(points[:, axis], kind="stable")], best.copy()
+    starts = np.searchsorted(points[:, axis], queries[:, axis])
+    for step in (1, -1):
+        at = starts if step > 0 else starts - 1
+        open_ = np.arange(len(queries))
+        while True:
+            inside = (at >= 0) & (at < len(points))
+            open_, at = open_[inside], at[inside]
+            gap = np.abs(points[at, axis] - queries[open_, axis])
+            closer = gap < best[open_]
+            open_, at = open_[closer], at[closer]
+            if not len(open_):
+                break
+            q, p = queries[open_], points[at]
+            d = np.sqrt((p[:, 0] - q[:, 0]) ** 2 + (p[:, 1] - q[:, 1]) ** 2)
+            best[open_] = np.minimum(best[open_], np.where((p == q).all(axis=1), np.inf, d))
+            at = at + step
+    return best
+
+
+def _nearest(points: DataFrame, n: int) -> DataFrame:
+    """x, y, d: the distance from each of distinct points to the nearest other; none if there is no other. First within ranges of x, then in the other ranges that are less far."""
+    import pandas as pd
+
+    dealt = kept(points.select("x", "y", _strips(points, "x", n).alias("i")), "dealt")
+    ends = [(r.i, r.lo, r.hi) for r in dealt.groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()]  # at most 64
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = pdf[["x", "y"]].to_numpy()
+        d = _nearest_of(xy, xy, np.full(len(xy), np.inf))
+        own = int(pdf["i"].iloc[0])
+        out = [pdf[["x", "y"]].assign(d=d, i=-1)]
+        for i, lo, hi in ends:
+            far = np.maximum(lo - xy[:, 0], xy[:, 0] - hi)
+            if i != own:
+                out.append(pdf[["x", "y"]].assign(d=d, i=i)[far < d])
+        return pd.concat(out, ignore_index=True)
+
+    def elsewhere(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        best = _nearest_of(asked[["x", "y"]].to_numpy(), there[["x", "y"]].to_numpy(), asked["d"].to_numpy())
+        return asked[["x", "y"]].assign(d=best)
+
+    first = kept(dealt.groupBy("i").applyInPandas(inside, "x double, y double, d double, i int"), "near")
+    second = first.where("i >= 0").groupBy("i").cogroup(dealt.groupBy("i")).applyInPandas(elsewhere, "x double, y double, d double")
+    both = first.where("i < 0").select("x", "y", "d").unionByName(second)
+    return both.groupBy("x", "y").agg(F.min("d").alias("d")).select("x", "y", F.when(F.col("d") < float("inf"), F.col("d")).alias("d"))
+
+
+def _spea2_by_pairs(points: DataFrame, objectives: Objectives, row: str) -> DataFrame:
     names = [n for n, _ in objectives]
     a = points.select(F.col(row).alias("a_row"), *(F.col(n).alias(f"a_{n}") for n in names))
     b = points.select(F.col(row).alias("b_row"), *(F.col(n).alias(f"b_{n}") for n in names))

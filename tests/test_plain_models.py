@@ -441,3 +441,28 @@ def test_volumes_and_spreads_of_any_number_of_objectives(spark):
     near = [min(math.dist(a, b) for b in front if b != a) for a in front]
     got = pareto.spread(spark.createDataFrame(front, "a double, b double, c double"), [("a", 1), ("b", 1), ("c", 1)]).first()[0]
     assert got == pytest.approx(sum(abs(x - sum(near) / 4) for x in near) / sum(near))
+
+
+def test_p09_spea2_over_strips_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pareto, "STRIP_POINTS", 40)
+    rng = random.Random(8)
+    few = [(i, rng.randint(0, 12), float(rng.randint(0, 9))) for i in range(150)]
+    far = [(i, rng.randint(-900, 900), rng.random() * 10 ** rng.randint(0, 3)) for i in range(300)]
+    holes = [(0, None, 1.0), (1, 3, None), (2, 3, 1.0), (3, 5, 2.0), (4, 5, 2.0)]
+    for pts in (few, far, holes, [(0, 1, 1.0)], [(i, 7, float(i % 50)) for i in range(90)]):
+        df = spark.createDataFrame(pts, "k int, a int, b double")
+        got = {r.k: (r.strength, r.raw, r.fitness) for r in pareto.spea2(df, [("a", 1), ("b", -1)], "k").collect()}
+        full = [p for p in pts if None not in p]
+        beats = lambda p, q: p[1] >= q[1] and p[2] <= q[2] and p[1:] != q[1:]
+        strength = {p[0]: sum(beats(p, q) for q in full) for p in full}
+        assert len(got) == len(pts)
+        for p in pts:
+            raw = sum(strength[q[0]] for q in full if beats(q, p)) if p in full else 0
+            near = min((math.dist(p[1:], q[1:]) for q in full if q[0] != p[0]), default=None) if p in full else None
+            assert got[p[0]] == (strength.get(p[0], 0), raw, pytest.approx(raw + (0.5 if near is None else 1 / (2 + near))))
+
+
+def test_p09_spea2_makes_no_pairs(spark):
+    df = spark.range(3000).selectExpr("id as k", "(id * 7919) % 1000 as a", "cast((id * 104729) % 997 as double) as b")
+    plan = pareto.spea2(df, [("a", 1), ("b", 1)], "k")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
