@@ -29,10 +29,12 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm import bloom
 from larkspur.llm.arrowmap import column, map_arrow
 from larkspur.llm.shared import fresh, keep
 from larkspur.llm.textvec import LINE, buffers, pieces, spans
@@ -270,15 +272,28 @@ def strip(raw: str, gone: set[int]) -> tuple[str, int]:
     return "\n".join(out), k
 
 
+def _let_through(df: DataFrame, words: np.ndarray, ids: Column) -> Column:
+    """Whether a Bloom filter has the ids."""
+    sent = df.sparkSession.sparkContext.broadcast(words)
+
+    def has(x: pd.Series) -> pd.Series:
+        return pd.Series(bloom.has(sent.value, x.to_numpy()))
+
+    return F.pandas_udf(has, "boolean")(ids)
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), least: int = LEAST_CHARS) -> DataFrame:
     """Documents with their text after deletion, n_lines and n_removed; an untouched text is unchanged, null included."""
     new = ("n_lines", "n_removed")
     names = [c for c in docs.columns if c in {doc_id, text, *carry} and c not in new]
     own = [f"`{c}` {t}" for c, t in docs.dtypes if c in names]
     i, x, cut = fresh(docs.columns, "i", "x", "gone")
-    gone = removed_lines(docs, doc_id, text, least).select(F.col("i").alias(i), F.col("x").alias(x), F.col("gone").alias(cut))
+    gone = keep(removed_lines(docs, doc_id, text, least).select(F.col("i").alias(i), F.col("x").alias(x), F.col("gone").alias(cut)), "gone")
     rows = docs.select(*(F.col(f"`{c}`") for c in names))
-    joined = rows.join(gone, (F.col(f"`{doc_id}`") == F.col(i)) & (F.xxhash64(text) == F.col(x)), "left").drop(i, x)
+    # only texts that may lose lines meet their cuts in a shuffle; a filter of bounded size sends the others past it
+    loses = _let_through(rows, bloom.of_ids(gone, x), F.xxhash64(text))
+    joined = rows.where(loses).join(gone, (F.col(f"`{doc_id}`") == F.col(i)) & (F.xxhash64(text) == F.col(x)), "left").drop(i, x)
+    joined = joined.unionByName(rows.where(~loses).withColumn(cut, F.lit(None).cast("array<int>")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, cuts = column(batch, text).to_pylist(), column(batch, cut).to_pylist()

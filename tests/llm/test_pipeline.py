@@ -112,3 +112,18 @@ def test_pipeline_is_the_plain_one(spark, corpus):
     want = sorted((str(i), len(ids), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in left for ids in [plain.encode_ordinary(t or "")])
     got = corpus_pipeline.run(spark, corpus).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).alias("i"), "n_tokens", "decoded_sha256").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_texts_that_lose_no_line_go_past_the_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from larkspur.llm import bloom, linedup
+
+    shared = "a line that is long enough to be deleted from the later one"
+    rows = [(i, f"text number {i} has one line of its own that nobody shares") for i in range(50)] + [(50, shared), (51, f"{shared}\nmore")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = linedup.removed_lines(df)
+    loses = linedup._let_through(df, bloom.of_ids(gone, "x"), F.xxhash64("text"))
+    assert [r.doc_id for r in df.where(loses).collect()] == [51]
+    got = {r.doc_id: (r.text, r.n_removed) for r in linedup.dedup_lines(df).collect()}
+    assert got == {**{i: (t, 0) for i, t in rows[:51]}, 51: ("more", 1)}
