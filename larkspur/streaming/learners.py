@@ -18,6 +18,7 @@ from operator import mul
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -721,6 +722,8 @@ class Ensemble:
 BLOCK_ROWS = 1 << 16
 #: Tasks of a replay, at least: with few keys and few tasks two long streams would often share one.
 LEAST_TASKS = 64
+#: Rows of a packed block at most, and compressed bytes of blocks that go to Python at once.
+PACKED_ROWS, BATCH_BYTES = 1 << 12, 4 << 20
 
 
 def _predict_and_learn(learner, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -755,12 +758,10 @@ def _numbers(df: DataFrame, inputs: Sequence[str], target: str, seq: str, key: s
 def replay(df: DataFrame, make: Callable[[], object], inputs: Sequence[str], target: str, seq: str, key: str, every: int = 100) -> DataFrame:
     """key, rows, rmse, rrse: the learning curve of each key's rows in order of seq, then of inputs and target.
 
-    Rows of a key are learned in one task, since their order is the learner's meaning; they pass through
-    it sorted, in blocks, so that it holds the learner and no more.
+    Rows of a key are learned in one task, since their order is the learner's meaning. They are sorted before, in ranges
+    over all tasks, and come as compressed blocks of bare numbers, so that this task sorts blocks and holds the learner and no more.
     """
     d = len(inputs)
-    numbers = _numbers(df, inputs, target, seq, key)
-    values = [f"_{i}" for i in range(d + 1)]
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -779,33 +780,53 @@ def replay(df: DataFrame, make: Callable[[], object], inputs: Sequence[str], tar
 
         kind_ = None
         for batch in batches:
-            keys, kind_ = batch.column(0), batch.column(0).type
-            rows = np.column_stack([batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(1, d + 2)])
-            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
-            for start, end in zip(cuts, cuts[1:]):
-                if start == end:
-                    continue
-                here = keys[start].as_py()
+            kind_ = batch.column(0).type
+            for here, n, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if learner is None or not (here == now or (here != here and now != now)):
                     settle()
                     learner, now, size = make(), here, 0
-                held.append(rows[start:end])
-                size += end - start
+                held.append(np.frombuffer(pa.decompress(block.as_buffer(), n * (d + 1) * 8, "zstd")).reshape(d + 1, n).T)
+                size += n
                 if size >= BLOCK_ROWS:
                     settle()
                     size = 0
-            if len(points) >= 10_000:
-                yield told(kind_)
+                if len(points) >= 10_000:
+                    yield told(kind_)
         settle()
         if points:
             yield told(kind_)
 
     tasks = max(LEAST_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = numbers.repartition(tasks, key).sortWithinPartitions(key, seq, *values).select(key, *values)
+    blocks = _blocks(_numbers(df, inputs, target, seq, key), seq, key, kind, tasks)
+    ordered = blocks.repartition(tasks, key).sortWithinPartitions(key, "_part", "_block").select(key, "_n", "_rows")
     return ordered.mapInArrow(run, f"`{key}` {kind}, rows long, rmse double, rrse double")
 
 
+def _blocks(numbers: DataFrame, seq: str, key: str, kind: str, tasks: int) -> DataFrame:
+    """key, _part, _block, _n, _rows: the values of each key's rows in order of seq, then of themselves: n doubles of each column, compressed; blocks in order of _part and _block."""
+    values = [c for c in numbers.columns if c not in (key, seq)]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            rows = np.column_stack([batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns)])
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, np.arange(0, len(codes), PACKED_ROWS), [len(codes)]])).tolist()
+            n = len(cuts) - 1
+            packed = [pa.compress(rows[a:b].T.tobytes(), "zstd", asbytes=True) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(cuts[:-1])), pa.array([part] * n, pa.int32()), pa.array(range(done, done + n), pa.int64()), pa.array(np.diff(cuts), pa.int32()), pa.array(packed, pa.binary())], names=[key, "_part", "_block", "_n", "_rows"]
+            )
+            done += n
+
+    numbers.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    ranges = numbers.repartitionByRange(tasks, key, seq, *values).sortWithinPartitions(key, seq, *values)
+    return ranges.select(key, *values).mapInArrow(pack, f"`{key}` {kind}, _part int, _block long, _n int, _rows binary")
+
+
 def stream(df: DataFrame, make: Callable[[], object], inputs: Sequence[str], target: str, seq: str, key: str, every: int = 100) -> DataFrame:
     """As replay(), on a stream: the state of a key is its learner, and each micro-batch is learned in order of seq, then of inputs and target."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout

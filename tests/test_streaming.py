@@ -1,6 +1,7 @@
 """Incremental learners: a stream gives what a replay of its rows gives."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larkspur.streaming import learners
@@ -176,3 +177,19 @@ def test_a_replayed_mauve_tree_holds_cells_and_not_rows(spark, tmp_path):
     assert got == pytest.approx({n: e[n - 1000 : n].mean() ** 0.5 for n in range(1000, 6001, 1000)})
     cells, leaves = map(int, open(held).read().split()[-2:])
     assert cells == 36 and leaves > 1  # however many rows there are
+
+
+def test_a_replay_sorts_rows_in_ranges_and_blocks_where_keys_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(learners, "PACKED_ROWS", 50)
+    x, y = grid(5000)
+    rows = [(None if i % 3 == 2 else f"k{i % 3}", None if i % 500 == 7 else 5000 - i // 4, float(a[0]), float(a[1]), None if i % 90 == 5 else float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "k string, seq long, a double, b double, y double").repartition(5)
+    blocks = learners._blocks(learners._numbers(df, ["a", "b"], "y", "seq", "k"), "seq", "k", "string", 6).collect()
+    first = lambda v: (v is not None, v)  # noqa: E731  nulls come first
+    assert max(b._n for b in blocks) == 50 and len({b._part for b in blocks}) > 3
+    for k in ("k0", "k1", None):
+        got = np.concatenate([np.frombuffer(pa.decompress(bytes(b._rows), b._n * 24, "zstd")).reshape(3, -1).T for b in sorted(blocks, key=lambda b: (b._part, b._block)) if b.k == k])
+        want = sorted((r[1:] for r in rows if r[0] == k), key=lambda r: tuple(map(first, r)))
+        assert np.array_equal(got, np.array([r[1:] for r in want], float), equal_nan=True)
+    plan = learners.replay(df, lambda: learners.OnlineLeastSquares(2), ["a", "b"], "y", "seq", "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("hashpartitioning(k") < plan.index("MapInArrow", plan.index("hashpartitioning(k")) < plan.index("rangepartitioning(k")  # the sort by rows lies below the blocks
