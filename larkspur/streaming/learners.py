@@ -112,9 +112,19 @@ class OnlineLeastSquares:
     def __init__(self, d: int):
         self.d = d
         self.sums = LeastSquares(np.zeros((d + 1, d + 1)), np.zeros(d + 1), 0.0, 0.0)
+        self.only: np.ndarray | None = None  # the inputs of all rows, while they are equal
         self._weights: np.ndarray | None = None
 
+    def _alone(self, x: np.ndarray) -> bool:
+        """Whether all inputs with these rows more are equal."""
+        if not self.sums.n and len(x):
+            self.only = np.array(x[0], float)
+        if self.only is not None and (x != self.only).any():
+            self.only = None
+        return self.only is not None
+
     def push(self, x: np.ndarray, y: float) -> None:
+        self._alone(np.asarray(x)[None])
         z = np.concatenate([[1.0], x])
         s = self.sums
         s.xtx += np.outer(z, z)
@@ -125,6 +135,7 @@ class OnlineLeastSquares:
 
     def push_all(self, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, q: np.ndarray | None = None) -> None:
         n, q = _counted(y, n, q)
+        self._alone(x)
         z = np.column_stack([np.ones(len(y)), x])
         s = self.sums
         s.xtx += z.T @ (z * n[:, None])
@@ -145,7 +156,12 @@ class OnlineLeastSquares:
         return np.concatenate([[xty[0] / max(1.0, n)], np.zeros(self.d)])
 
     def learn(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Predicts and then learns each row. Where no fit of a stretch is near singular, all are solved at once: the least eigenvalue only grows with rows."""
+        """Predicts and then learns each row. Where no fit of a stretch is near singular, all are solved at once: the least eigenvalue only grows with rows. Of equal inputs all fits give the mean."""
+        if self._alone(x):
+            s = self.sums
+            out = np.cumsum(np.append(s.xty[0], y))[:-1] / np.maximum(1, s.n + np.arange(len(y)))
+            self.push_all(x, y)
+            return out
         out, most = np.empty(len(y)), max(1, min(512, (1 << 20) // (self.d + 1) ** 2))
         s = self.sums
         for i in range(0, len(y), most):

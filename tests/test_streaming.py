@@ -193,3 +193,15 @@ def test_a_replay_sorts_rows_in_ranges_and_blocks_where_keys_are_learned(spark,
         assert np.array_equal(got, np.array([r[1:] for r in want], float), equal_nan=True)
     plan = learners.replay(df, lambda: learners.OnlineLeastSquares(2), ["a", "b"], "y", "seq", "k")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("hashpartitioning(k") < plan.index("MapInArrow", plan.index("hashpartitioning(k")) < plan.index("rangepartitioning(k")  # the sort by rows lies below the blocks
+
+
+def test_least_squares_of_equal_inputs_fit_no_row(monkeypatch):
+    x, y = np.tile([[3.0, 7.000000000000001]], (400, 1)), data(400)[1]
+    one, blocks = learners.OnlineLeastSquares(2), learners.OnlineLeastSquares(2)
+    want = by_rows(one, x, y)
+    with monkeypatch.context() as m:
+        m.setattr(np.linalg, "lstsq", None)
+        got = np.concatenate([blocks.learn(x[:150], y[:150]), blocks.learn(x[150:], y[150:])])
+    assert np.allclose(got, want, rtol=0, atol=1e-9) and np.allclose(blocks.weights, one.weights)
+    x, y = data(300)
+    assert np.allclose(blocks.learn(x, y), by_rows(one, x, y), atol=1e-8)  # and others after them
