@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, decontaminate, linedup, ngramjoin, quality
+from larkspur.llm import bloom, bpe, decontaminate, linedup, ngramjoin, quality
 from larkspur.llm.shared import keep
 
 
@@ -47,7 +47,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group of near duplicates."""
     groups = keep(ngramjoin.near_duplicates(docs.select("doc_id", "text")), "groups")
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return bloom.without(docs, "doc_id", groups, F.col("component_id") != F.col("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,15 +7,19 @@ work is lost and no row.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.shared import keep
 from larkspur.llm.textvec import mix
 
 _U = np.uint64
 #: Least and greatest number of bits of a filter: 128 KB and 64 MB.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 HASHES = 3
+#: Ids at most that are looked up by broadcast.
+MOST_SENT = 1 << 20
 
 
 def bits_for(entries: int, each: int = 16) -> int:
@@ -64,3 +68,27 @@ def only(df: DataFrame, filter_words: np.ndarray, column: str) -> DataFrame:
             yield b.filter(pa.array(has(sent.value, ids)))
 
     return df.mapInArrow(run, df.schema)
+
+
+def let_through(df: DataFrame, words: np.ndarray, ids: Column) -> Column:
+    """Whether a filter has the ids, as a column of df."""
+    sent = df.sparkSession.sparkContext.broadcast(words)
+
+    def found(x: pd.Series) -> pd.Series:
+        return pd.Series(has(sent.value, x.to_numpy()))
+
+    return F.pandas_udf(found, "boolean")(ids)
+
+
+def without(df: DataFrame, column: str, ids: DataFrame, goes: Column) -> DataFrame:
+    """The rows of df but those whose id in column is one of the ids that go; ids has the column with all ids of df, each of which goes or stays.
+
+    A filter of the ids that go tells most that stay; the ids that it lets through without need are
+    looked up. So no row of df is shuffled, unless these are more than MOST_SENT.
+    """
+    hashed = ids.where(F.col(column).isNotNull()).select(column, F.xxhash64(column).alias("_hash"), goes.alias("_goes"))
+    words = of_ids(hashed.where("_goes"), "_hash")
+    stay = keep(hashed.where(~F.col("_goes") & let_through(hashed, words, F.col("_hash"))).select(F.col(column).alias("_stays")).distinct(), "stay")
+    table = F.broadcast(stay) if stay.count() <= MOST_SENT else stay
+    may = let_through(df, words, F.xxhash64(column))
+    return df.where(F.col(column).isNull() | ~may).unionByName(df.where(may).join(table, F.col(column) == F.col("_stays"), "left_semi"))

@@ -29,9 +29,8 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import bloom
@@ -272,14 +271,7 @@ def strip(raw: str, gone: set[int]) -> tuple[str, int]:
     return "\n".join(out), k
 
 
-def _let_through(df: DataFrame, words: np.ndarray, ids: Column) -> Column:
-    """Whether a Bloom filter has the ids."""
-    sent = df.sparkSession.sparkContext.broadcast(words)
-
-    def has(x: pd.Series) -> pd.Series:
-        return pd.Series(bloom.has(sent.value, x.to_numpy()))
-
-    return F.pandas_udf(has, "boolean")(ids)
+_let_through = bloom.let_through
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), least: int = LEAST_CHARS) -> DataFrame:

@@ -127,3 +127,26 @@ def test_texts_that_lose_no_line_go_past_the_shuffle(spark):
     assert [r.doc_id for r in df.where(loses).collect()] == [51]
     got = {r.doc_id: (r.text, r.n_removed) for r in linedup.dedup_lines(df).collect()}
     assert got == {**{i: (t, 0) for i, t in rows[:51]}, 51: ("more", 1)}
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_near_dedup_shuffles_no_text(spark, corpus, monkeypatch, full):
+    import numpy as np
+
+    from larkspur.llm import bloom
+
+    rows = [(None, BASE), *((f"d{i}", text(60)) for i in range(40)), *((f"d{i}", BASE) for i in (50, 51, 52)), ("d3", "a row more"), ("d51", text(60))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    groups = keep(corpus_pipeline.ngramjoin.near_duplicates(docs), "groups")
+    goes = {r.doc_id for r in groups.where("component_id <> doc_id").collect()}
+    if full:  # a filter that lets all through, and more than may be sent
+        monkeypatch.setattr(bloom, "of_ids", lambda *a: np.full(16, -1, np.int64).view(np.uint64))
+        monkeypatch.setattr(bloom, "MOST_SENT", 3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = bloom.without(docs, "doc_id", groups, groups.component_id != groups.doc_id) if full else corpus_pipeline.near_dedup(spark, docs, corpus)
+        assert full or "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, out.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id not in goes) and goes
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
