@@ -738,6 +738,8 @@ class Ensemble:
 BLOCK_ROWS = 1 << 16
 #: Tasks of a replay, at least: with few keys and few tasks two long streams would often share one.
 LEAST_TASKS = 64
+#: Rows of a range, about, that a task sorts: there are more ranges than tasks otherwise where a table has more rows, so that what a task holds does not grow with it.
+RANGE_ROWS = 1 << 19
 #: Rows of a packed block at most, and compressed bytes of blocks that go to Python at once.
 PACKED_ROWS, BATCH_BYTES = 1 << 12, 4 << 20
 
@@ -776,6 +778,7 @@ def replay(df: DataFrame, make: Callable[[], object], inputs: Sequence[str], tar
 
     Rows of a key are learned in one task, since their order is the learner's meaning. They are sorted before, in ranges
     over all tasks, and come as compressed blocks of bare numbers, so that this task sorts blocks and holds the learner and no more.
+    Rows are counted first: there is a range for every RANGE_ROWS of them.
     """
     d = len(inputs)
     kind = dict(df.dtypes)[key]
@@ -813,12 +816,13 @@ def replay(df: DataFrame, make: Callable[[], object], inputs: Sequence[str], tar
             yield told(kind_)
 
     tasks = max(LEAST_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = _blocks(_numbers(df, inputs, target, seq, key), seq, key, kind, tasks)
+    numbers = _numbers(df, inputs, target, seq, key)
+    blocks = _blocks(numbers, seq, key, kind, max(tasks, -(-numbers.count() // RANGE_ROWS)))
     ordered = blocks.repartition(tasks, key).sortWithinPartitions(key, "_part", "_block").select(key, "_n", "_rows")
     return ordered.mapInArrow(run, f"`{key}` {kind}, rows long, rmse double, rrse double")
 
 
-def _blocks(numbers: DataFrame, seq: str, key: str, kind: str, tasks: int) -> DataFrame:
+def _blocks(numbers: DataFrame, seq: str, key: str, kind: str, n_ranges: int) -> DataFrame:
     """key, _part, _block, _n, _rows: the values of each key's rows in order of seq, then of themselves: n doubles of each column, compressed; blocks in order of _part and _block."""
     values = [c for c in numbers.columns if c not in (key, seq)]
 
@@ -839,7 +843,7 @@ def _blocks(numbers: DataFrame, seq: str, key: str, kind: str, tasks: int) -> Da
             done += n
 
     numbers.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    ranges = numbers.repartitionByRange(tasks, key, seq, *values).sortWithinPartitions(key, seq, *values)
+    ranges = numbers.repartitionByRange(n_ranges, key, seq, *values).sortWithinPartitions(key, seq, *values)
     return ranges.select(key, *values).mapInArrow(pack, f"`{key}` {kind}, _part int, _block long, _n int, _rows binary")
 
 

@@ -1,5 +1,7 @@
 """Incremental learners: a stream gives what a replay of its rows gives."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -195,6 +197,19 @@ def test_a_replay_sorts_rows_in_ranges_and_blocks_where_keys_are_learned(spark,
     assert plan.index("hashpartitioning(k") < plan.index("MapInArrow", plan.index("hashpartitioning(k")) < plan.index("rangepartitioning(k")  # the sort by rows lies below the blocks
 
 
+def test_a_replay_of_more_rows_sorts_more_ranges(spark, monkeypatch):
+    monkeypatch.setattr(learners, "LEAST_TASKS", 2)
+    x, y = grid(3000)
+    df = spark.createDataFrame([(i % 2, i, float(a[0]), float(a[1]), float(b)) for i, (a, b) in enumerate(zip(x, y))], "k int, seq long, a double, b double, y double")
+    curves = []
+    for most, ranges in ((3000, 4), (299, 11)):  # 4 shuffle partitions, or 3,000 rows by 299
+        monkeypatch.setattr(learners, "RANGE_ROWS", most, raising=False)
+        curve = learners.replay(df, lambda: learners.OnlineLeastSquares(2), ["a", "b"], "y", "seq", "k")
+        assert re.search(r"rangepartitioning\(k.*?, (\d+)\)", curve._jdf.queryExecution().executedPlan().toString())[1] == str(ranges)
+        curves.append({(r.k, r.rows): (r.rmse, r.rrse) for r in curve.collect()})
+    assert curves[0] == curves[1] and len(curves[0]) == 30
+
+
 def test_least_squares_of_equal_inputs_fit_no_row(monkeypatch):
     x, y = np.tile([[3.0, 7.000000000000001]], (400, 1)), data(400)[1]
     one, blocks = learners.OnlineLeastSquares(2), learners.OnlineLeastSquares(2)
