@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.arrowmap import tidied
 from larkspur.llm.shared import keep
 from larkspur.llm.textvec import mix
 
@@ -43,7 +44,7 @@ def of_ids(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
             at = _places(b.column(0).to_numpy(zero_copy_only=False), bits).ravel()
             yield pa.RecordBatch.from_arrays([pa.array((at >> _U(6)).astype(np.int32)), pa.array((_U(1) << (at & _U(63))).view(np.int64))], names=["w", "b"])
 
-    words = df.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("i")).mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = df.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("i")).mapInArrow(tidied(run), "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out.view(_U)
@@ -67,7 +68,7 @@ def only(df: DataFrame, filter_words: np.ndarray, column: str) -> DataFrame:
             ids = b.column(b.schema.get_field_index(column)).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(has(sent.value, ids)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)
 
 
 def let_through(df: DataFrame, words: np.ndarray, ids: Column) -> Column:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from larkspur.llm.arrowmap import column, map_arrow
+from larkspur.llm.arrowmap import column, map_arrow, remembered
 from larkspur.llm.textvec import mix
 
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
@@ -222,15 +222,12 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
-_vocabularies: dict[tuple[str, str], Vocabulary] = {}
-
-
 def vocabulary(ranks: bytes, pattern: str, key: str | None = None) -> Vocabulary:
-    """The vocabulary of a rank file's content, made once in each process."""
-    key = key or hashlib.sha256(ranks).hexdigest()
-    if (key, pattern) not in _vocabularies:
-        _vocabularies[key, pattern] = Vocabulary(ranks, pattern)
-    return _vocabularies[key, pattern]
+    """The vocabulary of a rank file's content, made once in each process until another operator's task runs there."""
+    key, made = key or hashlib.sha256(ranks).hexdigest(), remembered("bpe")
+    if (key, pattern) not in made:
+        made[key, pattern] = Vocabulary(ranks, pattern)
+    return made[key, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -262,12 +259,12 @@ def _map(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, carry
     key, sent = hashlib.sha256(ranks).hexdigest(), docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        v = _vocabularies.get((key, pattern)) or vocabulary(sent.value, pattern, key)
+        v = remembered("bpe").get((key, pattern)) or vocabulary(sent.value, pattern, key)
         ids = v.encode(t or "" for t in column(batch, text).to_pylist())
         raw = [v.decode(x) for x in ids]
         return pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), *made(ids, raw)], names=[*names, *new])
 
-    return map_arrow(docs.select(*dict.fromkeys([*names, text])), run, ", ".join([*own, result]))
+    return map_arrow(docs.select(*dict.fromkeys([*names, text])), run, ", ".join([*own, result]), remembers="bpe")
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.arrowmap import column, small_batches
+from larkspur.llm.arrowmap import column, remembered, small_batches, tidied
 from larkspur.llm.textvec import ALNUM, buffers
 
 WINDOW = 10
@@ -37,8 +37,6 @@ CHUNK_BYTES = 64 << 20
 
 _NORMAL = bytes((b + 32 if 65 <= b <= 90 else b) if ALNUM[b] else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_automata: dict[str, object] = {}
-
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>"
 
 
@@ -55,18 +53,19 @@ def windows(text: str | None, size: int = WINDOW) -> set[bytes]:
 
 def automaton(key: str, sent):
     """The automaton of the broadcast patterns (window, ids); a Python worker holds the last one. Bytes are its letters, so offsets are byte offsets."""
-    if key not in _automata:
+    held = remembered("decontaminate")
+    if key not in held:
         import ahocorasick
 
-        _automata.clear()
+        held.clear()
         made = ahocorasick.Automaton()
         for window, ids in sent.value:
             made.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, ids))
         vars(sent).pop("_value", None)  # a worker need not keep the patterns beside their automaton
         if len(made):
             made.make_automaton()
-        _automata[key] = made
-    return _automata[key]
+        held[key] = made
+    return held[key]
 
 
 def scan(words: list[bytes], made) -> tuple[set[str], list[tuple[int, int]]]:
@@ -167,7 +166,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
             yield from found(held)
 
     small_batches(spark)
-    return source.mapInArrow(run, ", ".join([*own, RESULT]))
+    return source.mapInArrow(tidied(run, "decontaminate"), ", ".join([*own, RESULT]))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

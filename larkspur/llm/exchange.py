@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from larkspur.llm.arrowmap import small_batches
+from larkspur.llm.arrowmap import small_batches, tidied
 from larkspur.llm.textvec import mix
 
 _U = np.uint64
@@ -84,7 +84,7 @@ def whole_partitions(df: DataFrame, f: Callable[[list[pa.RecordBatch]], Iterator
         if got:
             yield from f(got)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def blob(x: np.ndarray) -> bytes:

@@ -44,6 +44,8 @@ LEAST_CHARS = 40
 SALT_ROWS = 1000
 #: Pairs aligned by one task that writes one file.
 FILE_PAIRS = 2000
+#: Documents' lines in one file.
+FILE_DOCS = 2000
 #: Holders of a run in the first round after its owner, and the factor from round to round.
 GROWTH = 16
 
@@ -205,14 +207,14 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     lines = lines.select("*", F.size("h").alias("k0"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2"))
     # written with their numbers, so that all readers see the same
     classes = keep(lines.groupBy(*key).agg(F.min("i").alias("first")).withColumn("id", F.monotonically_increasing_id()), "classes", most)
-    classed = keep(lines.join(classes, key).drop(*key), "classed")
+    classed = keep(lines.join(classes, key).drop(*key), "classed", most, FILE_DOCS)
     same = classed.where(f"i > first and aggregate(n, 0L, (s, x) -> s + x) >= {least}").select("i", "x", F.sequence(F.lit(0), F.size("h") - 1).alias("gone"))
-    ones = keep(classed.where("i = first").dropDuplicates(["id"]).select("id", "i", "h", "n"), "ones")
+    ones = keep(classed.where("i = first").dropDuplicates(["id"]).select("id", "i", "h", "n"), "ones", most, FILE_DOCS)
 
     each = keep(_runs_left(ones.withColumn("gone", F.lit(None).cast("array<int>")), least), "runs")
     # written, so that the join below reads both sides by its own shuffles, which Spark splits where one run has very many rows
-    owned = keep(each.groupBy("run").agg(F.min("i").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1"), "owned", each.count())
-    shared = keep(each.join(owned, "run").where("i > owner"), "shared")
+    owned = keep(each.groupBy("run").agg(F.min("i").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1"), "owned", n_runs := each.count())
+    shared = keep(each.join(owned, "run").where("i > owner"), "shared", n_runs)
     linked = keep(shared.select("id", "owner").distinct(), "pairs", shared.count())
     cut = keep(_aligned(linked, ones, ones.select(F.col("i").alias("owner"), F.col("h").alias("oh")), least), "cut", linked.count(), FILE_PAIRS)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import bloom
-from larkspur.llm.arrowmap import column, map_arrow, small_batches
+from larkspur.llm.arrowmap import column, map_arrow, small_batches, tidied
 from larkspur.llm.components import components, hot_keys, looked_up
 from larkspur.llm.exchange import blob, deal, keys, partitions, run_id, to_buckets, whole_partitions
 from larkspur.llm.shared import is_whole, keep, named, numbered, settled
@@ -47,6 +47,8 @@ FRAGMENTS = 4
 LEVELS = 8
 #: Pairs for each row of the index up to which all are looked at; while more remain, pivots go first.
 FULL_PAIRS = 16
+#: Sets of classes in one file.
+FILE_SETS = 2000
 #: Pivots of a shingle in the first turn, and the factor from turn to turn.
 PIVOTS, PIVOT_GROWTH = 4, 8
 _U = np.uint64
@@ -178,7 +180,7 @@ def set_sizes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS) -> Da
 
     small_batches(spark)
     source = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
-    asks = source.mapInArrow(ask, "bucket int, run long, ids array<long>, n binary, s0 binary, s1 binary, docs binary, sizes binary, asked binary, shared binary")
+    asks = source.mapInArrow(tidied(ask), "bucket int, run long, ids array<long>, n binary, s0 binary, s1 binary, docs binary, sizes binary, asked binary, shared binary")
     answers = whole_partitions(to_buckets(asks, n_buckets), answer, "run long, ids array<long>, n binary, s0 binary, s1 binary, docs binary, alone binary")
     return whole_partitions(answers.repartition(n_buckets, "run"), collect, "id long, n long, s0 long, s1 long, alone long")
 
@@ -232,13 +234,13 @@ def class_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, wor
     """Links (a, b) between classes whose components are those of all links; classes have c, rep (an id with the set), n, s0, s1."""
     let = bloom.of_ids(classes, "rep")
     there = bloom.only(docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null"), let, "i")
-    sets = keep(_sets_of(there.join(classes.withColumnRenamed("rep", "i"), "i"), words).dropDuplicates(["c"]), "sets")
+    sets = keep(_sets_of(there.join(classes.withColumnRenamed("rep", "i"), "i"), words).dropDuplicates(["c"]), "sets", number := classes.count(), FILE_SETS)
     each = sets.select("c", F.explode("g").alias("g"))
     # what is joined on shingles below is written first, so that both sides are shuffled for the join and Spark splits a shingle that very many have
     level = F.floor(F.log2("df") * LEVELS).cast("int").alias("level")
     common = keep(each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("g", "df", level), "common")
     shared = each.join(common, "g").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("level", "g"))).alias("gs")).join(classes.select("c", "n"), "c")
-    shared = keep(shared.where(100 * F.size("gs") >= percent * F.col("n")), "shared")
+    shared = keep(shared.where(100 * F.size("gs") >= percent * F.col("n")), "shared", number, FILE_SETS)
     # positions count the shingles that no other class has, which come first in the order
     alone = F.col("n") - F.size("gs")
     first = F.floor(F.col("n") * (100 - percent) / 100) + 1 - alone

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from larkspur.llm.arrowmap import remembered
+
 #: Bytes of text that are hashed at once; one longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -35,17 +37,15 @@ _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 
-_powers: dict[int, np.ndarray] = {}
-
-
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    have = _powers.get(base)
+    """base**0 .. base**(n-1) modulo 2**64, kept for the next call of this task."""
+    made = remembered("powers")
+    have = made.get(base)
     if have is None or len(have) < n:
         have = np.empty(max(n, CHUNK_BYTES + 1), dtype=_U)
         have[0] = 1
         have[1:] = base
-        _powers[base] = have = np.cumprod(have, dtype=_U)
+        made[base] = have = np.cumprod(have, dtype=_U)
     return have[:n]
 
 

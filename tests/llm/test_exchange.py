@@ -63,3 +63,23 @@ def test_statistics_of_long_and_odd_texts():
     texts = [None, "", " ", "x" * 3_000_000, "a b a b", "#"]
     x = quality.statistics(*textvec.buffers(pa.array(texts, pa.string())))
     assert x.shape[0] == 6 and np.isfinite(x).all() and (x[0] == x[1]).all()
+
+
+def test_a_worker_forgets_what_other_operators_remembered():
+    from larkspur.llm import textvec
+    from larkspur.llm.arrowmap import _remembered, remembered, tidied
+
+    def task(operator):
+        def run(batches):
+            for b in batches:
+                textvec.powers(3, b)
+                if operator:
+                    remembered(operator)[b] = b
+                yield b
+
+        return list(tidied(run, operator)(iter([1, 2])))
+
+    assert task("bpe") == [1, 2] and _remembered == {"bpe": {1: 1, 2: 2}}
+    assert task("bpe") == [1, 2] and set(_remembered) == {"bpe"}
+    assert task("") == [1, 2] and _remembered == {}
+    assert textvec.powers(3, 4).tolist() == [1, 3, 9, 27]
