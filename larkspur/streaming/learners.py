@@ -291,35 +291,114 @@ class ExtendedMauve(Mauve):
         return np.max([self.on(x, y, k, n, q) for k in range(x.shape[1])], axis=0)
 
 
+def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Counts, means and sums of products about the means of two sets of rows together."""
+    (n1, m1, s1), (n2, m2, s2) = a, b
+    n, off = n1 + n2, m2 - m1
+    share = n2 / n
+    return n, m1 + share[:, None] * off, s1 + s2 + (n1 * share)[:, None, None] * off[:, :, None] * off[:, None, :]
+
+
 class TotalMauve:
-    """Of the residuals about least squares on all inputs; at most `candidates` splits of an input are tried."""
+    """Of the residuals about least squares on all inputs, of every split; 0 where a side has fewer rows than weights, as in I15.
+
+    Sums of both sides are about their own means, so nothing cancels; `block` cells of rows are added up at once. A fit whose
+    equations are near singular is made of the side's rows.
+    """
 
-    def __init__(self, candidates: int = 32):
-        self.candidates = candidates
+    def __init__(self, block: int = 4096):
+        self.block = block
 
     def qualities(self, x: np.ndarray, y: np.ndarray, j: int, n: np.ndarray | None = None, q: np.ndarray | None = None) -> np.ndarray:
         n, q = _counted(y, n, q)
-        d, upto = x.shape[1], np.cumsum(n).astype(int)
-        rows = int(upto[-1]) if len(upto) else 0
-        out = np.full(len(y), -np.inf)
-        if rows <= 2 * d + 4:
+        d, out = x.shape[1], np.full(len(y), -np.inf)
+        ends = np.flatnonzero(x[:-1, j] < x[1:, j])
+        if not len(ends):
             return out
-        tried = np.unique(np.linspace(d + 1, rows - d - 2, self.candidates).astype(int))
-        ends = np.flatnonzero(np.isin(upto[:-1] - 1, tried) & (x[:-1, j] < x[1:, j]))
-        z = np.column_stack([np.ones(len(y)), x])
-        whole = self._sd(z, y, n, q) if len(ends) else 0.0
-        for i in ends:
-            out[i] = whole - sum(n[side].sum() * self._sd(z[side], y[side], n[side], q[side]) for side in (slice(i + 1), slice(i + 1, None))) / rows
+        rows, mean = n.sum(), y / n
+        with np.errstate(all="ignore"):
+            z = np.column_stack([self._apart(x, n), mean - n @ mean / rows])
+            within = np.maximum(q - y * mean, 0)
+            left = self._deviations(z, n, within, np.append(ends, len(y) - 1), 2 * d)
+            right = self._deviations(z[::-1], n[::-1], within[::-1], len(y) - 2 - ends[::-1], 2 * d)[::-1]
+            n1 = np.cumsum(n)[ends]
+            found = left[-1] - (n1 * left[:-1] + (rows - n1) * right) / rows
+        found[~np.isfinite(found)] = -np.inf
+        found[np.minimum(n1, rows - n1) < d + 1] = 0.0
+        out[ends] = found
+        return out
+
+    @staticmethod
+    def _apart(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Inputs about their means, at most 1, that have the same fits: without those that others give, and for those that others nearly give what they have apart."""
+        root, out, rounding = np.sqrt(n), np.empty((len(n), 0)), np.finfo(float).eps * max(len(n), 16)
+        for v in (x - n @ x / n.sum()).T:
+            size = np.abs(v).max()
+            v = v / (size or 1.0)
+            base = np.column_stack([root, out * root[:, None]])
+            apart = v
+            if np.isfinite(base).all() and np.isfinite(v).all():
+                for _ in range(2):
+                    apart = apart - base @ np.linalg.lstsq(base, apart * root, rcond=None)[0] / root
+            most = np.abs(apart).max()
+            if not most <= rounding:
+                out = np.column_stack([out, apart / most if most < 1e-3 else v])
+        return out
+
+    def _deviations(self, z: np.ndarray, n: np.ndarray, within: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+        """Deviation of the last column about its fit on the others, over the rows up to each of ends; over n - 1, and none of fewer than `least`."""
+        d, out, before = z.shape[1] - 1, np.empty(len(ends)), None
+        most = max(1, min(self.block, (1 << 20) // (d + 1) ** 2))
+        for at in range(0, int(ends[-1]) + 1, most):
+            part = slice(at, min(at + most, int(ends[-1]) + 1))
+            first, last = np.searchsorted(ends, (part.start, part.stop))
+            stops = ends[first:last] + 1 - at
+            starts = np.append(0, stops) if not len(stops) or stops[-1] < part.stop - at else np.append(0, stops[:-1])
+            sums = self._up_to(z[part], n[part], within[part], starts)
+            if before is not None:
+                sums = _merged(before, sums)
+            before = tuple(s[-1:] for s in sums)
+            if first < last:
+                rows, means, products = (s[: last - first] for s in sums)
+                error, sure = self._errors(rows, means, products, np.finfo(float).eps * len(n))
+                out[first:last] = np.where(rows >= least, np.sqrt(error / np.maximum(rows - 1, 1)), np.inf)
+                for i in np.flatnonzero(~sure & (rows >= least)):
+                    side = slice(int(ends[first + i]) + 1)
+                    out[first + i] = self._sd(np.column_stack([np.ones(side.stop), z[side, :d]]), z[side, d], n[side], within[side])
         return out
 
     @staticmethod
-    def _sd(z: np.ndarray, y: np.ndarray, n: np.ndarray, q: np.ndarray) -> float:
-        rows = n.sum()
-        if rows < z.shape[1]:
-            return 0.0
-        root, mean = np.sqrt(n), y / n
+    def _up_to(z: np.ndarray, n: np.ndarray, within: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Counts, means and sums of products of the rows up to the end of each stretch between starts."""
+        rows = np.add.reduceat(n, starts)
+        means = np.add.reduceat(n[:, None] * z, starts) / rows[:, None]
+        off = z - np.repeat(means, np.diff(np.append(starts, len(n))), axis=0)
+        products = np.add.reduceat((n[:, None] * off)[:, :, None] * off[:, None, :], starts)
+        products[:, -1, -1] += np.add.reduceat(within, starts)
+        sums, step = (rows, means, products), 1
+        while step < len(rows):
+            sums = tuple(np.concatenate([s[:step], m]) for s, m in zip(sums, _merged(tuple(s[:-step] for s in sums), tuple(s[step:] for s in sums))))
+            step *= 2
+        return sums
+
+    @staticmethod
+    def _errors(rows: np.ndarray, means: np.ndarray, products: np.ndarray, rounding: float) -> tuple[np.ndarray, np.ndarray]:
+        """Squared errors of the fits, 0 where they are rounding, and which are sure: by elimination, past inputs that are constant."""
+        left, d, sure = products, products.shape[1] - 1, np.ones(len(rows), bool)
+        for k in range(d):
+            own, pivot = products[:, k, k], left[:, 0, 0]
+            none = own <= rows * (rounding * means[:, k]) ** 2
+            sure &= none | (pivot > 1e-8 * own)
+            share = left[:, 1:, 0] * np.where(none | (pivot <= 0), 0.0, 1 / np.where(none, 1.0, pivot))[:, None]
+            left = left[:, 1:, 1:] - share[:, :, None] * left[:, None, 0, 1:]
+        error, all_ = left[:, 0, 0], products[:, d, d]
+        return np.where(error <= 1e-14 * all_, 0.0, error), sure | ~np.isfinite(error)
+
+    @staticmethod
+    def _sd(z: np.ndarray, mean: np.ndarray, n: np.ndarray, within: np.ndarray) -> float:
+        root = np.sqrt(n)
         w = np.linalg.lstsq(z * root[:, None], mean * root, rcond=None)[0]
-        return float(np.sqrt(((n * (mean - z @ w) ** 2).sum() + np.maximum(q - y * mean, 0).sum()) / max(1, rows - 1)))
+        return float(np.sqrt(((n * (mean - z @ w) ** 2).sum() + within.sum()) / max(1, n.sum() - 1)))
 
 
 class QuandtAndrews:

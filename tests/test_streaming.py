@@ -220,3 +220,38 @@ def test_least_squares_of_equal_inputs_fit_no_row(monkeypatch):
     assert np.allclose(got, want, rtol=0, atol=1e-9) and np.allclose(blocks.weights, one.weights)
     x, y = data(300)
     assert np.allclose(blocks.learn(x, y), by_rows(one, x, y), atol=1e-8)  # and others after them
+
+
+@pytest.mark.parametrize("kind", ["distinct", "grid", "given in part", "nearly given", "blocks"])
+def test_total_mauve_tries_every_split(kind):
+    x, y = grid(400) if kind in ("grid", "blocks") else data(150)
+    y = y + np.random.default_rng(2).normal(0, 1, len(y))
+    if kind in ("given in part", "nearly given"):
+        x[:, 1] = np.where(x[:, 0] < 0, x[:, 0], x[:, 1]) if kind == "given in part" else x[:, 0] + 1e-7 * x[:, 1]
+    cells = learners.Cells(x, y, *learners._counted(y, None, None)) if kind == "distinct" else learners.Cells.empty(2)
+    if kind != "distinct":
+        cells.push_all(x, y)
+    at, sums, n, squares = cells.sums()
+    scaled = np.column_stack([np.ones(len(y)), x[:, 0], x[:, 1] - x[:, 0] if kind != "nearly given" else (x[:, 1] - x[:, 0]) * 1e7])
+
+    def deviation(side):
+        z, b = scaled[side], y[side]
+        return np.sqrt(((b - z @ np.linalg.lstsq(z, b, rcond=None)[0]) ** 2).sum() / (len(b) - 1)) if len(b) >= 4 else np.inf
+
+    for j in range(2):
+        order = np.argsort(at[:, j], kind="stable")
+        got = learners.TotalMauve(*([7] if kind == "blocks" else [])).qualities(at[order], sums[order], j, n[order], squares[order])
+        ends = np.flatnonzero(np.diff(at[order, j]) > 0)
+        assert len(ends) == len(np.unique(x[:, j])) - 1
+        for i in ends:
+            sides = [x[:, j] <= at[order][i, j], x[:, j] > at[order][i, j]]
+            few = min(s.sum() for s in sides)
+            want = 0.0 if few < 3 else deviation(np.ones(len(y), bool)) - sum(s.sum() * deviation(s) for s in sides) / len(y)
+            assert got[i] == pytest.approx(want, abs=1e-7)
+
+
+def test_a_total_mauve_tree_finds_the_break_of_equal_rows():
+    x, y = grid(20_000)
+    tree = learners.HoeffdingTree(2, learners.TotalMauve(), chunk=500)
+    tree.learn(x, y)
+    assert tree.leaves() > 1 and (tree.root.input, tree.root.threshold) == (0, 4.0)
