@@ -112,16 +112,17 @@ class OnlineLeastSquares:
     def __init__(self, d: int):
         self.d = d
         self.sums = LeastSquares(np.zeros((d + 1, d + 1)), np.zeros(d + 1), 0.0, 0.0)
-        self.only: np.ndarray | None = None  # the inputs of all rows, while they are equal
+        self.only: np.ndarray | None = None  # the inputs of the first row
+        self.same = np.ones(d, bool)  # which inputs all rows have equal
         self._weights: np.ndarray | None = None
 
     def _alone(self, x: np.ndarray) -> bool:
         """Whether all inputs with these rows more are equal."""
         if not self.sums.n and len(x):
             self.only = np.array(x[0], float)
-        if self.only is not None and (x != self.only).any():
-            self.only = None
-        return self.only is not None
+        if len(x) and self.same.any():
+            self.same &= (x == self.only).all(axis=0)
+        return self.only is not None and bool(self.same.all())
 
     def push(self, x: np.ndarray, y: float) -> None:
         self._alone(np.asarray(x)[None])
@@ -156,20 +157,22 @@ class OnlineLeastSquares:
         return np.concatenate([[xty[0] / max(1.0, n)], np.zeros(self.d)])
 
     def learn(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Predicts and then learns each row. Where no fit of a stretch is near singular, all are solved at once: the least eigenvalue only grows with rows. Of equal inputs all fits give the mean."""
+        """Predicts and then learns each row. Where no fit of a stretch is near singular, all are solved at once: the least eigenvalue only grows with rows. Of equal inputs all fits give the mean; an input that is equal in all rows adds nothing to a fit."""
         if self._alone(x):
             s = self.sums
             out = np.cumsum(np.append(s.xty[0], y))[:-1] / np.maximum(1, s.n + np.arange(len(y)))
             self.push_all(x, y)
             return out
         out, most = np.empty(len(y)), max(1, min(512, (1 << 20) // (self.d + 1) ** 2))
-        s = self.sums
+        s, use = self.sums, np.append(0, 1 + np.flatnonzero(~self.same))
         for i in range(0, len(y), most):
             z, ys = np.column_stack([np.ones(len(y[i : i + most])), x[i : i + most]]), y[i : i + most]
             xtx = np.cumsum(np.concatenate([s.xtx[None], z[:, :, None] * z[:, None, :]]), axis=0)
             xty = np.cumsum(np.concatenate([s.xty[None], ys[:, None] * z]), axis=0)
-            if s.n > self.d and np.isfinite(xtx[-1]).all() and np.linalg.eigvalsh(xtx[0])[0] > 1e-10 * np.linalg.eigvalsh(xtx[-1])[-1]:
-                weights = np.linalg.solve(xtx[:-1], xty[:-1, :, None])[:, :, 0]
+            few = xtx if len(use) > self.d else xtx[:, use[:, None], use]
+            if s.n > self.d and np.isfinite(xtx[-1]).all() and np.linalg.eigvalsh(few[0])[0] > 1e-10 * np.linalg.eigvalsh(few[-1])[-1]:
+                weights = np.zeros((len(ys), self.d + 1))
+                weights[:, use] = np.linalg.solve(few[:-1], xty[:-1, use, None])[:, :, 0]
             else:
                 weights = np.array([self._fit(s.n + k, xtx[k], xty[k]) for k in range(len(ys))])
             out[i : i + most] = (weights * z).sum(axis=1)
@@ -300,7 +303,7 @@ def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.nd
 
 
 class TotalMauve:
-    """Of the residuals about least squares on all inputs, of every split; 0 where a side has fewer rows than weights, as in I15.
+    """Of the residuals about least squares on all inputs, of every split; 0 where a side has fewer rows than weights (I15), else none where it has fewer than two an input.
 
     Sums of both sides are about their own means, so nothing cancels; `block` cells of rows are added up at once. A fit whose
     equations are near singular is made of the side's rows.

@@ -255,3 +255,16 @@ def test_a_total_mauve_tree_finds_the_break_of_equal_rows():
     tree = learners.HoeffdingTree(2, learners.TotalMauve(), chunk=500)
     tree.learn(x, y)
     assert tree.leaves() > 1 and (tree.root.input, tree.root.threshold) == (0, 4.0)
+
+
+def test_least_squares_with_an_equal_input_fit_no_row(monkeypatch):
+    x, y = data(800)
+    x[:, 1] = 7.000000000000001
+    one, blocks = learners.OnlineLeastSquares(2), learners.OnlineLeastSquares(2)
+    want, got = by_rows(one, x, y), [blocks.learn(x[:20], y[:20])]
+    with monkeypatch.context() as m:
+        m.setattr(np.linalg, "lstsq", None)
+        got += [blocks.learn(x[20:150], y[20:150]), blocks.learn(x[150:], y[150:])]
+    assert np.allclose(np.concatenate(got), want, rtol=0, atol=1e-8) and np.allclose(blocks.weights, one.weights)
+    x, y = data(300)
+    assert np.allclose(blocks.learn(x, y), by_rows(one, x, y), atol=1e-8)  # and others after them
